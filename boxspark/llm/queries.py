@@ -6,20 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxspark.llm import exact_dedup, mixing
+from boxspark.llm import exact_dedup, language_id, mixing, token_store
 from boxspark.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_summaries(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[0]
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op8_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op5_language_id, op7_token_store, op8_mixing, op10_exact_dedup)}
 
 
 OP10_SQL = r"""
