@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxspark.llm import exact_dedup, language_id, mixing, token_store
+from boxspark.llm import exact_dedup, language_id, mixing, ngram_jaccard, token_store
 from boxspark.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_summaries(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -33,7 +37,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op5_language_id, op7_token_store, op8_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op10_exact_dedup)}
 
 
 OP10_SQL = r"""
