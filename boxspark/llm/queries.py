@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxspark.llm import exact_dedup, language_id, mixing, ngram_jaccard, token_store
+from boxspark.llm import exact_dedup, language_id, mixing, ngram_jaccard, sentencepiece_nbest, token_store
 from boxspark.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op10_exact_dedup)}
 
 
 OP10_SQL = r"""
