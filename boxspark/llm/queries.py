@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxspark.llm import exact_dedup, language_id, mixing, ngram_jaccard, sentencepiece_nbest, token_store
+from boxspark.llm import exact_dedup, language_id, mixing, ngram_jaccard, sentencepiece_nbest, token_store, toxicity
 from boxspark.llm.common import table
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -41,7 +45,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op9_toxicity, op10_exact_dedup)}
 
 
 OP10_SQL = r"""
