@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxspark.llm import exact_dedup, language_id, mixing, ngram_jaccard, secret_scan, sentencepiece_nbest, suffix_dedup, token_store, toxicity
+from boxspark.llm import exact_dedup, image_copies, language_id, mixing, ngram_jaccard, secret_scan, sentencepiece_nbest, suffix_dedup, token_store, toxicity
 from boxspark.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = image_copies.vector_images(table(spark, sf_dir, "embeddings"))
+    return image_copies.copies(images).withColumnRenamed("image_id", "vec_id")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_secret_scan, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_secret_scan, op4_image_copies, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op9_toxicity, op10_exact_dedup)}
 
 
 OP10_SQL = r"""
