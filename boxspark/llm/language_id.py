@@ -155,4 +155,4 @@ def identify(
 def with_language(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` whose text has a language; texts without one are rejected."""
     known = identify(docs, id_col, **how).where(F.col("lang_pred") != UNKNOWN).select(F.col(id_col).alias("_known")).distinct()
-    return docs.join(known, docs[id_col].eqNullSafe(F.col("_known")), "left_semi")
+    return docs.join(known, docs[id_col].eqNullSafe(known["_known"]), "left_semi")

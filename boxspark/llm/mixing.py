@@ -163,8 +163,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs``, each as often as the mix takes its words, to the nearest whole number; not taken: left out."""
     documents, _, _ = mix(docs, id_col, text_col, source_col, **how)
     times = documents.groupBy(id_col).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).where("_times > 0").withColumnRenamed(id_col, "_mixed")
-    return (
-        docs.join(times, docs[id_col].eqNullSafe(F.col("_mixed")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    joined = docs.join(times, docs[id_col].eqNullSafe(times["_mixed"]))
+    copy = "_".join([*docs.columns, "copy"])  # no column of docs has this name
+    repeated = joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), times["_times"])).alias(copy))
+    return repeated.drop(copy)
