@@ -69,5 +69,30 @@ FROM n WINDOW w AS (PARTITION BY norm)
 """
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, s, md5(b[s + 1 : s + 200]) AS h FROM (SELECT r, b, unnest(range(octet_length(b) - 199)) AS s FROM d WHERE octet_length(b) >= 200)),
+rep AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+i AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS k FROM (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM rep)),
+gone AS (SELECT r, min(s) AS a, max(s) + 200 AS z FROM i GROUP BY r, k),
+parts AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS from_ FROM gone),
+kept AS (SELECT p.r, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, max(z) AS tail, string_agg(CASE WHEN a > from_ THEN hex(b[from_ + 1 : a]) ELSE '' END, '' ORDER BY a) AS h FROM parts p JOIN d USING (r) GROUP BY p.r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(h || CASE WHEN tail < octet_length(b) THEN hex(b[tail + 1 :]) ELSE '' END) END) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct([array_to_string(ws[i : i + 2], ' ') FOR i IN range(1, len(ws) - 1)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY 1, 2, 3, 4),
+links AS (SELECT x, y FROM pairs WHERE 100 * k >= 90 * (nx + ny - k)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM ways UNION SELECT r.x, b.y FROM reach r JOIN ways b ON r.y = b.x)
+SELECT s.doc_id, len(s.sh) AS n_shingles, least(s.doc_id, coalesce(c.m, s.doc_id)) AS component_id FROM s LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) c ON c.x = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_exact_dedup": OP10_SQL}

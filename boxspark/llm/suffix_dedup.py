@@ -125,18 +125,14 @@ def repeats(texts: list[bytes], offsets: list[int], length: int) -> Iterator[tup
     rank = {k: i for i, k in enumerate(sorted(range(len(texts)), key=left.__getitem__))} if len(texts) > 2 else {0: 0, 1: 1}
     for depth, first, last in intervals(lcp):
         members = sorted(order[first : last + 1], key=rank.__getitem__)
-        need, group, shared = max(0, length - depth), [members[0]], 1 << 40
-        for a, b in zip(members, members[1:]):
-            both = _common(left[a], left[b])
-            if both >= need:
-                group.append(b)
-                shared = min(shared, both)
-                continue
-            if len(group) > 1:
-                yield shared, depth, group
-            group, shared = [b], 1 << 40
-        if len(group) > 1:
-            yield shared, depth, group
+        need = max(0, length - depth)
+        if not need:
+            yield 0, depth, members
+        shared = [0] + [_common(left[a], left[b]) for a, b in zip(members, members[1:])]
+        # Where what stands to the left is diverse the group splits; each deeper agreement is a longer repeat.
+        for extension, a, b in intervals(shared):
+            if extension >= need:
+                yield extension, depth, members[a : b + 1]
 
 
 def _spans(rows: list[tuple[int, int]]) -> list[tuple[int, int]]:

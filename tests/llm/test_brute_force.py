@@ -146,6 +146,16 @@ def test_suffix_dedup(spark, docs, rows, length, gram):
     assert got == _removed(small + more, length)
 
 
+def test_repeats_of_different_left_extension(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    core, far, near = word(120), word(60), word(40)
+    rows = [(i, word(50) + (far if i < 2 else "") + (near if i < 4 else "") + core + word(50)) for i in range(7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.drop_repeats(df, length=100, gram=16).collect())
+    assert got == _removed(rows, 100)
+
+
 def test_intervals_of_a_suffix_array():
     text = b"mississippi"
     order = sorted(range(len(text)), key=lambda k: text[k:])
