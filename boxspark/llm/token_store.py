@@ -13,9 +13,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,62 +32,74 @@ WINDOW, MASK, LEAST, MOST = 16, 255, 64, 1024
 END_ID = 2
 
 
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: The letter that byte-level models write for a byte: itself where it is visible, else the next free one from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
+TRIAL = ("Word", "don't", "it's,", "x'S", "(a)--b2C34", "Größe", "ÉTÉ'll", "ñ'mß", "++", "<|a|>", "A'Re")
+
+
 class WordTokenizer:
     """Ids of whole texts by a ``tokenizers`` file whose pre-tokenizer never joins words across white space.
 
-    Each different word goes through the tokenizer once for as long as it is remembered; at ``remember`` words the
+    Words and their pieces go through the tokenizer once for as long as they are remembered; at ``remember`` words the
     memory starts anew."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
         self.encode_words = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.ends = np.zeros(1 << 14, np.int64)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added) or r"(?!)").search
+        self.by_piece = self.tokenizer.model.tokenize
+        self.known: dict[bytes, bytes] = {}
+        self.known_pieces: dict[str, bytes] = {}
+        # The model is asked directly only where a trial shows that this file splits words as ``pieces`` does.
+        self.plain = all(
+            [t.id for p in self.pieces(word) for t in self.by_piece(p)] == self.tokenizer.encode(word, add_special_tokens=False).ids for word in TRIAL
+        )
+
+    def pieces(self, text: str) -> list[str] | None:
+        """What the tokenizer's normalizer and pre-tokenizer make of a plain word, or None where that is theirs to say.
+
+        In words of visible ASCII and Latin-1 letters only, lower-casing is all that normalizing does."""
+        if text.isascii() and text.isalpha():
+            return None if self.special(text) else [text.lower()]
+        if not PLAIN.fullmatch(text) or self.special(text):
+            return None
+        split = SPLIT.findall(text.lower())
+        return split if text.isascii() else ["".join(map(BYTE_LETTERS.__getitem__, p.encode())) for p in split]
 
     def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            for word, found in zip(some, self.encode_words([w.decode() for w in some], add_special_tokens=False)):
-                ids, n = found.ids, len(self.known)
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if n + 1 >= len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.known[word] = n
-                self.ends[n + 1] = self.used
+        other, cache = [], self.known_pieces
+        for word in words:
+            split = self.pieces(word.decode()) if self.plain else None
+            if split is None:
+                other.append(word)
+                continue
+            for p in split:
+                if p not in cache:
+                    cache[p] = array("I", [t.id for t in self.by_piece(p)]).tobytes()
+            self.known[word] = cache[split[0]] if len(split) == 1 else b"".join([cache[p] for p in split])
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
+            for word, x in zip(some, self.encode_words([w.decode() for w in some], add_special_tokens=False)):
+                self.known[word] = array("I", x.ids).tobytes()
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts, each closed by ``end_id``, and where each text's ids end."""
         split = [(t or "").encode().split() for t in texts]
-        words = [w for s in split for w in s]
         if len(self.known) > self.remember:
-            self.forget()
-        self.learn([w for w in set(words) if w not in self.known])
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        starts, sizes = self.ends[which], self.ends[which + 1] - self.ends[which]
-        # Each text is its words' ids and one end id: the end is put in as a word of its own.
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        slots = np.cumsum(n + 1) - 1
-        all_sizes, all_starts = np.ones(len(words) + len(split), np.int64), np.full(len(words) + len(split), -1, np.int64)
-        inner = np.ones(len(all_sizes), bool)
-        inner[slots] = False
-        all_sizes[inner], all_starts[inner] = sizes, starts
-        offsets = np.cumsum(all_sizes)
-        ids_at = np.repeat(all_starts - (offsets - all_sizes), all_sizes) + np.arange(offsets[-1] if len(offsets) else 0)
-        ends = offsets[slots]
-        ids_at[ends - 1] = 0
-        ids = self.ids[ids_at]
-        ids[ends - 1] = end_id
-        return ids, ends
+            self.known, self.known_pieces = {}, {}
+        known = self.known
+        self.learn([w for w in set(chain.from_iterable(split)) if w not in known])
+        close = array("I", [end_id]).tobytes()
+        rows = [b"".join([*map(known.__getitem__, words), close]) for words in split]
+        ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows))) // 4
+        return np.frombuffer(b"".join(rows), np.uint32), ends
 
 
 @lru_cache(maxsize=2)
