@@ -94,5 +94,28 @@ SELECT s.doc_id, len(s.sh) AS n_shingles, least(s.doc_id, coalesce(c.m, s.doc_id
 """
 
 
+def _sql_matches(kind: str, pattern: str, group: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT r, {secret_scan.KINDS.index(kind)} AS kind, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[: len(ms)]) AS g
+  FROM (SELECT r, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS vs, string_split_regex(t, '{p}') AS gs FROM d WHERE regexp_matches(t, '{p}'))"""
+
+
+_RANDOM = "regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') AND len(list_distinct(string_split(v, ''))) >= 10 AND len(list_distinct(string_split(v, ''))) * 4 >= least(length(v), 40)"
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS owner, coalesce(text, '') AS t FROM documents),
+raw AS ({" UNION ALL ".join(_sql_matches(k, p, g) for k, p, g in (("assign", secret_scan.ASSIGN, 2), ("access", secret_scan.ACCESS, 0), ("hex", secret_scan.HEX, 0), ("owned", secret_scan.LONG, 0)))}),
+placed AS (SELECT r, kind, m, v, (sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY i))::BIGINT AS e FROM raw),
+spans AS (SELECT r, kind, v, e - length(m) AS s, e FROM placed WHERE (kind <> 0 OR length(v) >= {secret_scan.LEAST_VALUE}) AND (kind <> 3 OR ({_RANDOM}))),
+cand AS (SELECT x.*, owner FROM spans x JOIN d USING (r) WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM spans b WHERE b.r = x.r AND b.kind < 3 AND b.s < x.e AND x.s < b.e)),
+owners AS (SELECT v, count(DISTINCT owner) >= 2 AS copied FROM cand GROUP BY v),
+judged AS (SELECT c.*, copied, NOT copied AND ({_RANDOM}) AS live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e AS txt FROM cand c JOIN owners USING (v))
+SELECT d.doc_id, count(j.r) FILTER (kind = 0) AS n_assign, count(j.r) FILTER (kind = 1) AS n_access, count(j.r) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(txt, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(txt, ',' ORDER BY s, kind) FILTER (kind < 3 OR live), '') AS spans,
+       count(j.r) FILTER (kind = 3 AND live) AS n_added, count(j.r) FILTER (copied) AS n_examples, count(j.r) FILTER (live) AS n_live
+FROM d LEFT JOIN judged j ON j.r = d.r GROUP BY d.r, d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op3_secret_scan": OP3_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_exact_dedup": OP10_SQL}

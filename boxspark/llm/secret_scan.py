@@ -59,7 +59,7 @@ def _count(spans: Column, kind: str) -> Column:
 
 def looks_random(value: Column) -> Column:
     """Letters and digits, at least ten different characters, and no run of one character through half of it."""
-    different = F.size(F.array_distinct(F.split(value, "")))
+    different = F.size(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")))
     return value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (different >= 10) & (different * 4 >= F.least(F.length(value), F.lit(40)))
 
 
