@@ -1,13 +1,13 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-A document is the set of its distinct word n-grams. Grams are hashed to ``GROUPS`` groups; the counts of a set in the
-groups are a point. The overlap of two sets is at most the sum over the groups of the smaller count, and for two boxes
+A document is the set of its distinct word n-grams. Grams are hashed to groups; the counts of a set in the groups are a
+point. Larger sets have more groups (powers of two up to ``GROUPS``, so a point folds onto fewer by adding). The overlap of two sets is at most the sum over the groups of the smaller count, and for two boxes
 of points at most the sum of the smaller upper bounds, so an R-tree of points passes over pairs of nodes, then pairs
 of points, that cannot reach the overlap that the similarity needs. What survives is verified on the sets.
 
-Trees are built where linked documents are certain to meet: documents that share a gram of their prefix (see
-``prefix``) are tied together, the ties' components are cut into tiles of bounded size, and each pair of tiles of a
-component is one small join.
+Trees are built where linked documents are certain to meet. First over the points of the documents that share a gram
+of their prefix (see ``prefix``): pairs that survive there are ties. Then over the points of the ties' components, cut
+into tiles of bounded size, where what survives is verified; each pair of tiles of a component is one small join.
 """
 
 from __future__ import annotations
@@ -25,7 +25,12 @@ from pyspark.sql import types as T
 from boxspark.llm.common import running_totals, slices, stage
 from boxspark.llm.components import components
 
-GROUPS = 32
+GROUPS = 256
+LEAST_GROUPS = 32
+#: A stored count of MANY stands for that or more; as a bound it is read as without limit.
+MANY = 255
+#: Documents with a prefix gram in common whose points are searched; more are tied together unsearched, losing no link.
+MOST_SEARCHED = 20_000
 #: Entries of a leaf and of an inner node of the R-tree.
 FAN_OUT = 32
 _U = np.uint64
@@ -116,8 +121,22 @@ def prefix(grams: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
     return grams[:keep]
 
 
+def n_groups(size: int) -> int:
+    """About eight grams a group: fewer would carry more bytes, more would let random counts hide a difference."""
+    return min(GROUPS, max(LEAST_GROUPS, 1 << max(0, size // 8).bit_length()))
+
+
+def point(grams: np.ndarray, groups: int) -> np.ndarray:
+    """How many grams of a set each group has."""
+    return np.bincount((grams >> _U(8) & _U(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    return points.reshape(len(points), -1, groups).sum(axis=1, dtype=np.int32)
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """_id, n_shingles, h1, h2 (a 128-bit hash of the set) and, on one row a slice, grams that several texts share."""
+    """_id, n_shingles, h1, h2 (a 128-bit hash of the set), its point and, on one row a slice, grams that several texts share."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "_text"):
@@ -133,9 +152,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
             seen, times = np.unique(flat, return_counts=True)
             often = seen[times >= 3].view(np.int64)
             shared = pa.array([often.tolist() if i == 0 else None for i in range(len(sets))], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sizes), pa.array(both[0]), pa.array(both[1]), shared], ["_id", "n_shingles", "h1", "h2", "shared"])
+            points = pa.array([np.minimum(point(x, n_groups(len(x))), MANY).astype(np.uint8).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sizes), pa.array(both[0]), pa.array(both[1]), points, shared], ["_id", "n_shingles", "h1", "h2", "point", "shared"])
 
-    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n_shingles", "h1", "h2")), T.StructField("shared", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n_shingles", "h1", "h2")), T.StructField("point", T.BinaryType()), T.StructField("shared", T.ArrayType(T.LongType()))])
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(rows, schema)
 
 
@@ -165,6 +185,99 @@ def _ties(docs: DataFrame, text_col: str, n: int, percent: int, common) -> DataF
     return docs.select(F.col(text_col).alias("_text")).mapInArrow(rows, "gram bigint, set bigint")
 
 
+def _search(percent: int):
+    """Ties (src, dst) of sets with a prefix gram in common whose points allow the overlap they need. Rows come sorted
+    by gram; a short run of a gram is compared at every distance at once, a longer one through an R-tree."""
+
+    def few(gram, sets, sizes, groups, points) -> list[np.ndarray]:
+        out = []
+        for lag in range(1, 16):
+            same = np.flatnonzero((gram[lag:] == gram[:-lag]) & (sets[lag:] != sets[:-lag]))
+            least = np.minimum(sizes[same], sizes[same + lag])
+            same = same[needed(sizes[same], sizes[same + lag], percent) <= least]
+            level = np.minimum(groups[same], groups[same + lag])
+            for g in np.unique(level):
+                at = same[level == g]
+                bound = np.minimum(folded(points[at], g), folded(points[at + lag], g)).sum(axis=1)
+                ok = at[bound >= needed(sizes[at], sizes[at + lag], percent)]
+                out.append(np.column_stack([sets[ok], sets[ok + lag]]))
+        return out
+
+    def many(sets, sizes, groups, points) -> np.ndarray:
+        parent = np.arange(len(sets))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        # Sets that can be similar have as many groups or twice as many.
+        for g in np.unique(groups):
+            own, next_ = np.flatnonzero(groups == g), np.flatnonzero(groups == 2 * g)
+            tree = RTree(folded(points[own], g), sizes[own])
+            found = [(own, tree, own, tree, True)]
+            if len(next_):
+                found.append((own, tree, next_, RTree(folded(points[next_], g), sizes[next_]), False))
+            for rows_a, a, rows_b, b, same in found:
+                for i, j in pairs(a, b, percent, same):
+                    for x, y in zip(rows_a[a.order[i]].tolist(), rows_b[b.order[j]].tolist()):
+                        p, q = root(x), root(y)
+                        if p != q:
+                            parent[max(p, q)] = min(p, q)
+        tops = np.array([root(x) for x in range(len(sets))])
+        tied = np.flatnonzero(tops != np.arange(len(sets)))
+        return np.column_stack([sets[tied], sets[tops[tied]]])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, all_tied = None, None  # the last gram's rows so far; a gram of too many rows and its first set
+
+        def tie(gram, *rest) -> list[np.ndarray]:
+            starts = np.flatnonzero(np.diff(gram, prepend=gram[0] - 1))
+            lengths = np.diff(starts, append=len(gram))
+            short = np.repeat(lengths <= 16, lengths)
+            out = few(gram[short], *(x[short] for x in rest))
+            for lo, n in zip(starts[lengths > 16].tolist(), lengths[lengths > 16].tolist()):
+                out.append(many(*(x[lo : lo + n] for x in rest)))
+            return out
+
+        def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["src", "dst"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            packed = batch.column("point").to_pylist()
+            raw = np.frombuffer(b"".join(x.ljust(GROUPS, b"\0") for x in packed), np.uint8).reshape(-1, GROUPS)
+            new = [batch.column(c).to_numpy() for c in ("gram", "set", "n_shingles")]
+            new += [np.fromiter(map(len, packed), np.int64, len(packed)), np.where(raw == MANY, 1 << 20, raw).astype(np.int32)]
+            found = []
+            if all_tied is not None:
+                more = new[0] == all_tied[0]
+                found.append(np.column_stack([new[1][more], np.full(int(more.sum()), all_tied[1])]))
+                new = [x[~more] for x in new]
+                if len(new[0]):
+                    all_tied = None
+            now = new if held is None else [np.concatenate([a, b]) for a, b in zip(held, new)]
+            held = None
+            if len(now[0]):
+                last = int(np.flatnonzero(now[0] == now[0][-1])[0])
+                if last:
+                    found += tie(*(x[:last] for x in now))
+                held = [x[last:] for x in now]
+                if len(held[0]) > MOST_SEARCHED:
+                    all_tied = (held[0][0], held[1][0])
+                    found.append(np.column_stack([held[1][1:], np.full(len(held[1]) - 1, held[1][0])]))
+                    held = None
+            if found:
+                yield batch_of(found)
+        if held is not None and len(held[0]) > 1:
+            yield batch_of(tie(*held))
+
+    return rows
+
+
 class RTree:
     """Points packed by sort-tile order into leaves and nodes that keep upper bounds of counts and least set sizes."""
 
@@ -224,7 +337,7 @@ def linked(ids: list, sets: list[np.ndarray], left: np.ndarray, right: np.ndarra
     def tree(which: np.ndarray) -> RTree:
         points = np.zeros((len(which), GROUPS), np.int32)
         for row, k in enumerate(which.tolist()):
-            points[row] = np.bincount((sets[k] >> _U(8) & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+            points[row] = point(sets[k], GROUPS)
         return RTree(points, np.array([len(sets[k]) for k in which.tolist()], np.int64))
 
     same = left is right
@@ -267,11 +380,14 @@ def jaccard_components(
     rows = shared.orderBy(F.desc("times"), "gram").limit(most_common).select("gram").toArrow()
     common = spark.sparkContext.broadcast(np.sort(rows.column(0).to_numpy().view(np.uint64)))
     alike = ["n_shingles", "h1", "h2"]  # equal sets are one set with one representative
-    reps = stage(found.where("n_shingles > 0").groupBy(*alike).agg(F.min("_id").alias("rep")), "jaccard-reps")
+    reps = stage(found.where("n_shingles > 0").groupBy(*alike).agg(F.min("_id").alias("rep"), F.first("point").alias("point")), "jaccard-reps")
 
     ties = _ties(docs, text_col, n, percent, common)
-    hubs = ties.groupBy("gram").agg(F.min("set").alias("hub"), F.max("set").alias("_far")).where("hub < _far").drop("_far")
-    tied = components(ties.join(hubs, "gram").select(F.col("set").alias("src"), F.col("hub").alias("dst")), "jaccard-ties")
+    met = ties.groupBy("gram").agg(F.min("set").alias("_near"), F.max("set").alias("_far")).where("_near < _far").select("gram")
+    points = reps.select(F.col("h1").alias("set"), "n_shingles", "point")
+    meetings = ties.join(met, "gram").join(points, "set").select("gram", "set", "n_shingles", "point")
+    pairs_found = meetings.repartition("gram").sortWithinPartitions("gram").mapInArrow(_search(percent), "src bigint, dst bigint")
+    tied = components(pairs_found, "jaccard-ties")
 
     near = reps.join(tied, reps["h1"] == tied["node"]).select("rep", "n_shingles", F.col("component").alias("tied"))
     near = running_totals(near.where("rep IS NOT NULL"), ["tied", "n_shingles", "rep"], "n_shingles", "jaccard-near")
@@ -286,22 +402,25 @@ def jaccard_components(
         tile_pairs.where("tile < tile2").select("tied", F.col("tile2").alias("tile"), F.col("tile").alias("i"), F.col("tile2").alias("j"))
     )
 
+    # Small components share a group; a pair of tiles of a large one is a group of its own. All this is settled on
+    # rows without texts, so sets move once.
+    total = near.agg(F.sum("n_shingles")).first()[0] or 0
+    bins = max(1, int(total // tile) * 2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    group = F.when(F.col("j") > 0, F.xxhash64("tied", "i", "j")).otherwise(F.pmod(F.xxhash64("tied"), F.lit(bins)))
+    near = near.join(sides, ["tied", "tile"]).groupBy("rep", "tied", "tile").agg(F.collect_list(F.struct("i", "j", group.alias("bin"))).alias("places"))
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "_text"):
             packed = pa.array([s.tobytes() for s in gram_sets(texts, n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("tied"), part.column("tile"), packed], ["rep", "tied", "tile", "grams"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "tied", "tile", "places")), packed], ["rep", "tied", "tile", "places", "grams"])
 
-    # Rows that repeat an id may hold different texts; all of them are verified under that id.
+    # Rows that repeat an id may hold different texts; all of them are verified under that id. The hint keeps one plan
+    # at every size: ``near`` grows with the corpus.
     kind = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    schema = T.StructType([T.StructField("rep", kind), T.StructField("tied", T.LongType()), T.StructField("tile", T.IntegerType()), T.StructField("grams", T.BinaryType())])
-    sets = texts.join(near, texts["_id"] == near["rep"]).select("rep", "tied", "tile", "_text").mapInArrow(grams, schema)
-    # Small components share a task's group; a pair of tiles of a large one is a group of its own.
-    total = near.agg(F.sum("n_shingles")).first()[0] or 0
-    bins = max(1, int(total // tile) * 2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    work = sets.join(sides, ["tied", "tile"]).withColumn("_alone", F.col("j") > 0).withColumn(
-        "bin", F.when(F.col("_alone"), F.xxhash64("tied", "i", "j")).otherwise(F.pmod(F.xxhash64("tied"), F.lit(bins)))
-    )
+    schema = T.StructType([T.StructField("rep", kind), T.StructField("tied", T.LongType()), T.StructField("tile", T.IntegerType()), near.schema["places"], T.StructField("grams", T.BinaryType())])
+    sets = texts.join(near.hint("merge"), texts["_id"] == near["rep"]).select("rep", "tied", "tile", "places", "_text").mapInArrow(grams, schema)
+    work = sets.select("rep", "tied", "tile", "grams", F.explode("places").alias("p")).select("rep", "tied", "tile", "grams", "p.i", "p.j", "p.bin")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -329,4 +448,4 @@ def jaccard_components(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component."""
     least = jaccard_components(docs, id_col, text_col, **how).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
-    return docs.join(least, docs[id_col].eqNullSafe(F.col("_stays")), "left_semi")
+    return docs.join(least, docs[id_col].eqNullSafe(least["_stays"]), "left_semi")
