@@ -88,3 +88,14 @@ def test_vocabulary_keeps_old_ids(spark):
 def test_recommendations_without_errors(spark):
     empty = spark.createDataFrame([], "error_type string, reason string")
     assert [r.code for r in errors.recommendations(empty).collect()] == ["good"]
+
+
+def test_scoring_hook_loads_a_model_once_a_task(spark):
+    from boxspark.operators import pixels
+
+    def model():
+        factor = 2  # what a real model would load
+        return lambda frame: frame.assign(score=frame["id"] * factor)
+
+    rows = pixels.scored(spark.range(10, numPartitions=2), model, "id bigint, score bigint").collect()
+    assert sorted((r.id, r.score) for r in rows) == [(i, 2 * i) for i in range(10)]
