@@ -18,7 +18,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import types as T
 
 from boxspark.llm.common import new_path, running_totals, slices, stage
 
-WINDOW, MASK, LEAST, MOST = 16, 255, 64, 1024
+WINDOW, MASK, LEAST, MOST = 16, 511, 128, 2048
 END_ID = 2
 
 
@@ -40,64 +39,66 @@ BYTE_LETTERS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enum
 TRIAL = ("Word", "don't", "it's,", "x'S", "(a)--b2C34", "Größe", "ÉTÉ'll", "ñ'mß", "++", "<|a|>", "A'Re")
 
 
-class WordTokenizer:
+class WordTokenizer(dict):
     """Ids of whole texts by a ``tokenizers`` file whose pre-tokenizer never joins words across white space.
 
-    Words and their pieces go through the tokenizer once for as long as they are remembered; at ``remember`` words the
-    memory starts anew."""
+    A mapping from words to their ids (as bytes) that asks the tokenizer for a word when it first meets it; at
+    ``remember`` words the memory starts anew."""
 
-    def __init__(self, path: str, remember: int = 700_000):
+    def __init__(self, path: str, remember: int = 600_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
-        self.encode_words = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(added) or r"(?!)").search
+        self.special = re.compile("|".join(added) or r"(?!)", re.IGNORECASE).search
         self.by_piece = self.tokenizer.model.tokenize
-        self.known: dict[bytes, bytes] = {}
         self.known_pieces: dict[str, bytes] = {}
         # The model is asked directly only where a trial shows that this file splits words as ``pieces`` does.
         self.plain = all(
-            [t.id for p in self.pieces(word) for t in self.by_piece(p)] == self.tokenizer.encode(word, add_special_tokens=False).ids for word in TRIAL
+            [t.id for p in self.pieces(word) for t in self.by_piece(p)] == self.whole(word) == self.whole(word.lower()) for word in TRIAL
         )
 
+    def whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
     def pieces(self, text: str) -> list[str] | None:
         """What the tokenizer's normalizer and pre-tokenizer make of a plain word, or None where that is theirs to say.
 
         In words of visible ASCII and Latin-1 letters only, lower-casing is all that normalizing does."""
         if text.isascii() and text.isalpha():
-            return None if self.special(text) else [text.lower()]
+            return [text.lower()]
         if not PLAIN.fullmatch(text) or self.special(text):
             return None
         split = SPLIT.findall(text.lower())
         return split if text.isascii() else ["".join(map(BYTE_LETTERS.__getitem__, p.encode())) for p in split]
 
-    def learn(self, words: list[bytes]) -> None:
-        other, cache = [], self.known_pieces
-        for word in words:
-            split = self.pieces(word.decode()) if self.plain else None
-            if split is None:
-                other.append(word)
-                continue
+    def __missing__(self, word: bytes) -> bytes:
+        text, cache = word.decode(), self.known_pieces
+        split = self.pieces(text) if self.plain else None
+        if split is None:
+            ids = array("I", self.whole(text)).tobytes()
+        else:
             for p in split:
                 if p not in cache:
                     cache[p] = array("I", [t.id for t in self.by_piece(p)]).tobytes()
-            self.known[word] = cache[split[0]] if len(split) == 1 else b"".join([cache[p] for p in split])
-        for at in range(0, len(other), 4096):
-            some = other[at : at + 4096]
-            for word, x in zip(some, self.encode_words([w.decode() for w in some], add_special_tokens=False)):
-                self.known[word] = array("I", x.ids).tobytes()
+            ids = cache[split[0]] if len(split) == 1 else b"".join([cache[p] for p in split])
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts, each closed by ``end_id``, and where each text's ids end."""
-        split = [(t or "").encode().split() for t in texts]
-        if len(self.known) > self.remember:
-            self.known, self.known_pieces = {}, {}
-        known = self.known
-        self.learn([w for w in set(chain.from_iterable(split)) if w not in known])
-        close = array("I", [end_id]).tobytes()
-        rows = [b"".join([*map(known.__getitem__, words), close]) for words in split]
+        if len(self) > self.remember:
+            self.clear()
+            self.known_pieces.clear()
+        ids_of, close, rows = self.__getitem__, array("I", [end_id]).tobytes(), []
+        for text in texts:
+            raw = (text or "").encode()
+            # One case makes fewer words; a text with a special token in any case keeps its own.
+            if self.plain and not self.special(text or ""):
+                raw = raw.lower()
+            rows.append(b"".join([*map(ids_of, raw.split()), close]))
         ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows))) // 4
         return np.frombuffer(b"".join(rows), np.uint32), ends
 

@@ -5,8 +5,8 @@ transitions are learned by gradient ascent on the labelled tokens' likelihood. F
 probability of being toxic; a document's score is a logistic function of these marginals, and runs of tokens above
 one half are its offending spans.
 
-Labels are of documents, so tokens are labelled by what documents say over the whole training fold: in a toxic
-document a token is toxic when one of its features stands in toxic documents far more often than chance allows.
+Labels are of documents, so tokens are labelled by what the training documents say: in a toxic document a token is
+toxic when one of its features stands in toxic documents far more often than in clean ones.
 """
 
 from __future__ import annotations
@@ -148,39 +148,48 @@ def summaries(p: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lexicon(train: DataFrame, text_col: str, label_col: str, least_documents: int, least_lift: float) -> np.ndarray:
-    """Hashes of the features that mark toxic documents, counted over every labelled training document."""
+def _document_counts(rows: DataFrame, only: np.ndarray | None) -> DataFrame:
+    """(feature, documents): in how many rows of ``_text`` a feature stands, of those in ``only`` where it is given."""
+    wanted = rows.sparkSession.sparkContext.broadcast(only)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "_text"):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = wanted.value
+        for _, texts in slices(batches, "_text"):
             hashes, ends = document_features(texts)
-            labels = np.array(part.column("_label").to_pylist(), np.int64)
-            width = hashes.shape[1]
-            doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0) * width)
+            doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0) * hashes.shape[1])
             flat = hashes.reshape(-1)
+            keep = flat != 0
+            if only is not None:
+                at = np.minimum(np.searchsorted(only, flat), max(len(only) - 1, 0))
+                keep &= only[at] == flat if len(only) else False
+            flat, doc = flat[keep], doc[keep]
             order = np.lexsort((doc, flat))
             flat, doc = flat[order], doc[order]
             new = np.ones(len(flat), bool)
             new[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
-            flat, toxic = flat[new & (flat != 0)], labels[doc[new & (flat != 0)]]
-            seen, at = np.unique(flat, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seen.view(np.int64)), pa.array(np.bincount(at, minlength=len(seen)), pa.int64()), pa.array(np.bincount(at, toxic, minlength=len(seen)).astype(np.int64))],
-                ["feature", "documents", "toxic"],
-            )
-
-    base = train.agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("toxic")).first()
-    if not base["n"] or not base["toxic"] or base["toxic"] == base["n"]:
+            seen, n = np.unique(flat[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n, pa.int64())], ["feature", "documents"])
+
+    return rows.select("_text").mapInArrow(count, "feature bigint, documents bigint").groupBy("feature").agg(F.sum("documents").alias("documents"))
+
+
+def _lexicon(sample: DataFrame, least_documents: int, least_share: float) -> np.ndarray:
+    """Hashes of the features that mark toxic documents of the sample: in enough of them, in few clean ones, and far
+    from chance. Clean documents are counted only for features that stand in enough toxic ones."""
+    n = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n.get(1) or not n.get(0):
         return np.zeros(0, np.uint64)
-    rate = base["toxic"] / base["n"]
-    counts = train.select(F.col(text_col).alias("_text"), F.col(label_col).alias("_label")).mapInArrow(rows, "feature bigint, documents bigint, toxic bigint")
-    counts = counts.groupBy("feature").agg(F.sum("documents").alias("documents"), F.sum("toxic").alias("toxic"))
-    share = F.col("toxic") / F.col("documents")
-    # z-score of the count against the base rate; strong features stand first, at most 100,000 of them (0.8 MB).
-    z = (F.col("toxic") - F.col("documents") * rate) / F.sqrt(F.col("documents") * rate * (1 - rate))
-    strong = counts.where((F.col("toxic") >= least_documents) & (share >= least_lift) & (z >= 5.0))
-    found = strong.orderBy(F.desc(z), "feature").limit(100_000).select("feature").toArrow()
-    return np.sort(found.column(0).to_numpy().view(np.uint64))
+    found = _document_counts(sample.where("_label = 1"), None).where(F.col("documents") >= least_documents).toArrow()
+    features, toxic = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(features)
+    features, toxic, clean = features[order], toxic[order], np.zeros(len(features))
+    found = _document_counts(sample.where("_label = 0"), features).toArrow()
+    clean[np.searchsorted(features, found.column(0).to_numpy().view(np.uint64))] = found.column(1).to_numpy()
+    # The sample's labels are not as frequent as the corpus's; rates within each label are.
+    share, rate = toxic / n[1], clean / n[0]
+    both = (toxic + clean) / (n[1] + n[0])
+    z = (share - rate) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[1] + 1 / n[0]))
+    return features[(share >= least_share * (share + 10 * rate)) & (z >= 4.0)]
 
 
 def _fit(sample: list[tuple[str, int]], lexicon: np.ndarray, rounds: int = 30, l2: float = 1e-4) -> Crf:
@@ -237,30 +246,30 @@ def _fit(sample: list[tuple[str, int]], lexicon: np.ndarray, rounds: int = 30, l
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None,
-    sample_rows: int = 2_000, sample_chars: int = 4_000_000, least_documents: int = 4, least_lift: float = 0.5,
+    toxic_rows: int = 8_000, clean_rows: int = 24_000, fit_rows: int = 2_000, fit_chars: int = 4_000_000, least_documents: int = 4, least_share: float = 0.5,
 ) -> Crf:
-    """Learn from the labelled rows that ``learn`` admits (by default those outside the held-out fold).
-
-    Feature counts are over all of them. The CRF's weights are fitted on a bounded sample: at most ``sample_rows``
-    documents of either label, the first by a hash of the id, and at most ``sample_chars`` characters in all, whole
-    texts. Null labels and ids teach nothing; several labels of an id count as toxic if one is.
+    """Learn from a bounded sample of the labelled rows that ``learn`` admits (by default those outside the held-out
+    fold): the first ``toxic_rows`` and ``clean_rows`` ids by a hash, whole texts. Feature counts are over all of the
+    sample; the CRF's weights are fitted on its first ``fit_rows`` of either label, at most ``fit_chars`` characters in
+    all. Null labels and ids teach nothing; several labels of an id count as toxic if one is.
     """
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_labelled")).agg(F.max(label_col).cast("int").alias("_label"))
-    known = known.where(~in_held_out_fold("_labelled") if learn is None else learn)
-    rows = stage(
-        docs.join(known, docs[id_col] == known["_labelled"]).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), "_label"), "toxicity-labelled"
+    known = labels.select(F.col(id_col).alias("_labelled"), F.col(label_col).cast("int").alias("_label")).where("_label IS NOT NULL AND _labelled IS NOT NULL")
+    known = known.groupBy("_labelled").agg(F.max("_label").alias("_label"))
+    known = known.where(~in_held_out_fold("_labelled") if learn is None else learn).withColumn("_o", F.xxhash64("_labelled"))
+    ids = [known.where(F.col("_label") == k).orderBy("_o", "_labelled").limit(n) for k, n in ((1, toxic_rows), (0, clean_rows))]
+    ids = stage(ids[0].unionByName(ids[1]), "toxicity-sample")  # at most toxic_rows + clean_rows rows, so it may be sent
+    sample = stage(
+        docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_labelled")).select("_text", "_label", "_o"), "toxicity-labelled"
     )
-    lexicon = _lexicon(rows, "_text", "_label", least_documents, least_lift)
-    order = F.xxhash64("_id")
-    sample, used = [], 0
+    lexicon = _lexicon(sample, least_documents, least_share)
+    fit, used = [], 0
     for label in (1, 0):
-        some = rows.where(F.col("_label") == label).select("_text", "_label", order.alias("_o"), F.length("_text").alias("_n")).orderBy("_o", "_text").limit(sample_rows)
-        for r in some.toLocalIterator():
-            if used + r["_n"] > sample_chars * (2 - label) // 2:
-                break
-            used += r["_n"]
-            sample.append((r["_text"], r["_label"]))
-    return _fit(sample, lexicon)
+        some = sample.where(F.col("_label") == label).select("_text", "_label", "_o", F.length("_text").alias("_n")).orderBy("_o", "_text").limit(fit_rows)
+        for r in some.collect():  # at most fit_rows rows
+            if used + r["_n"] <= fit_chars * (2 - label) // 2:
+                used += r["_n"]
+                fit.append((r["_text"], r["_label"]))
+    return _fit(fit, lexicon)
 
 
 def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
