@@ -67,7 +67,7 @@ def running_totals(df: DataFrame, order: list[str], value: str, name: str) -> Da
     )
 
 
-def slices(batches: Iterator, text: str, most: int = 2_000_000) -> Iterator[tuple]:
+def slices(batches: Iterator, text: str, most: int = 600_000) -> Iterator[tuple]:
     """(rows, texts) of Arrow batches, cut so that one slice holds about ``most`` bytes of text or one row."""
     for batch in batches:
         sizes = batch.column(text).nbytes

@@ -73,7 +73,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     before[1:] = is_space[:-1]
     starts = np.flatnonzero(~is_space & before)
     ends = np.flatnonzero(is_space & ~before)
-    up, down = _powers(1 << max(21, len(data).bit_length()))
+    up, down = _powers(1 << max(20, len(data).bit_length()))
     with np.errstate(over="ignore"):
         sums = np.cumsum(values[data] * up[: len(data)], dtype=np.uint64)
         hashes = _mix((sums[ends - 1] - np.where(starts > 0, sums[starts - 1], _U(0))) * down[starts]) if len(starts) else np.zeros(0, np.uint64)
@@ -282,7 +282,7 @@ class RTree:
     """Points packed by sort-tile order into leaves and nodes that keep upper bounds of counts and least set sizes."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        spread = np.argsort(-points.var(axis=0), kind="stable")[:3]
+        spread = np.argsort(-points[:: max(1, len(points) // 2000)].var(axis=0), kind="stable")[:3]
         order = np.argsort(sizes, kind="stable")
         for level, axis in enumerate(spread):
             run = max(FAN_OUT, int(len(order) ** ((3 - level) / 4)))
@@ -335,12 +335,13 @@ def linked(ids: list, sets: list[np.ndarray], left: np.ndarray, right: np.ndarra
         return x
 
     def tree(which: np.ndarray) -> RTree:
-        points = np.zeros((len(which), GROUPS), np.int32)
+        points = np.zeros((len(which), groups), np.int32)
         for row, k in enumerate(which.tolist()):
-            points[row] = point(sets[k], GROUPS)
+            points[row] = point(sets[k], groups)
         return RTree(points, np.array([len(sets[k]) for k in which.tolist()], np.int64))
 
     same = left is right
+    groups = n_groups(max(len(sets[k]) for k in np.concatenate([left, right]).tolist()))
     ta = tree(left)
     tb = ta if same else tree(right)
     out = []
@@ -361,7 +362,7 @@ def linked(ids: list, sets: list[np.ndarray], left: np.ndarray, right: np.ndarra
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80,
-    tile: int = 1_000_000, most_common: int = 500_000,
+    tile: int = 500_000, most_common: int = 500_000,
 ) -> DataFrame:
     """One row a row of ``docs``: id, n_shingles, component_id.
 

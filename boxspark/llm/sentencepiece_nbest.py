@@ -37,7 +37,7 @@ _BASE = 0x9E3779B97F4A7C15
 class Model:
     """Pieces of a SentencePiece model and the best paths of segments seen lately."""
 
-    def __init__(self, path: str, remember: int = 250_000):
+    def __init__(self, path: str, remember: int = 120_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -66,7 +66,7 @@ class Model:
     def _tabulate(self) -> None:
         """An open-addressing table from the hash of each prefix of a piece to its piece (-1: none)."""
         names = {p[:k]: -1 for p in self.pieces for k in range(1, len(p))} | {p: i for p, (i, _) in self.pieces.items()}
-        self.bits = 20
+        self.bits = 18
         self.slots, self.found = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -2, np.int32)
         for name, i in names.items():
             h = 0
