@@ -159,10 +159,16 @@ def mix(
     return documents, slots, pieces.select("_source", "block", "_id", "from_word", "words")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes its words, to the nearest whole number; not taken: left out."""
-    documents, _, _ = mix(docs, id_col, text_col, source_col, **how)
-    times = documents.groupBy(id_col).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).where("_times > 0").withColumnRenamed(id_col, "_mixed")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **how) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes its words, in whole takes; not taken: left out.
+
+    A document's taken / size is rounded up with its fraction as the chance, drawn from a hash of the seed and the id,
+    so a source's words in the result are its taken words on average, whatever the length of its documents."""
+    documents, _, _ = mix(docs, id_col, text_col, source_col, seed, **how)
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("round"), F.lit(seed), id_col), 32) / F.lit(float(1 << 32))
+    share = F.sum("taken") / F.sum("size")
+    times = documents.groupBy(id_col).agg(share.alias("_share")).withColumn("_times", F.floor(F.col("_share") + chance).cast("int"))
+    times = times.where("_times > 0").select(F.col(id_col).alias("_mixed"), "_times")
     joined = docs.join(times, docs[id_col].eqNullSafe(times["_mixed"]))
     copy = "_".join([*docs.columns, "copy"])  # no column of docs has this name
     repeated = joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), times["_times"])).alias(copy))

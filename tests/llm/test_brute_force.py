@@ -234,6 +234,23 @@ def test_mixing_targets_and_takes(spark):
     assert mixing.mixed_documents(df).columns == df.columns
 
 
+def test_mixed_documents_keep_the_targets_of_long_documents(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(rng.integers(300, 900))), f"s{i % 3}") for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sizes, source, size = defaultdict(int), {r[0]: r[2] for r in rows}, {r[0]: len(r[1].split()) for r in rows}
+    for i, n in size.items():
+        sizes[source[i]] += n
+    words, times = defaultdict(int), Counter()
+    for r in mixing.mixed_documents(df).collect():
+        words[r.source] += size[r.doc_id]
+        times[r.doc_id] += 1
+    for s, target in _targets(sizes).items():
+        assert abs(words[s] - target) <= 0.12 * target, (s, words[s], target)
+    assert max(times.values()) <= 3
+    assert sorted(r.doc_id for r in mixing.mixed_documents(df).collect()) == sorted(times.elements())
+
+
 def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 7, 100):
         rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("bigint"), [F.lit("k")]).alias("p")).collect()
