@@ -344,3 +344,27 @@ def test_image_copies(spark):
     got = {r.image_id: r.copy_of for r in image_copies.copies(df, tile=5, few=3).collect()}
     assert got == {i: i % 10 if i < 50 else 0 if i == 50 else i for i in got} and len(got) == len(rows)
     assert image_copies.copies(df.limit(0)).count() == 0
+
+
+def test_changed_image_copies_are_found(spark):
+    rng, side = np.random.default_rng(3), 32
+    pixels = []
+    for k in range(60):
+        a = np.clip(128 + 30 * image_copies.resized(rng.normal(0, 1, (8, 8)), side, side), 0, 255)
+        pixels += [a, a + rng.normal(0, 3, a.shape), a + rng.normal(0, 5, a.shape), image_copies._smooth(image_copies._smooth(a)), image_copies.resized(a, 38, 38), image_copies.resized(a, 26, 26)]
+    pixels = [np.rint(np.clip(a, 0, 255)).astype(np.uint8) for a in pixels]
+    df = spark.createDataFrame([(i, a.shape[1], a.shape[0], a.tobytes()) for i, a in enumerate(pixels)], "image_id bigint, width int, height int, pixels binary")
+    found = [image_copies.corners(a.astype(float)) for a in pixels]
+    links = [(x, y) for x, y in itertools.combinations(range(len(pixels)), 2) if x // 6 == y // 6 and image_copies.are_copies(found[x], found[y])]
+    assert len(links) > 100
+    for few in (3, 10_000):  # a switch of size must not change what is found
+        got = {r.image_id: r.copy_of for r in image_copies.copies(df, few=few).collect()}
+        assert sum(got[x] == got[y] for x, y in links) >= 0.9 * len(links), few
+
+
+def test_possible_copies_leave_no_copy_out():
+    rng = np.random.default_rng(6)
+    images = [np.clip(128 + 30 * image_copies.resized(rng.normal(0, 1, (8, 8)), 32, 32), 0, 255) for _ in range(20)]
+    own = [c for a in images for c in (image_copies.corners(a), image_copies.corners(np.rint(a + rng.normal(0, 4, a.shape)))) if len(c)]
+    got = set(image_copies.possible(own, own, step=7))
+    assert all((x, y) in got for x in range(len(own)) for y in range(len(own)) if image_copies.are_copies(own[x], own[y]))
