@@ -101,6 +101,26 @@ def w6_sorted_images(spark, d):
     return rows.orderBy("name")
 
 
+@query(f"WITH {_HIST}, u AS (SELECT run, 'lr0' AS name, lr0 AS value, fitness FROM hist UNION ALL SELECT run, 'momentum', momentum, fitness FROM hist UNION ALL SELECT run, 'box', box, fitness FROM hist) SELECT run, name, round(CASE WHEN stddev_pop(value) > 0 THEN corr(value, fitness) ELSE 0 END, 4) AS importance FROM u GROUP BY 1, 2 HAVING count(value) = count(*)")
+def a10_parameter_importance_of_runs(spark, d):
+    return tuning.parameter_importance(fx.history(spark, d), ["lr0", "momentum", "box"], "fitness", "row", by=("run",))
+
+
+@query(f"WITH {_HIST} SELECT run, rank::INT AS rank, row, fitness FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY fitness DESC, row) AS rank FROM hist) WHERE rank <= 5")
+def w3_top_of_runs(spark, d):
+    return tuning.top_runs(fx.history(spark, d), "fitness", "row", by=("run",))
+
+
+@query(f"WITH {_HIST}, b AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY fitness DESC, row) AS rank FROM hist) SELECT run, max(row) AS last_id, arg_max(fitness, row) AS last_fitness, max(fitness) AS best_fitness, min(row) FILTER (rank = 1) AS best_id FROM b GROUP BY 1")
+def w4_best_and_last_of_runs(spark, d):
+    return tuning.last_and_best(fx.history(spark, d), "fitness", "row", by=("run",))
+
+
+@query("SELECT o_orderkey AS image_id, concat(o_orderkey, '.txt') AS name FROM orders")
+def w6_all_sorted_images(spark, d):
+    return fx.images(spark, d).select("image_id", F.concat(F.col("image_id").cast("string"), F.lit(".txt")).alias("name")).orderBy("name")
+
+
 @query(with_sql("SELECT image_id, CASE WHEN r <= floor(n * 0.7) THEN 'train' WHEN r <= floor(n * 0.7) + floor(n * 0.2) THEN 'val' ELSE 'test' END AS split FROM (SELECT image_id, row_number() OVER (ORDER BY md5(concat(image_id, '|42')), image_id) AS r, count(*) OVER () AS n FROM images)"))
 def w7_split_dataset(spark, d):
     return stats.split_dataset(fx.images(spark, d))

@@ -99,3 +99,13 @@ def test_scoring_hook_loads_a_model_once_a_task(spark):
 
     rows = pixels.scored(spark.range(10, numPartitions=2), model, "id bigint, score bigint").collect()
     assert sorted((r.id, r.score) for r in rows) == [(i, 2 * i) for i in range(10)]
+
+
+def test_tuning_of_each_run(spark):
+    rows = spark.createDataFrame([(r, k, str(k * r), " " if r == 2 and k == 1 else str(-k), str(float(k if r < 3 else -k))) for r in (1, 2, 3) for k in range(1, 5)], "run int, row int, a string, b string, fitness string")
+    got = {(r.run, r.name): r.importance for r in tuning.parameter_importance(rows, ["a", "b"], "fitness", "row", by=("run",)).collect()}
+    assert got == {(1, "a"): 1.0, (1, "b"): -1.0, (2, "a"): 1.0, (3, "a"): -1.0, (3, "b"): 1.0}
+    best = sorted((r.run, r["rank"], r.row) for r in tuning.top_runs(rows, "fitness", "row", 2, by=("run",)).collect())
+    assert best == [(1, 1, 4), (1, 2, 3), (2, 1, 4), (2, 2, 3), (3, 1, 1), (3, 2, 2)]
+    ends = sorted((r.run, r.last_id, r.last_fitness, r.best_id, r.best_fitness) for r in tuning.last_and_best(rows, "fitness", "row", by=("run",)).collect())
+    assert ends == [(1, 4, 4.0, 4, 4.0), (2, 4, 4.0, 4, 4.0), (3, 4, -4.0, 1, -1.0)]
