@@ -192,16 +192,23 @@ def n2_lloyd_step(spark, d):
     return anchors.lloyd_step(fx.labels(spark, d), ANCHORS).select("k", "n", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h", "avg_iou")))
 
 
+@query()
+def n2_kmeans(spark, d):
+    labels = fx.labels(spark, d)
+    found, score = anchors.kmeans(labels, len(ANCHORS))
+    return anchors.validation(labels, found).select(F.lit(round(score, 6)).alias("avg_iou"), F.round("mean_best_iou", 6).alias("mean_best_iou"), "n")
+
+
 @query()
 def n3_silhouette(spark, d):
-    value = anchors.silhouette(fx.labels(spark, d), ANCHORS, 300)
+    value = anchors.silhouette(fx.labels(spark, d), ANCHORS)
     return anchors.validation(fx.labels(spark, d), ANCHORS).select(F.lit(round(value, 6)).alias("silhouette"), "n")
 
 
 @query()
 def n4_choose_k(spark, d):
     labels = fx.labels(spark, d)
-    k, found, score = anchors.choose_k(labels, 2, 3, rounds=3)
+    k, found, score = anchors.choose_k(labels)
     return anchors.validation(labels, found).select(F.lit(k).alias("k"), F.lit(round(score, 6)).alias("score"), "n")
 
 
@@ -210,6 +217,12 @@ def n5_anchor_validation(spark, d):
     return anchors.validation(fx.labels(spark, d), ANCHORS).select(F.round("mean_best_iou", 6).alias("mean_best_iou"), "n")
 
 
+@query()
+def n5_scale_validation(spark, d):
+    rows = anchors.scale_validation(fx.labels(spark, d), {"P3": ANCHORS[:1], "P4": ANCHORS[1:3], "P5": ANCHORS[3:]})
+    return rows.select("scale", F.round("mean_best_iou", 6).alias("mean_best_iou"), "n")
+
+
 def _chance(what: str) -> str:
     return _UNIT.format(t=f"concat_ws('|', image_id, variant, '{what}', 7)")
 

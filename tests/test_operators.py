@@ -109,3 +109,36 @@ def test_tuning_of_each_run(spark):
     assert best == [(1, 1, 4), (1, 2, 3), (2, 1, 4), (2, 2, 3), (3, 1, 1), (3, 2, 2)]
     ends = sorted((r.run, r.last_id, r.last_fitness, r.best_id, r.best_fitness) for r in tuning.last_and_best(rows, "fitness", "row", by=("run",)).collect())
     assert ends == [(1, 4, 4.0, 4, 4.0), (2, 4, 4.0, 4, 4.0), (3, 4, -4.0, 1, -1.0)]
+
+
+def test_silhouette_scores_all_boxes(spark):
+    """Against the definition, box by box; a box that half of the rows hold counts as often as it occurs."""
+    rng = np.random.default_rng(9)
+    boxes = [tuple(float(x) for x in rng.uniform(0.1, 0.6, 4)) for _ in range(700)] + [(0.3, 0.3, 0.2, 0.2)] * 700 + [(0.5, 0.5, 0.0, 0.0)] * 3
+    df, centroids = spark.createDataFrame(boxes, "cx double, cy double, w double, h double"), [boxes[0], boxes[1], boxes[2], (0.9, 0.9, 0.01, 0.01)]
+    own = np.array([r.anchor for r in anchors.nearest_anchor(df, centroids).select("anchor", *("cx", "cy", "w", "h")).collect()])
+    order = [(r.cx, r.cy, r.w, r.h) for r in df.collect()]
+    assert order == boxes
+    apart = anchors._apart(np.array(boxes), np.array(boxes))
+    total = 0.0
+    for i in range(len(boxes)):
+        same = (own == own[i]) & (np.arange(len(boxes)) != i)
+        if same.any():
+            a, b = apart[i][same].mean(), min((apart[i][own == c].mean() for c in set(own) - {own[i]}), default=0.0)
+            total += (b - a) / (a + b) if a + b > 0 else 0.0
+    for block in (100, 2_048):
+        assert anchors.silhouette(df, centroids, block=block) == pytest.approx(total / len(boxes), abs=1e-9)
+    assert anchors.silhouette(df.limit(0), centroids) == 0.0 and anchors.silhouette(df.limit(1), centroids[:1]) == 1.0
+
+
+def test_validation_of_each_scale(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([tuple(float(x) for x in rng.uniform(0.1, 0.6, 4)) for _ in range(200)], "cx double, cy double, w double, h double")
+    own = {"P3": [(0.3, 0.3, 0.1, 0.1)], "P4": [(0.5, 0.5, 0.2, 0.3), (0.5, 0.4, 0.4, 0.2)], "P5": []}
+    got = {r.scale: (r.mean_best_iou, r.n) for r in anchors.scale_validation(df, own).collect()}
+    b = np.array([tuple(r) for r in df.collect()])
+    area = b[:, 2] * b[:, 3]
+    cuts = np.quantile(area, anchors.CUTS)
+    assert set(got) == {"all", "P3", "P4"}
+    for name, keep, a in (("all", area >= 0, own["P3"] + own["P4"]), ("P3", area <= cuts[1], own["P3"]), ("P4", (area >= cuts[1]) & (area <= cuts[2]), own["P4"])):
+        assert got[name] == (pytest.approx((1 - anchors._apart(b[keep], np.array(a))).max(axis=1).mean()), keep.sum())
