@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boxspark.llm import exact_dedup, image_copies, language_id, mixing, ngram_jaccard, secret_scan, sentencepiece_nbest, suffix_dedup, token_store, toxicity
 from boxspark.llm.common import table
@@ -36,6 +37,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
+#: A value that this many sources, or different texts, hold is a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_TEXTS = 5, 10
+
+
+def op3_secret_scan_both_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged by owners and repositories. A different text is a repository, so copies of a document count once."""
+    text = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return secret_scan.digests(table(spark, sf_dir, "documents"), repository=text, example_owners=EXAMPLE_OWNERS, example_repositories=EXAMPLE_TEXTS)
+
+
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = image_copies.vector_images(table(spark, sf_dir, "embeddings"))
     return image_copies.copies(images).withColumnRenamed("image_id", "vec_id")
@@ -58,7 +69,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_secret_scan, op4_image_copies, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_secret_scan, op3_secret_scan_both_counts, op4_image_copies, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op9_toxicity, op10_exact_dedup)}
 
 
 OP10_SQL = r"""

@@ -65,13 +65,14 @@ def looks_random(value: Column) -> Column:
 
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | str = "doc_id", owner: Column | str = "source",
-    example_owners: int = 2,
+    example_owners: int = 2, example_repositories: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, values).
 
     documents: id, base and added (arrays of start, end, kind, value), examples and live (how many of the document's
     candidate values are widely copied, or held by one owner and random-looking). values: value_hash, repositories,
-    owners, copied. A value that ``example_owners`` or more owners hold is widely copied.
+    owners, copied. A value is widely copied when ``example_owners`` or more owners hold it or, where it is given, when
+    ``example_repositories`` or more repositories do; it can be live only when both counts stay below.
 
     Null texts are empty and have no span; a null owner is an owner of its own; null and repeated ids are ordinary
     rows (a repository is counted once a value). Rows whose texts have no candidate are kept with empty arrays. An
@@ -91,21 +92,22 @@ def scan(
         found.select("_id", "_repository", "_owner", "base", outside.alias("long")).withColumn("_row", F.monotonically_increasing_id()), "secret-spans"
     )
 
-    # One row a candidate, its value only as a hash. Counting goes (value, owner, repository), (value, owner), value:
-    # each step combines before it shuffles, so a value in a third of all rows stays small.
+    # One row a candidate, its value only as a hash. Counting goes (value, owner, repository), then (value, owner) and
+    # (value, repository), then value: each step combines before it shuffles, so a value in a third of all rows stays
+    # small. Nulls are counted as a repository or an owner of their own.
     candidates = found.where((F.size("base") > 0) | (F.size("long") > 0)).select(
         "_row", "_repository", "_owner", F.explode(F.concat("base", "long")).alias("span")
     ).withColumn("value_hash", F.sha2(F.col("span.value").cast("binary"), 256))
-    by_owner = (
-        candidates.select("value_hash", "_owner", "_repository").distinct().groupBy("value_hash", "_owner").agg(F.count(F.lit(1)).alias("_repositories"))
-    )
-    values = stage(
-        by_owner.groupBy("value_hash").agg(F.sum("_repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
-        .withColumn("copied", F.col("owners") >= example_owners), "secret-values",
-    )
-    # A hot value's rows would all meet its one count: counts of values in many repositories are repeated over salts.
+    held = stage(candidates.groupBy("value_hash", "_owner", "_repository").agg(F.count(F.lit(1)).alias("_rows")), "secret-held")
+    by_owner = held.groupBy("value_hash", "_owner").agg(F.sum("_rows").alias("_rows")).groupBy("value_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("_rows").alias("_rows"))
+    by_repository = held.select("value_hash", "_repository").distinct().groupBy("value_hash").agg(F.count(F.lit(1)).alias("repositories"))
+    copied = F.col("owners") >= example_owners
+    if example_repositories is not None:
+        copied = copied | (F.col("repositories") >= example_repositories)
+    values = stage(by_owner.join(by_repository, "value_hash").select("value_hash", "repositories", "owners", copied.alias("copied"), "_rows"), "secret-values")
+    # A hot value's rows would all meet its one count: counts of values in many rows are repeated over salts.
     salts = 16
-    hot = F.col("repositories") > 1_000
+    hot = F.col("_rows") > 1_000
     spread = values.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))))
     often = values.where(hot).select("value_hash", F.lit(True).alias("_hot"))
     judged = (
@@ -122,7 +124,7 @@ def scan(
         F.col("_id").alias(id_col), "base", F.coalesce("added", F.filter("base", lambda s: F.lit(False))).alias("added"),
         F.coalesce("examples", F.lit(0).cast("long")).alias("examples"), F.coalesce("live", F.lit(0).cast("long")).alias("live"),
     )
-    return documents, values
+    return documents, values.drop("_rows")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

@@ -195,6 +195,20 @@ def test_secret_scan(spark):
     assert secret_scan.digests(df.limit(0)).count() == 0
 
 
+def test_secrets_are_judged_by_owners_and_repositories(spark, tmp_path):
+    from boxspark.llm import queries
+
+    example, live = "AbC9xQ2mZ7kL4wR8tY1pN5", "Zq8Lm2Pw7Rk5Vt1Nc4Hd9"
+    rows = [(i, f"text {i} has {example} in it", "hot") for i in range(30)]
+    rows += [(100, f"my key {live} only", "a"), (101, f"my key {live} only", "b"), (102, f"my key {live} only", "a")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.queries()["op3_secret_scan_both_counts"](spark, str(tmp_path)).collect()}
+    assert all((got[i].n_examples, got[i].n_live, got[i].n_added) == (1, 0, 0) for i in range(30))
+    assert all((got[i].n_examples, got[i].n_live, got[i].spans) == (0, 1, f"owned:7:{7 + len(live)}") for i in (100, 101, 102))
+    _, values = secret_scan.scan(spark.read.parquet(str(tmp_path / "documents.parquet")), repository=F.col("text"))
+    assert sorted((r.repositories, r.owners) for r in values.collect()) == [(1, 2), (30, 1)]
+
+
 def _targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
