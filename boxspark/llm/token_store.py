@@ -35,28 +35,55 @@ PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: The letter that byte-level models write for a byte: itself where it is visible, else the next free one from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_LETTERS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
+BYTE_LETTERS = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
 TRIAL = ("Word", "don't", "it's,", "x'S", "(a)--b2C34", "Größe", "ÉTÉ'll", "ñ'mß", "++", "<|a|>", "A'Re")
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of each byte: 1 an ASCII letter, 2 a visible ASCII mark, 3 the apostrophe, 4 the first byte of a Latin-1 letter, else 0."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[33:127] = 2
+    kinds[[*range(48, 58)]] = 0
+    kinds[[*range(65, 91), *range(97, 123)]] = 1
+    kinds[ord("'")], kinds[0xC3] = 3, 4
+    return kinds
+
+
+def spaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes with spaces between letters and marks, where the spaces go): the pre-tokenizer splits there anyway, so
+    words come without their punctuation and fewer of them are different. What follows an apostrophe stays with it."""
+    kinds = _kinds()[data]
+    letter = kinds == 1
+    after = letter.copy()  # a letter ends here
+    latin = np.flatnonzero(kinds[:-1] == 4) + 1
+    after[latin[(data[latin] >= 0x80) & (data[latin] != 0x97) & (data[latin] != 0xB7)]] = True
+    before = letter | (kinds == 4)  # a letter may begin here: × and ÷, which begin alike, are left as they are
+    times = np.flatnonzero(kinds == 4)
+    second = data[np.minimum(times + 1, len(data) - 1)]
+    before[times[(second == 0x97) | (second == 0xB7)]] = False
+    mark = kinds == 2
+    at = np.flatnonzero((after[:-1] & (mark[1:] | (kinds[1:] == 3))) | (mark[:-1] & before[1:])) + 1
+    return np.insert(data, at, 32), at
+
+
 class WordTokenizer(dict):
     """Ids of whole texts by a ``tokenizers`` file whose pre-tokenizer never joins words across white space.
 
-    A mapping from words to their ids (as bytes) that asks the tokenizer for a word when it first meets it; at
-    ``remember`` words the memory starts anew."""
+    A mapping from words to their ids (as bytes) that asks the tokenizer for a word when it first meets it. At
+    ``remember`` words it becomes the older generation, from which words that are met again come back."""
 
     def __init__(self, path: str, remember: int = 600_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(added) or r"(?!)", re.IGNORECASE).search
+        self.tokenizer, self.remember, self.older = Tokenizer.from_file(path), remember, {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE).search
         self.by_piece = self.tokenizer.model.tokenize
-        self.known_pieces: dict[str, bytes] = {}
         # The model is asked directly only where a trial shows that this file splits words as ``pieces`` does.
-        self.plain = all(
+        self.plain = not any(a.isalpha() for a in added) and all(
             [t.id for p in self.pieces(word) for t in self.by_piece(p)] == self.whole(word) == self.whole(word.lower()) for word in TRIAL
         )
 
@@ -67,38 +94,51 @@ class WordTokenizer(dict):
         """What the tokenizer's normalizer and pre-tokenizer make of a plain word, or None where that is theirs to say.
 
         In words of visible ASCII and Latin-1 letters only, lower-casing is all that normalizing does."""
-        if text.isascii() and text.isalpha():
-            return [text.lower()]
-        if not PLAIN.fullmatch(text) or self.special(text):
+        if not PLAIN.fullmatch(text):
+            return None
+        if text.isalpha():
+            split = [text.lower()]
+        elif self.special(text):
             return None
-        split = SPLIT.findall(text.lower())
-        return split if text.isascii() else ["".join(map(BYTE_LETTERS.__getitem__, p.encode())) for p in split]
+        else:
+            split = SPLIT.findall(text.lower())
+        return split if text.isascii() else [p.encode().decode("latin-1").translate(BYTE_LETTERS) for p in split]
 
     def __missing__(self, word: bytes) -> bytes:
-        text, cache = word.decode(), self.known_pieces
-        split = self.pieces(text) if self.plain else None
-        if split is None:
-            ids = array("I", self.whole(text)).tobytes()
-        else:
-            for p in split:
-                if p not in cache:
-                    cache[p] = array("I", [t.id for t in self.by_piece(p)]).tobytes()
-            ids = cache[split[0]] if len(split) == 1 else b"".join([cache[p] for p in split])
+        ids = self.older.get(word)
+        if ids is None:
+            text = word.decode()
+            split = self.pieces(text) if self.plain else None
+            found = self.whole(text) if split is None else [t.id for p in split for t in self.by_piece(p)]
+            ids = array("I", found).tobytes()
         self[word] = ids
         return ids
 
+    def words(self, texts: list[str | None]) -> Iterator[list[bytes]]:
+        """The words of each text, as bytes. Where words are plain one case makes fewer of them, and punctuation is
+        split off; a text with a special token in any case keeps its own."""
+        raw = [(t or "").encode() for t in texts]
+        if not self.plain:
+            yield from (r.split() for r in raw)
+            return
+        own = [r if self.special(t or "") else None for r, t in zip(raw, texts)]
+        joined = b"".join(b"\n" if keep is not None else r.lower() + b"\n" for r, keep in zip(raw, own))
+        ends = np.cumsum(np.fromiter((1 if keep is not None else len(r) + 1 for r, keep in zip(raw, own)), np.int64, len(raw)))
+        data, at = spaced(np.frombuffer(joined, np.uint8))
+        data, start = data.tobytes(), 0
+        for keep, end in zip(own, (ends + np.searchsorted(at, ends)).tolist()):
+            yield data[start:end].split() if keep is None else keep.split()
+            start = end
+
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts, each closed by ``end_id``, and where each text's ids end."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self) > self.remember:
+            self.older = dict(self)
             self.clear()
-            self.known_pieces.clear()
-        ids_of, close, rows = self.__getitem__, array("I", [end_id]).tobytes(), []
-        for text in texts:
-            raw = (text or "").encode()
-            # One case makes fewer words; a text with a special token in any case keeps its own.
-            if self.plain and not self.special(text or ""):
-                raw = raw.lower()
-            rows.append(b"".join([*map(ids_of, raw.split()), close]))
+        ids_of, close = self.__getitem__, array("I", [end_id]).tobytes()
+        rows = [b"".join([*map(ids_of, words), close]) for words in self.words(texts)]
         ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows))) // 4
         return np.frombuffer(b"".join(rows), np.uint32), ends
 
