@@ -1,9 +1,10 @@
 """Content-addressed store of token ids.
 
 Layout of a store (all Parquet): ``chunks`` (digest, ids) holds each different chunk once, ids as little-endian
-integers of ``width`` bytes, digest their SHA-256; ``recipes`` (doc_id, start, n_tokens, digests, root) has a row a
-document in ascending doc_id order, root being the Merkle root of its digests; ``manifest`` (part, first, last,
-n_docs, n_tokens, root) has the Merkle root of each recipe file's document roots.
+integers of ``width`` bytes, digest their SHA-256; ``recipes`` (doc_id, start, n_tokens, digests, root, block) has a
+row a document in ascending doc_id order, root being the Merkle root of its digests; ``manifest`` (block, first, last,
+n_docs, n_tokens, root) has the Merkle root of the document roots of each block of up to ``BLOCK`` neighbours.
+Readers hold the recipes against the manifest, documents against their roots and chunks against their digests.
 
 A rolling hash over the last 16 ids cuts a document's ids where its low bits are zero, so copies of a passage fall
 into the same chunks wherever they stand.
@@ -29,7 +30,8 @@ from boxspark.llm.common import new_path, running_totals, slices, stage
 
 WINDOW, MASK, LEAST, MOST = 16, 511, 128, 2048
 END_ID = 2
-
+#: Bits of the number of documents in a manifest block.
+BLOCK_BITS = 12
 
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -239,20 +241,33 @@ def write_store(
     order = ["doc_id", "n_tokens", "root"]
     placed = running_totals(encoded.drop("chunks"), order, "n_tokens", "token-recipes").withColumnRenamed("before", "start")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    out(placed.select("doc_id", "start", "n_tokens", "digests", "root").repartitionByRange(n, "start").sortWithinPartitions("start"), "recipes")
+    recipes = placed.select("doc_id", "start", "n_tokens", "digests", "root").repartitionByRange(n, "start").sortWithinPartitions("start")
+    # Rows are numbered in a task from a multiple of every block size on, so blocks never cross files.
+    out(recipes.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "recipes")
+    out(_blocks(docs.sparkSession.read.parquet(f"{path}/recipes")), "manifest")
+
+
+def _blocks(recipes: DataFrame) -> DataFrame:
+    """A manifest of ``recipes``: at most 2 ** BLOCK_BITS rows meet in a block, without their digests."""
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # one row a recipe file
-            out = batch.to_pandas()
-            out["root"] = [merkle(list(r)) for r in out["root"]]
-            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+        for batch in batches:
+            tops = [merkle(r) for r in batch.column("root").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("root"), "root", pa.array(tops, pa.binary()))
 
-    recipes = docs.sparkSession.read.parquet(f"{path}/recipes")
-    parts = recipes.groupBy(F.col("_metadata.file_name").alias("part")).agg(
+    parts = recipes.groupBy("block").agg(
         F.min("start").alias("first"), F.max("start").alias("last"), F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"),
         F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda r: r["root"]).alias("root"),
     )
-    out(parts.mapInArrow(roots, "part string, first bigint, last bigint, n_docs bigint, n_tokens bigint, root binary"), "manifest")
+    return parts.mapInArrow(roots, "block bigint, first bigint, last bigint, n_docs bigint, n_tokens bigint, root binary")
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """An error if a recipe of the store is missing, added or other than when its manifest was written."""
+    found, written = _blocks(spark.read.parquet(f"{path}/recipes")), spark.read.parquet(f"{path}/manifest")
+    wrong = found.exceptAll(written).select("block").unionByName(written.exceptAll(found).select("block")).limit(1).collect()
+    if wrong:
+        raise ValueError(f"recipes of block {wrong[0]['block']} are not those of the manifest")
 
 
 @lru_cache(maxsize=1)
@@ -280,8 +295,8 @@ def joined_crc(first: int, second: int, length: int) -> int:
 def read_summaries(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read from the files of a store.
 
-    Chunks are read and their digests recomputed; each document's chunks are put together by its recipe and its Merkle
-    root is compared. A difference or a missing chunk is an error. The CRC is of the ids as little-endian unsigned
+    Recipes are held against the manifest. Chunks are read and their digests recomputed; each document's chunks are put
+    together by its recipe and its Merkle root is compared. A difference or a missing row is an error. The CRC is of the ids as little-endian unsigned
     32-bit integers; those of the chunks are joined, so ids do not travel."""
     kind = {2: "<u2", 4: "<u4"}[width]
 
@@ -308,6 +323,7 @@ def read_summaries(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    check_manifest(spark, path)
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(inspect, "digest binary, n int, crc bigint")
     recipes = spark.read.parquet(f"{path}/recipes")
     steps = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("place", "digest"))
@@ -320,17 +336,27 @@ def read_summaries(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """doc_id, start, ids (array of int): the documents themselves, rebuilt from recipes and chunks."""
+    """doc_id, start, ids (array of int): the documents themselves, rebuilt from recipes and chunks, which are checked
+    as ``read_summaries`` does."""
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = [np.frombuffer(b"".join(c["ids"] for c in chunks), kind).astype(np.int32) for chunks in batch.column("chunks").to_pylist()]
+            whole = []
+            for total, root, chunks in zip(*(batch.column(c).to_pylist() for c in ("n_tokens", "root", "chunks"))):
+                raw = [c["ids"] for c in chunks]
+                if None in raw or sum(map(len, raw)) != total * width or merkle([hashlib.sha256(r).digest() for r in raw]) != root:
+                    raise ValueError("a document can't be rebuilt from its chunks")
+                whole.append(np.frombuffer(b"".join(raw), kind).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(whole, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
+    check_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
-    steps = recipes.select("doc_id", "start", F.posexplode("digests").alias("place", "digest"))
-    whole = steps.join(spark.read.parquet(f"{path}/chunks"), "digest").groupBy("start", "doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("chunks"))
+    steps = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("place", "digest"))
+    whole = (
+        steps.join(spark.read.parquet(f"{path}/chunks"), "digest", "left").groupBy("start", "doc_id", "n_tokens", "root")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("chunks"))
+    )
     schema = T.StructType([recipes.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return whole.mapInArrow(ids, schema)
 
