@@ -2,12 +2,14 @@
 
 The lattice of a text has a node between any two characters and an edge for each piece of the model that spans them;
 a character that no piece covers has one edge, worth ``UNKNOWN_BELOW`` less than the worst piece, that becomes byte
-pieces. The score of a path is the sum of its pieces' scores. A forward Viterbi pass gives each node the best score
-from the start; these are exact heuristics, so a backward A-star search from the end pops complete paths best first.
+pieces. The score of a path is the sum of its pieces' log-probabilities (see ``log_probabilities``). A forward Viterbi
+pass gives each node the best score from the start; these are exact heuristics, so a backward A-star search from the
+end pops complete paths best first.
 
 Space marks start a segment that no piece crosses, and so do line breaks, so a text's lattice is a chain of its
 segments' lattices. Viterbi runs over all different segments of a slice at once; the search runs in the few segments
-of a text whose second-best path is nearest, which is where its N best paths can differ.
+of a text whose second-best path is nearest, which is where its N best paths can differ. Scores are multiples of
+2 ** -20, so sums are exact and equal scores are equal in whatever order they are added.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,19 +33,36 @@ from boxspark.llm.common import slices
 
 MARK = "▁"
 UNKNOWN_BELOW = 10.0
+#: Shift of the Zipf-Mandelbrot law that turns merge ranks into probabilities.
+RANK_SHIFT = 100.0
+#: Longer segments are walked character by character and are not remembered.
+LONG = 128
 SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
 
+def log_probabilities(scores: np.ndarray) -> np.ndarray:
+    """Log-probabilities of pieces, as multiples of 2 ** -20.
+
+    A unigram model's scores are log-probabilities. Those of a BPE model are whole numbers, minus the rank of the merge,
+    whose sums mean nothing: a piece of rank r gets the Zipf-Mandelbrot probability in proportion to
+    1 / (r + RANK_SHIFT). Nothing is learned from texts."""
+    if (scores == np.rint(scores)).all() and scores.max(initial=0) <= 0:
+        odds = 1 / (RANK_SHIFT - scores)
+        scores = np.log(odds / odds.sum())
+    return np.rint(scores * 2.0**20) / 2.0**20
+
+
 class Model:
-    """Pieces of a SentencePiece model and the best paths of segments seen lately."""
+    """Pieces of a SentencePiece model and the best paths of segments seen lately: at most ``remember``, and what they
+    hold together at most ``remember_ids`` pieces, beside the slice at hand."""
 
-    def __init__(self, path: str, remember: int = 120_000):
+    def __init__(self, path: str, remember: int = 120_000, remember_ids: int = 2_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.remember = remember
+        self.remember, self.remember_ids = remember, remember_ids
         self.bytes = [0] * 256
         self.pieces: dict[str, tuple[int, float]] = {}
         self.surface: list[bytes] = []
@@ -55,10 +76,12 @@ class Model:
             else:
                 self.pieces[piece] = (i, float(sp.get_score(i)))
                 self.surface.append(piece.replace(MARK, " ").encode())
+        worth = log_probabilities(np.array([s for _, s in self.pieces.values()]))
+        self.pieces = {p: (i, float(s)) for (p, (i, _)), s in zip(self.pieces.items(), worth)}
         # A piece that crosses the start of a segment would break the chain.
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("this model has pieces across segments")
-        self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - UNKNOWN_BELOW
+        self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_BELOW
         self.longest = max(map(len, self.pieces))
         self._tabulate()
         self.forget()
@@ -66,6 +89,7 @@ class Model:
     def _tabulate(self) -> None:
         """An open-addressing table from the hash of each prefix of a piece to its piece (-1: none)."""
         names = {p[:k]: -1 for p in self.pieces for k in range(1, len(p))} | {p: i for p, (i, _) in self.pieces.items()}
+        self.begins = {p: self.pieces.get(p) for p in names}  # every beginning of a piece, and what it is itself
         self.bits = 18
         self.slots, self.found = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -2, np.int32)
         for name, i in names.items():
@@ -82,6 +106,9 @@ class Model:
         for i, s in self.pieces.values():
             self.scores[i] = s
         self.scores[0] = self.unknown  # id 0 stands for a character without a piece
+        self.widths = np.array([len(x.decode("utf-8", "replace")) for x in self.surface])
+        self.widths[0] = 1
+        self.width_of = self.widths.tolist()
 
     def _place(self, h):
         if isinstance(h, int):
@@ -133,7 +160,26 @@ class Model:
         return char_starts + np.arange(len(segments)), first, first + size, start + size - char_starts[which[start]], piece.astype(np.int32)
 
     def learn(self, segments: list[str]) -> None:
-        """Best path, its score and how far the second-best is below, of each segment: forward Viterbi over all at once."""
+        """Best path, its score and how far the second-best is below, of each segment."""
+        for own, how in (([s for s in segments if len(s) <= LONG], self._together), ([s for s in segments if len(s) > LONG], self._one_by_one)):
+            if own:
+                self._remember(own, *how(own))
+
+    def _one_by_one(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, best, gap = [], [], []
+        for segment in segments:
+            one, two, piece = self.walk(segment)
+            path, at = [], len(segment)
+            while at:
+                path.append(piece[at])
+                at -= self.width_of[piece[at]]
+            ids.append(self.expand(segment, path[::-1]))
+            best.append(one[-1])
+            gap.append(one[-1] - two[-1])
+        return np.concatenate([np.array(x, np.int32) for x in ids]), np.array(list(map(len, ids))), np.array(best), np.array(gap)
+
+    def _together(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all, number of each's ids, best score, gap): forward Viterbi over all at once."""
         nodes, first, last, place, piece = self.edges(segments)
         n_nodes = int(nodes[-1]) + len(segments[-1]) + 1
         one, two = np.full(n_nodes, -np.inf), np.full(n_nodes, -np.inf)
@@ -175,11 +221,14 @@ class Model:
             starts = np.cumsum(counts) - counts
             for k in blank.tolist():
                 own, path = segments[owner[k]], ids[starts[owner[k]] : k]
-                offset = sum(1 if p == 0 else len(self.surface[p].decode()) for p in path.tolist())
+                offset = int(self.widths[path].sum())
                 raw = own[offset].encode("utf-8", "replace")
                 parts += [ids[at:k], np.array([self.bytes[x] for x in raw], np.int32)]
                 at, extra[owner[k]] = k + 1, extra[owner[k]] + len(raw) - 1
             ids, counts = np.concatenate([*parts, ids[at:]]), counts + extra
+        return ids, counts, one[final], one[final] - two[final]
+
+    def _remember(self, segments: list[str], ids: np.ndarray, counts: np.ndarray, best: np.ndarray, gap: np.ndarray) -> None:
         n, more = len(self.known), len(ids)
         while self.used + more > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -187,41 +236,96 @@ class Model:
             self.ends, self.best, self.gap = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.best, self.gap))
         self.ids[self.used : self.used + more] = ids
         self.ends[n + 1 : n + 1 + len(segments)] = self.used + np.cumsum(counts)
-        self.best[n : n + len(segments)] = one[final]
-        self.gap[n : n + len(segments)] = one[final] - two[final]
+        self.best[n : n + len(segments)] = best
+        self.gap[n : n + len(segments)] = gap
         self.used += more
         self.known.update(zip(segments, range(n, n + len(segments))))
 
-    def segment_paths(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best paths of one segment's lattice, (score, ids), by score, then by pieces compared from the last."""
-        size = len(segment)
-        best = [0.0] + [-np.inf] * size
-        into: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
+    def walk(self, segment: str, into: list | None = None) -> tuple[array, array, array]:
+        """(best score from the start, the next best one, piece that ends there) of each node of one segment: the same
+        Viterbi pass as ``_together``, of equal scores the smallest piece, in memory of a few numbers a character.
+        ``into`` is given the edges into each node, (where it begins, piece, score)."""
+        size, low, unknown = len(segment), -np.inf, (0, self.unknown)
+        one, two, piece = array("d", [low]) * (size + 1), array("d", [low]) * (size + 1), array("i", [0]) * (size + 1)
+        one[0], begins = 0.0, self.begins
         for i in range(size):
+            here, near = one[i], two[i]
             for j in range(i + 1, min(size, i + self.longest) + 1):
-                found = self.pieces.get(segment[i:j])
+                part = segment[i:j]
+                known = part in begins
+                found = begins[part] if known else None
                 if found is None and j == i + 1:
-                    found = (0, self.unknown)
+                    found = unknown
                 if found:
-                    into[j].append((i, *found))
-                    best[j] = max(best[j], best[i] + found[1])
-        # Backward A-star: what stands behind a node is known, what stands before it is bounded exactly by ``best``.
-        heap, out = [(-best[size], (), size, 0.0)], []
+                    p, worth = found
+                    if into is not None:
+                        into[j].append((i, p, worth))
+                    a = here + worth
+                    if a > one[j] or (a == one[j] and p < piece[j]):
+                        two[j], one[j], piece[j] = max(one[j], two[j], near + worth), a, p
+                    elif a > two[j]:
+                        two[j] = a
+                if not known:
+                    break
+        return one, two, piece
+
+    def segment_paths(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best paths of one segment's lattice, (score, ids), best first; of equal scores the first is that of
+        ``walk``, the others come as the search meets them.
+
+        Backward A-star: what stands behind a node is known, what stands before it is bounded exactly by the best score
+        from the start. An open entry stands for at least one path of just its cost, so entries that cost more than the
+        n cheapest met so far are not opened. Entries hold a link to the one behind them, not their pieces."""
+        size, unknown, pieces = len(segment), (0, self.unknown), self.pieces
+        into: list[list] | None = [[] for _ in range(size + 1)] if size <= LONG else None  # a long lattice is not kept
+        best = self.walk(segment, into)[0]
+        known: dict[int, list[tuple[float, int, int]]] = {}
+
+        def options(node: int) -> list[tuple[float, int, int]]:
+            """(how much more than the best it costs, piece, where it begins) of the edges into a node."""
+            if into is None:
+                begins = range(max(0, node - self.longest), node)
+                edges = [(i, *one) for i in begins if (one := pieces.get(segment[i:node]) or (unknown if i == node - 1 else None))]
+            else:
+                edges = into[node]
+            top = best[node]
+            found = sorted([(top - best[i] - worth, p, i) for i, p, worth in edges])
+            # Costs only grow along a path and the limit only falls, so what is over it now stays over it.
+            known[node] = found = [found[0], *(x for x in found[1:] if len(limits) < n or x[0] < limits[-1])]
+            return found
+
+        behind_of, piece_of = array("q", [-1]), array("i", [-1])
+        heap, limits, out = [(0.0, 0, size, 0)], [0.0], []  # costs over the best path's
         while heap and len(out) < n:
-            cost, path, node, behind = heapq.heappop(heap)
-            if node == 0:
-                out.append((-cost, self.expand(segment, path[::-1])))
-                continue
-            for i, piece, score in into[node]:
-                heapq.heappush(heap, (-(best[i] + score + behind), (*path, piece), i, score + behind))
+            cost, _, node, entry = heapq.heappop(heap)
+            while node:  # of equal costs the entry opened last goes on, so this is what would come off the heap next
+                first, *others = known.get(node) or options(node)
+                for more, p, i in others:
+                    if len(limits) >= n:
+                        if cost + more >= limits[-1]:
+                            break
+                        limits.pop()
+                    insort(limits, cost + more)
+                    behind_of.append(entry)
+                    piece_of.append(p)
+                    heapq.heappush(heap, (cost + more, 1 - len(piece_of), i, len(piece_of) - 1))
+                behind_of.append(entry)
+                piece_of.append(first[1])
+                node, entry = first[2], len(piece_of) - 1
+            path = []
+            while entry:
+                path.append(piece_of[entry])
+                entry = behind_of[entry]
+            out.append((best[size] - cost, self.expand(segment, path)))
         return out
 
-    def expand(self, segment: str, path: tuple[int, ...]) -> tuple[int, ...]:
+    def expand(self, segment: str, path: list[int]) -> tuple[int, ...]:
+        """The ids of a path: bytes in place of a character without a piece."""
         out, at = [], 0
         for p in path:
             if p:
                 out.append(p)
-                at += len(self.surface[p].decode())
+                at += self.width_of[p]
             else:
                 out += [self.bytes[x] for x in segment[at].encode("utf-8", "replace")]
                 at += 1
@@ -232,7 +336,7 @@ class Model:
         the place of the best path's ids from..to."""
         split = [SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         flat = [s for x in split for s in x]
-        if len(self.known) > self.remember:
+        if len(self.known) > self.remember or self.used > self.remember_ids:
             self.forget()
         if new := [s for s in dict.fromkeys(flat) if s not in self.known]:
             self.learn(new)
@@ -262,7 +366,7 @@ class Model:
             open_ = open_[gaps[open_] <= limit]
             open_ = open_[np.argsort(gaps[open_], kind="stable")[: n - 1]]
         places = sorted(open_.tolist())
-        choices = [self._cached(own[p], n) for p in places]
+        choices = [self._cached(own[p], n) if len(own[p]) <= LONG else self.segment_paths(own[p], n) for p in places]
         heap, out, seen = [(0.0, (0,) * len(places))], [], set()
         while heap and len(out) < n:
             cost, ranks = heapq.heappop(heap)  # ranks from the last segment to the first
@@ -299,8 +403,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """One row a row of ``docs``: id and ``paths``, an array of (score, ids) of the n best segmentations, best first.
 
     A null or empty text has one path without ids and score 0; a text with fewer than n paths has fewer. Equal scores
-    are ordered by the pieces compared from the last segment to the first, so the result is defined. White space is
-    kept; U+2581 in a text reads as a space, as in the model. Repeated rows each get a row, other columns are not read.
+    come in an order that the search defines, the same in every run. Memory and time grow with a text, also with one
+    that has no space. White space is kept; U+2581 in a text reads as a space, as in the model. Repeated rows each get a row, other columns are not read.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
