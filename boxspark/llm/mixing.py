@@ -1,10 +1,11 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-The words of each source form one stream, packed into blocks of ``block_words`` words. Every output shard draws its
-slots from the sources by residual multinomial sampling: the whole part of a source's expected slots is fixed and the
-rest of the shard is drawn with the fractional parts as probabilities. Slot j of a source takes block
-``permutation(j mod n)`` of its n blocks, with another pseudorandom permutation on each pass, and slots meet blocks by
-index. So all blocks of a source are taken once before any is taken twice.
+The words of each source form one stream, packed into blocks of ``block_words`` words. Every slot of an output shard
+draws its source, with the sources' expected slots as weights, so a shard's counts are multinomial. What is drawn beyond
+a source's expected slots, in its last shards, goes to the sources that were drawn too seldom, so that the whole mix
+meets its targets. Slot j of a source takes block ``permutation(j mod n)`` of its n blocks, with another pseudorandom
+permutation on each pass, and slots meet blocks by index. So all blocks of a source are taken once before any is taken
+twice.
 """
 
 from __future__ import annotations
@@ -61,13 +62,55 @@ def permuted(at: Column, n: Column, key: list[Column], rounds: int = 12) -> Colu
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), at, step)
 
 
+def _picked(points: DataFrame, at: str, intervals: DataFrame, total: int, cells: int) -> DataFrame:
+    """``points`` with ``_rank`` and ``_lo`` of the interval [_lo, _hi) of 0..total-1 that ``at`` falls into. Both meet
+    in cells of equal width, so a point sees few intervals."""
+    cell = max(1, -(-total // cells))
+    grid = intervals.where("_hi > _lo").select("_rank", "_lo", "_hi", F.explode(F.expr(f"sequence(_lo div {cell}, (_hi - 1) div {cell})")).alias("_cell"))
+    return points.withColumn("_cell", F.expr(f"{at} div {cell}")).join(grid, "_cell").where(f"{at} >= _lo AND {at} < _hi").drop("_cell", "_hi")
+
+
+def _slots(aims: DataFrame, n_slots: int, shard_slots: int, n_sources: int, seed: int) -> DataFrame:
+    """(_rank, shard, _slot): each slot of the mix, numbered from 0 within its source."""
+    spark = aims.sparkSession
+    per_task = 500_000
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-n_slots // per_task))
+    n_shards = max(1, round(n_slots / shard_slots))
+    length, cells = -(-n_slots // n_shards), max(256, n_sources)
+    total = aims.agg(F.max("_hi")).first()[0]
+    draws = spark.range(0, n_slots, 1, parts).select(
+        F.expr(f"id div {length}").alias("shard"), F.pmod(F.xxhash64(F.lit("draw"), F.lit(seed), "id"), F.lit(total)).alias("_u")
+    )
+    counts = _picked(draws, "_u", aims.select("_rank", "_lo", "_hi"), total, cells).groupBy("_rank", "shard").agg(F.count(F.lit(1)).alias("n"))
+    counts = running_totals(counts, ["_rank", "shard"], "n", "mix-counts")
+    drawn = stage(counts.groupBy("_rank").agg(F.sum("n").alias("_drawn"), F.min("before").alias("_before")), "mix-drawn")
+    wanted = aims.select("_rank", "_expected").join(drawn, "_rank", "left").na.fill(0, ["_drawn", "_before"])
+    counts = stage(
+        counts.join(wanted, "_rank").withColumn("_first", F.col("before") - F.col("_before"))
+        .withColumn("_keep", F.greatest(F.lit(0), F.least("n", F.col("_expected") - F.col("_first"))).cast("long"))
+        .select("_rank", "shard", "_first", "_keep", (F.col("n") - F.col("_keep")).alias("_over")), "mix-kept",
+    )
+    # Rows are few and become many: they are dealt by number of tasks, which is not lowered for their small size.
+    dealt = counts.where("_keep > 0").repartition(parts, "_rank", "shard")
+    slots = dealt.select("_rank", "shard", F.explode(F.expr("sequence(_first, _first + _keep - 1)")).alias("_slot"))
+    over = counts.agg(F.sum("_over")).first()[0] or 0
+    if over:
+        short = wanted.withColumn("_short", F.greatest(F.lit(0), F.col("_expected") - F.col("_drawn")).cast("long"))
+        short = stage(running_totals(short, ["_rank"], "_short", "mix-short").select("_rank", "_drawn", F.col("before").alias("_lo"), (F.col("before") + F.col("_short")).alias("_hi")), "mix-gaps")
+        given = running_totals(counts.where("_over > 0").select("_rank", "shard", "_over"), ["_rank", "shard"], "_over", "mix-over")
+        given = given.repartition(parts, "_rank", "shard").select("shard", F.explode(F.expr("sequence(before, before + _over - 1)")).alias("_q"))
+        given = _picked(given, "_q", short, over, cells).join(short.select("_rank", "_drawn"), "_rank")
+        slots = slots.unionByName(given.select("_rank", "shard", (F.col("_drawn") + F.col("_q") - F.col("_lo")).alias("_slot")))
+    return slots
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
     block_words: int = 64, shard_slots: int = 4096, weights: tuple = WEIGHTS, most_repeats: int = MOST_REPEATS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, slots, pieces).
 
-    documents: id, size, source_size, target, taken, one row a row of ``docs``. slots: the mix itself, one row a slot
+    documents: id, size, source_size, target, taken, source_rank (the source's place), one row a row of ``docs``. slots: the mix itself, one row a slot
     of an output shard: shard, _source, pass, block. pieces: which words of which document a block holds: _source,
     block, _id, from_word, words.
 
@@ -100,43 +143,21 @@ def mix(
         .withColumn("words", F.least((F.col("block") + 1) * block_words, end) - F.col("_start") - F.col("from_word"))
     )
 
-    # Expected slots of each source, in its own blocks, then shards of equal length.
+    # Expected slots of each source, in its own blocks. Shares are whole numbers of 1 / 2 ** 20 slots and are rounded
+    # along their running total, so the expected slots add up and none is off by more than one.
     blocks = F.expr(f"(source_size + {block_words - 1}) div {block_words}")
-    aims = aims.withColumn("_blocks", blocks).withColumn(
-        "_slots", F.when(F.col("source_size") > 0, F.col("target") * F.col("_blocks") / F.col("source_size")).otherwise(0.0)
-    )
-    total = aims.agg(F.sum("_slots")).first()[0] or 0.0
-    n_shards = max(1, round(total / shard_slots))
-    length = -(-int(total + 0.999999) // n_shards) if total else 0
-    share = F.col("_slots") * F.lit(length / total if total else 0.0)
-    scale = 1 << 40
-    aims = aims.withColumn("_whole", F.floor(share + 1e-9)).withColumn("_rest", F.floor(F.greatest(share - F.col("_whole"), F.lit(0.0)) * scale).cast("long"))
-    aims = stage(running_totals(aims, ["_rank"], "_rest", "mix-shares"), "mix-aims")
-    sums = aims.agg(F.sum("_whole"), F.sum("_rest"), F.count(F.lit(1))).first()
-    left, rest, n_sources = length - (sums[0] or 0), sums[1] or 0, sums[2]
-
-    shards = F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))
-    fixed = aims.where("_whole > 0").select("_rank", F.explode(shards).alias("shard"), F.col("_whole").cast("long").alias("n"))
-    counts = fixed
-    if left > 0 and rest > 0:
-        # Draws meet the cumulative shares over a grid of as many cells as sources, so a draw sees few of them.
-        cells = max(256, n_sources)
-        cell = -(-rest // cells)
-        grid = aims.where("_rest > 0").select(
-            "_rank", F.col("before").alias("_lo"), (F.col("before") + F.col("_rest")).alias("_hi"),
-            F.explode(F.sequence(F.expr(f"before div {cell}"), F.expr(f"(before + _rest - 1) div {cell}"))).alias("_cell"),
-        )
-        spark = docs.sparkSession
-        draws = spark.range(0, n_shards * left).select(
-            F.expr(f"id div {left}").alias("shard"), F.pmod(F.xxhash64(F.lit("draw"), F.lit(seed), "id"), F.lit(rest)).alias("_u")
-        ).withColumn("_cell", F.expr(f"_u div {cell}"))
-        drawn = draws.join(grid, "_cell").where("_u >= _lo AND _u < _hi").groupBy("_rank", "shard").agg(F.count(F.lit(1)).alias("n"))
-        counts = fixed.unionByName(drawn).groupBy("_rank", "shard").agg(F.sum("n").alias("n"))
-    earlier = Window.partitionBy("_rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    share = F.when(F.col("source_size") > 0, F.col("target") * F.col("_blocks") / F.col("source_size")).otherwise(0.0)
+    aims = aims.withColumn("_blocks", blocks).withColumn("_share", F.round(share * F.lit(float(1 << 20))).cast("long"))
+    aims = running_totals(aims, ["_rank"], "_share", "mix-shares").withColumn("_lo", F.col("before")).withColumn("_hi", F.col("before") + F.col("_share"))
+    aims = stage(aims.withColumn("_expected", F.shiftright("_hi", 20) - F.shiftright("_lo", 20)).drop("before"), "mix-aims")
+    sums = aims.agg(F.sum("_expected"), F.count(F.lit(1))).first()
+    n_slots, n_sources = sums[0] or 0, sums[1]
+    if n_slots:
+        slots = _slots(aims, n_slots, shard_slots, n_sources, seed)
+    else:
+        slots = aims.select("_rank", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("_slot")).limit(0)
     slots = (
-        counts.withColumn("_first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .join(aims.select("_rank", "_source", "_blocks"), "_rank")
-        .select("_rank", "_source", "_blocks", "shard", F.explode(F.expr("sequence(_first, _first + n - 1)")).alias("_slot"))
+        slots.join(aims.select("_rank", "_source", "_blocks"), "_rank")
         .where(F.col("_slot") < F.col("_blocks") * most_repeats)
         .withColumn("pass", F.expr("_slot div _blocks"))
         .withColumn("block", permuted(F.expr("_slot % _blocks"), F.col("_blocks"), [F.lit(seed), F.col("_rank"), F.col("pass")]))
@@ -151,24 +172,51 @@ def mix(
         .select("_id", "_source", "size", "taken")
     )
     empty = sizes.where("size = 0").select("_id", "_source", "size", F.lit(0).cast("long").alias("taken"))
+    named = aims.select(F.col("_source").alias("_s"), "source_size", "target", F.col("_rank").alias("source_rank"))
     documents = (
         took.unionByName(empty)
-        .join(F.broadcast(aims.select(F.col("_source").alias("_s"), "source_size", "target")) if n_sources <= 100_000 else aims.select(F.col("_source").alias("_s"), "source_size", "target"), F.col("_source").eqNullSafe(F.col("_s")))
-        .select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken")
+        .join(F.broadcast(named) if n_sources <= 100_000 else named, F.col("_source").eqNullSafe(F.col("_s")))
+        .select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken", "source_rank")
     )
     return documents, slots, pieces.select("_source", "block", "_id", "from_word", "words")
 
 
+def _copies(documents: DataFrame, most: int, seed: int, name: str) -> DataFrame:
+    """``documents`` (_key, _rank, _size, _share) with ``_times``: shares as whole copies, rounded along their running
+    total by source and size. In a source any run of sizes has its copies to one, so the words of copies and shares
+    differ by at most about its longest document."""
+    fixed = F.round(F.least(F.col("_share"), F.lit(float(most))) * F.lit(float(1 << 20))).cast("long")
+    placed = running_totals(
+        documents.withColumn("_fixed", fixed).withColumn("_order", F.xxhash64(F.lit("round"), F.lit(seed), "_key")), ["_rank", "_size", "_order", "_key"], "_fixed", name
+    )
+    half = 1 << 19
+    return placed.withColumn("_times", F.shiftright(F.col("before") + F.col("_fixed") + half, 20) - F.shiftright(F.col("before") + half, 20))
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes its words, in whole takes; not taken: left out.
 
-    A document's taken / size is rounded up with its fraction as the chance, drawn from a hash of the seed and the id,
-    so a source's words in the result are its taken words on average, whatever the length of its documents."""
+    Shares (taken / size) are rounded along running totals, first those of documents of more than a thousandth of their
+    source's target; what that is off in words is made up by the shares of the shorter ones. So each source's words in
+    the result are its taken words up to a thousandth, as far as it has shorter documents, else up to about its longest.
+    Rows that repeat an id (null is an id here) have one share and are repeated alike. Texts without words are left
+    out; a null source is a source. Columns of ``docs`` keep their names and values; an empty table gives an empty one.
+    """
     documents, _, _ = mix(docs, id_col, text_col, source_col, seed, **how)
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit("round"), F.lit(seed), id_col), 32) / F.lit(float(1 << 32))
-    share = F.sum("taken") / F.sum("size")
-    times = documents.groupBy(id_col).agg(share.alias("_share")).withColumn("_times", F.floor(F.col("_share") + chance).cast("int"))
-    times = times.where("_times > 0").select(F.col(id_col).alias("_mixed"), "_times")
+    most = how.get("most_repeats", MOST_REPEATS)
+    each = documents.where("size > 0").groupBy(F.col(id_col).alias("_key")).agg(
+        F.min("source_rank").alias("_rank"), F.sum("size").alias("_size"), (F.sum("taken") / F.sum("size")).alias("_share"), F.max("target").alias("_target")
+    )
+    each = stage(each.withColumn("_long", F.col("_size") * 1000 > F.col("_target")), "mix-shares-of-documents")
+    long_ = _copies(each.where("_long"), most, seed, "mix-long")
+    off = long_.groupBy("_rank").agg(F.sum((F.col("_times") - F.col("_share")) * F.col("_size")).alias("_off"))
+    short = each.where("NOT _long")
+    made_up = short.groupBy("_rank").agg(F.sum(F.col("_share") * F.col("_size")).alias("_words")).join(off, "_rank", "left")
+    factor = F.greatest(F.lit(0.0), 1 - F.try_divide(F.coalesce(F.col("_off"), F.lit(0.0)), "_words"))
+    made_up = made_up.select("_rank", F.coalesce(factor, F.lit(1.0)).alias("_factor"))
+    short = short.join(made_up, "_rank").withColumn("_share", F.col("_share") * F.col("_factor")).drop("_factor")
+    times = long_.select("_key", "_times").unionByName(_copies(short, most, seed, "mix-short-documents").select("_key", "_times"))
+    times = stage(times.where("_times > 0").select(F.col("_key").alias("_mixed"), F.col("_times").cast("int").alias("_times")), "mix-copies")
     joined = docs.join(times, docs[id_col].eqNullSafe(times["_mixed"]))
     copy = "_".join([*docs.columns, "copy"])  # no column of docs has this name
     repeated = joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), times["_times"])).alias(copy))
