@@ -23,6 +23,8 @@ from boxspark.llm.common import in_held_out_fold, slices
 SLOTS = 64
 TRIGRAMS = SLOTS**3
 UNKNOWN = "und"
+#: Counts of (text, trigram) that are held at a time.
+CELLS = 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -108,23 +110,14 @@ def prototypes(counts: DataFrame, dims: int, seed: int) -> tuple[list[str], np.n
     return langs, matrix.astype(np.float32)
 
 
-def identify(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None,
-    dims: int = 512, seed: int = 11,
-) -> DataFrame:
-    """One row a row of ``docs``: id, held_out, lang_pred, score (the winning cosine, negative ones as 0).
-
-    ``learn`` says which rows' languages may be learned (by default those outside the held-out fold). A text that is
-    null or has no letter is "und" with score 0; so is everything when nothing could be learned. Equal cosines go to
-    the language that sorts first. Whole texts count. Repeated rows each get a row; other columns are not read.
-    """
-    held_out = in_held_out_fold(id_col)
-    langs, matrix = prototypes(profiles(docs, ~held_out if learn is None else learn, text_col, lang_col), dims, seed)
-    model = docs.sparkSession.sparkContext.broadcast((langs, matrix))  # languages x dims
+def _predicted(rows: DataFrame, text: str, keep: list[str], langs: list[str], matrix: np.ndarray, dims: int, seed: int) -> DataFrame:
+    """The columns ``keep`` of ``rows`` with the language of ``text`` and its score, ``_pred`` and ``_score``: one pass,
+    nothing is shuffled."""
+    model = rows.sparkSession.sparkContext.broadcast((langs, matrix))  # languages x dims
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, matrix = model.value
-        for part, texts in slices(batches, "_text", 500_000):
+        for part, texts in slices(batches, text, 500_000):
             row, tri = trigrams(texts)
             best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if langs and len(row):
@@ -132,9 +125,10 @@ def identify(
                 place = np.zeros(TRIGRAMS, np.int64)
                 place[seen] = np.arange(len(seen))
                 bundles = np.zeros((len(texts), dims), np.float32)
-                for at in range(0, len(texts), 256):
-                    lo, hi = np.searchsorted(row, (at, min(at + 256, len(texts))))
-                    n = min(256, len(texts) - at)
+                step = max(1, min(256, CELLS // len(seen)))
+                for at in range(0, len(texts), step):
+                    lo, hi = np.searchsorted(row, (at, min(at + step, len(texts))))
+                    n = min(step, len(texts) - at)
                     cells = np.bincount((row[lo:hi] - at).astype(np.int64) * len(seen) + place[tri[lo:hi]], minlength=n * len(seen))
                     cells = cells.reshape(n, len(seen)).astype(np.float32)
                     for k in range(0, len(seen), 8192):
@@ -145,14 +139,44 @@ def identify(
                 top = cosine.argmax(axis=1)
                 best = [langs[k] if ok else UNKNOWN for k, ok in zip(top.tolist(), lettered.tolist())]
                 score = np.where(lettered, np.clip(cosine.max(axis=1), 0, 1), 0).astype(float)
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("held_out"), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(best, pa.string()), pa.array(score, pa.float64())], schema.names)
+
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    return rows.mapInArrow(predict, schema)
+
+
+def _learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column | None, dims: int, seed: int) -> tuple[list[str], np.ndarray]:
+    return prototypes(profiles(docs, ~in_held_out_fold(id_col) if learn is None else learn, text_col, lang_col), dims, seed)
 
-    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    rows = docs.select(F.col(id_col).alias("_id"), held_out.alias("held_out"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(predict, schema).withColumnRenamed("_id", id_col)
 
+def identify(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None,
+    dims: int = 512, seed: int = 11,
+) -> DataFrame:
+    """One row a row of ``docs``: id, held_out, lang_pred, score (the winning cosine, negative ones as 0).
 
-def with_language(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose text has a language; texts without one are rejected."""
-    known = identify(docs, id_col, **how).where(F.col("lang_pred") != UNKNOWN).select(F.col(id_col).alias("_known")).distinct()
-    return docs.join(known, docs[id_col].eqNullSafe(known["_known"]), "left_semi")
+    ``learn`` says which rows' languages may be learned (by default those outside the held-out fold). A text that is
+    null or has no letter is "und" with score 0; so is everything when nothing could be learned. Equal cosines go to
+    the language that sorts first. Whole texts count. Repeated rows each get a row; other columns are not read.
+    """
+    langs, matrix = _learned(docs, id_col, text_col, lang_col, learn, dims, seed)
+    rows = docs.select(F.col(id_col).alias("_id"), in_held_out_fold(id_col).alias("held_out"), F.col(text_col).alias("_text"))
+    found = _predicted(rows, "_text", ["_id", "held_out"], langs, matrix, dims, seed)
+    return found.select(F.col("_id").alias(id_col), "held_out", F.col("_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+def with_language(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, least_score: float = 0.05,
+    dims: int = 512, seed: int = 11,
+) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with the predicted one in ``lang_col``.
+
+    Rejected are null and empty texts, those without a letter, and those whose best cosine is under ``least_score``:
+    letters that have nothing to do with a language come as near to it (1 / sqrt(dims) = 0.044). Each row is judged by
+    its own text, so null and repeated ids, repeated rows and null languages are ordinary; ties go to the language that
+    sorts first. Other columns keep their names and values. An empty table, or nothing to learn from, gives no row."""
+    langs, matrix = _learned(docs, id_col, text_col, lang_col, learn, dims, seed)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    found = _predicted(docs.select(*(F.col(c).alias(n) for c, n in names.items())), names[text_col], list(names.values()), langs, matrix, dims, seed)
+    found = found.where((F.col("_pred") != UNKNOWN) & (F.col("_score") >= least_score))
+    return found.select(*(F.col("_pred" if c == lang_col else n).alias(c) for c, n in names.items()))

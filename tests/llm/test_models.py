@@ -35,7 +35,8 @@ def test_language_id_awkward(spark):
     got = {r.doc_id: r.lang_pred for r in language_id.identify(df, learn=F.lit(True)).collect()}
     assert [got[i] for i in (1, 2, 3)] == ["und"] * 3 and got[0] == got[5] == "aa" and got[7] == got[8] == "zz"
     kept = language_id.with_language(df, learn=F.lit(True))
-    assert kept.columns == df.columns and kept.count() == 5
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.lang, r.score) for r in kept.collect()) == [(i, "zz" if i > 6 else "aa", "clash") for i in (0, 4, 5, 7, 8)]
     assert {r.lang_pred for r in language_id.identify(df, learn=F.lit(False)).collect()} == {"und"}
     assert language_id.identify(df.limit(0)).count() == 0
 
@@ -109,7 +110,9 @@ def test_pipeline_stages(spark):
     plain = {r.doc_id: r.text for r in docs.collect()}
     step = dict(p.STAGES)
     lettered = step["language ID"](spark, docs, SF)
-    assert sorted(r.doc_id for r in lettered.collect()) == sorted(i for i, t in plain.items() if any(c.isalpha() for c in t))
+    judged = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    assert sorted((r.doc_id, r.lang, r.text) for r in lettered.collect()) == sorted((i, judged[i].lang_pred, t) for i, t in plain.items() if any(c.isalpha() for c in t) and judged[i].score >= 0.05)
+    assert lettered.count() >= 0.99 * sum(any(c.isalpha() for c in t) for t in plain.values())
     once = step["exact dedup"](spark, docs, SF)
     first = {}
     for i in sorted(plain):
