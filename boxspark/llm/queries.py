@@ -34,17 +34,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digests(table(spark, sf_dir, "documents"))
+    """Sources own the values; a different text is a repository, so copies of a document count once."""
+    text = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return secret_scan.digests(table(spark, sf_dir, "documents"), repository=text)
 
 
-#: A value that this many sources, or different texts, hold is a widely copied example.
-EXAMPLE_OWNERS, EXAMPLE_TEXTS = 5, 10
+def op3_secret_scan_both_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts under the name they had when ``op3_secret_scan`` still counted owners alone."""
+    return op3_secret_scan(spark, sf_dir)
 
 
-def op3_secret_scan_both_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged by owners and repositories. A different text is a repository, so copies of a document count once."""
+def op3_secret_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts behind the verdicts: every candidate value's hash, repositories, owners and whether it is an example."""
     text = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    return secret_scan.digests(table(spark, sf_dir, "documents"), repository=text, example_owners=EXAMPLE_OWNERS, example_repositories=EXAMPLE_TEXTS)
+    return secret_scan.scan(table(spark, sf_dir, "documents"), repository=text)[1]
 
 
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +72,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_secret_scan, op3_secret_scan_both_counts, op4_image_copies, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_secret_scan, op3_secret_scan_both_counts, op3_secret_values, op4_image_copies, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op9_toxicity, op10_exact_dedup)}
 
 
 OP10_SQL = r"""
@@ -112,13 +115,15 @@ def _sql_matches(kind: str, pattern: str, group: int) -> str:
 
 
 _RANDOM = "regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') AND len(list_distinct(string_split(v, ''))) >= 10 AND len(list_distinct(string_split(v, ''))) * 4 >= least(length(v), 40)"
-OP3_SQL = f"""
+_OP3 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS owner, coalesce(text, '') AS t FROM documents),
 raw AS ({" UNION ALL ".join(_sql_matches(k, p, g) for k, p, g in (("assign", secret_scan.ASSIGN, 2), ("access", secret_scan.ACCESS, 0), ("hex", secret_scan.HEX, 0), ("owned", secret_scan.LONG, 0)))}),
 placed AS (SELECT r, kind, m, v, (sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY i))::BIGINT AS e FROM raw),
 spans AS (SELECT r, kind, v, e - length(m) AS s, e FROM placed WHERE (kind <> 0 OR length(v) >= {secret_scan.LEAST_VALUE}) AND (kind <> 3 OR ({_RANDOM}))),
-cand AS (SELECT x.*, owner FROM spans x JOIN d USING (r) WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM spans b WHERE b.r = x.r AND b.kind < 3 AND b.s < x.e AND x.s < b.e)),
-owners AS (SELECT v, count(DISTINCT owner) >= 2 AS copied FROM cand GROUP BY v),
+cand AS (SELECT x.*, owner, md5(t) AS repository FROM spans x JOIN d USING (r) WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM spans b WHERE b.r = x.r AND b.kind < 3 AND b.s < x.e AND x.s < b.e)),
+owners AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories, count(DISTINCT owner) >= {secret_scan.EXAMPLE_OWNERS} OR count(DISTINCT repository) >= {secret_scan.EXAMPLE_REPOSITORIES} AS copied FROM cand GROUP BY v)
+"""
+OP3_SQL = f"""{_OP3},
 judged AS (SELECT c.*, copied, NOT copied AND ({_RANDOM}) AS live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e AS txt FROM cand c JOIN owners USING (v))
 SELECT d.doc_id, count(j.r) FILTER (kind = 0) AS n_assign, count(j.r) FILTER (kind = 1) AS n_access, count(j.r) FILTER (kind = 2) AS n_hex,
        sha256(coalesce(string_agg(txt, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
@@ -126,7 +131,8 @@ SELECT d.doc_id, count(j.r) FILTER (kind = 0) AS n_assign, count(j.r) FILTER (ki
        count(j.r) FILTER (kind = 3 AND live) AS n_added, count(j.r) FILTER (copied) AS n_examples, count(j.r) FILTER (live) AS n_live
 FROM d LEFT JOIN judged j ON j.r = d.r GROUP BY d.r, d.doc_id
 """
+OP3_VALUES_SQL = f"{_OP3} SELECT sha256(v) AS value_hash, repositories, owners, copied FROM owners"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op3_secret_scan": OP3_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op3_secret_scan": OP3_SQL, "op3_secret_scan_both_counts": OP3_SQL, "op3_secret_values": OP3_VALUES_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_exact_dedup": OP10_SQL}

@@ -2,13 +2,13 @@
 
 Base spans come from three patterns. Further candidates are long tokens that mix letters and digits. Every candidate
 value is hashed, and the hashes are counted over the whole corpus by distinct repositories and owners: a value that
-several owners hold is a widely copied example, one that a single owner holds and that looks random is live-looking.
-The method adds spans of live-looking candidates that no base span covers, under the kind ``owned``; base spans stay.
+many owners or many repositories hold is a widely copied example, one that few of both hold and that looks random is
+live-looking. The method adds spans of live-looking candidates that no base span covers, under the kind ``owned``; base spans stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxspark.llm.common import stage
@@ -21,29 +21,41 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 LONG = r"[A-Za-z0-9+/_-]{20,}"
 LEAST_VALUE = 6
+#: A value that this many owners, or this many repositories, hold is a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 5, 10
 
 
 def _matches(text: Column, pattern: str, kind: str) -> Column:
-    """Array of (start, end, kind, value) of leftmost matches that do not overlap, by code points.
-
-    Spark gives matches and the texts between them; a running sum of their lengths gives the places. Only texts with
-    a match are split."""
+    """Array of (kind, place, gap, size, value) of leftmost matches that do not overlap: the code points between a match
+    and the one before it, and its own. Nothing is summed here, so the work is in proportion to the matches; only texts
+    with a match are split."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else found
-    steps = F.arrays_zip(found.alias("m"), F.transform(between, F.length).alias("gap"), values.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>").alias("out"))
+    steps = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("between"), values.alias("v"))
+
+    def one(x: Column, i: Column) -> Column:
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("place"), F.length(x["between"]).alias("gap"), F.length(x["m"]).alias("size"), x["v"].alias("value"))
+
+    return F.when(text.rlike(pattern), F.transform(steps, one)).otherwise(F.array().cast("array<struct<kind:int,place:int,gap:int,size:int,value:string>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["m"])
-        one = F.struct(begin.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["v"].alias("value"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
 
-    spans = F.aggregate(steps, start, step)["out"]
-    if kind == "assign":
-        spans = F.filter(spans, lambda s: F.length(s["value"]) >= LEAST_VALUE)
-    return F.when(text.rlike(pattern), spans).otherwise(start["out"])
+def _spans(found: DataFrame) -> DataFrame:
+    """One row a span: _row, _repository, _owner, span (start, end, kind, value). Places are running sums within a row
+    and kind. Long tokens stay only where they look random and no base span overlaps them, which running extremes over
+    the row's spans tell: the furthest end of the base spans that start no later, and the next start after it."""
+    each = found.where(F.size("matches") > 0).select("_row", "_repository", "_owner", F.explode("matches").alias("m")).select("_row", "_repository", "_owner", "m.*")
+    in_order = Window.partitionBy("_row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.repartition("_row").withColumn("end", F.sum(F.col("gap") + F.col("size")).over(in_order).cast("int"))
+    each = each.withColumn("start", F.col("end") - F.col("size"))
+    assign, long_ = (F.col("kind") == KINDS.index(k) for k in ("assign", "owned"))
+    each = each.where((~assign | (F.length("value") >= LEAST_VALUE)) & (~long_ | looks_random(F.col("value"))))
+    row = Window.partitionBy("_row")
+    reached = F.max(F.when(~long_, F.col("end"))).over(row.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.min(F.when(~long_, F.col("start"))).over(row.orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    each = each.withColumn("_reached", reached).withColumn("_ahead", ahead)
+    covered = (F.coalesce("_reached", F.lit(0)) > F.col("start")) | (F.coalesce(F.col("_ahead") < F.col("end"), F.lit(False)))
+    return each.where(~long_ | ~covered).select("_row", "_repository", "_owner", F.struct("start", "end", "kind", "value").alias("span"))
 
 
 def _joined(spans: Column) -> Column:
@@ -65,45 +77,36 @@ def looks_random(value: Column) -> Column:
 
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | str = "doc_id", owner: Column | str = "source",
-    example_owners: int = 2, example_repositories: int | None = None,
+    example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, values).
 
     documents: id, base and added (arrays of start, end, kind, value), examples and live (how many of the document's
-    candidate values are widely copied, or held by one owner and random-looking). values: value_hash, repositories,
-    owners, copied. A value is widely copied when ``example_owners`` or more owners hold it or, where it is given, when
-    ``example_repositories`` or more repositories do; it can be live only when both counts stay below.
-
-    Null texts are empty and have no span; a null owner is an owner of its own; null and repeated ids are ordinary
-    rows (a repository is counted once a value). Rows whose texts have no candidate are kept with empty arrays. An
-    empty table gives empty results. Whole texts count; other columns are not read.
+    candidate values are widely copied, or held by few and random-looking). values: value_hash, repositories, owners,
+    copied. A value is widely copied when ``example_owners`` or more owners or ``example_repositories`` or more
+    repositories hold it; it can be live only when both counts stay below.
+
+    Null texts are empty and have no span; a null owner or repository is one of its own; null and repeated ids are
+    ordinary rows (a repository is counted once a value). Rows whose texts have no candidate are kept with empty
+    arrays. An empty table gives empty results. Whole texts count, in time in proportion to their matches; other columns
+    are not read.
     """
     repository = F.col(repository) if isinstance(repository, str) else repository
     owner = F.col(owner) if isinstance(owner, str) else owner
     rows = docs.select(
         F.col(id_col).alias("_id"), repository.cast("string").alias("_repository"), owner.cast("string").alias("_owner"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")
     )
-    base = F.concat(_matches(F.col("_text"), ASSIGN, "assign"), _matches(F.col("_text"), ACCESS, "access"), _matches(F.col("_text"), HEX, "hex"))
-    more = F.filter(_matches(F.col("_text"), LONG, "owned"), lambda s: looks_random(s["value"]))
-    found = rows.select("_id", "_repository", "_owner", base.alias("base"), more.alias("long"))
-    # A long token inside a base span is that span's value already.
-    outside = F.filter("long", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    found = stage(
-        found.select("_id", "_repository", "_owner", "base", outside.alias("long")).withColumn("_row", F.monotonically_increasing_id()), "secret-spans"
-    )
+    matches = F.concat(*(_matches(F.col("_text"), p, k) for k, p in zip(KINDS, (ASSIGN, ACCESS, HEX, LONG))))
+    found = stage(rows.select("_id", "_repository", "_owner", matches.alias("matches")).withColumn("_row", F.monotonically_increasing_id()), "secret-matches")
+    candidates = stage(_spans(found), "secret-spans").withColumn("value_hash", F.sha2(F.col("span.value").cast("binary"), 256))
 
     # One row a candidate, its value only as a hash. Counting goes (value, owner, repository), then (value, owner) and
     # (value, repository), then value: each step combines before it shuffles, so a value in a third of all rows stays
     # small. Nulls are counted as a repository or an owner of their own.
-    candidates = found.where((F.size("base") > 0) | (F.size("long") > 0)).select(
-        "_row", "_repository", "_owner", F.explode(F.concat("base", "long")).alias("span")
-    ).withColumn("value_hash", F.sha2(F.col("span.value").cast("binary"), 256))
     held = stage(candidates.groupBy("value_hash", "_owner", "_repository").agg(F.count(F.lit(1)).alias("_rows")), "secret-held")
     by_owner = held.groupBy("value_hash", "_owner").agg(F.sum("_rows").alias("_rows")).groupBy("value_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("_rows").alias("_rows"))
     by_repository = held.select("value_hash", "_repository").distinct().groupBy("value_hash").agg(F.count(F.lit(1)).alias("repositories"))
-    copied = F.col("owners") >= example_owners
-    if example_repositories is not None:
-        copied = copied | (F.col("repositories") >= example_repositories)
+    copied = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
     values = stage(by_owner.join(by_repository, "value_hash").select("value_hash", "repositories", "owners", copied.alias("copied"), "_rows"), "secret-values")
     # A hot value's rows would all meet its one count: counts of values in many rows are repeated over salts.
     salts = 16
@@ -116,12 +119,14 @@ def scan(
         .join(spread, ["value_hash", "_salt"])
     )
     live = ~F.col("copied") & looks_random(F.col("span.value"))
+    is_long = F.col("span.kind") == KINDS.index("owned")
     per_row = judged.groupBy("_row").agg(
         F.sum(F.col("copied").cast("long")).alias("examples"), F.sum(live.cast("long")).alias("live"),
-        F.collect_list(F.when(live & (F.col("span.kind") == KINDS.index("owned")), F.col("span"))).alias("added"),
+        F.collect_list(F.when(~is_long, F.col("span"))).alias("base"), F.collect_list(F.when(live & is_long, F.col("span"))).alias("added"),
     )
-    documents = found.select("_row", "_id", "base").join(per_row, "_row", "left").select(
-        F.col("_id").alias(id_col), "base", F.coalesce("added", F.filter("base", lambda s: F.lit(False))).alias("added"),
+    none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>")
+    documents = found.select("_row", "_id").join(per_row, "_row", "left").select(
+        F.col("_id").alias(id_col), F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"),
         F.coalesce("examples", F.lit(0).cast("long")).alias("examples"), F.coalesce("live", F.lit(0).cast("long")).alias("live"),
     )
     return documents, values.drop("_rows")
