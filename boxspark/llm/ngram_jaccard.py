@@ -29,7 +29,8 @@ GROUPS = 256
 LEAST_GROUPS = 32
 #: A stored count of MANY stands for that or more; as a bound it is read as without limit.
 MANY = 255
-#: Documents with a prefix gram in common whose points are searched; more are tied together unsearched, losing no link.
+#: Sets with a prefix gram in common whose points are searched together, so that they fit a task; all later sets of the
+#: gram are tied to its first one unsearched, which loses no link.
 MOST_SEARCHED = 20_000
 #: Entries of a leaf and of an inner node of the R-tree.
 FAN_OUT = 32
@@ -46,37 +47,38 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _bytes() -> tuple[np.ndarray, np.ndarray]:
-    """A random 64-bit value of every byte, upper-case letters as lower-case, and which bytes are white space."""
-    values = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+    """A random 64-bit value of every byte at each of 64 places, upper-case letters as lower-case, and which bytes are
+    white space."""
+    values = np.random.default_rng(5).integers(0, 2**64, (256, 64), dtype=np.uint64)
     values[65:91] = values[97:123]
     space = np.zeros(256, bool)
     space[[32, *range(9, 14)]] = True
-    return values, space
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _ODD, np.uint64)
-    down = np.full(n, pow(_ODD, -1, 2**64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return values.reshape(-1), space
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, where each text's words end)."""
+    """(hashes of all words in order, where each text's words end).
+
+    A word's hash is the sum of random values of its bytes at their places, each stretch of 64 places with a random
+    factor of its own: no place is a power of another, so no pattern of bytes makes different words alike."""
     raw = [(t or "").encode() for t in texts]
     lengths = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
-    data = np.frombuffer(b"".join(r + b" " for r in raw), np.uint8)
+    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     values, space = _bytes()
     is_space = space[data]
-    before = np.ones(len(data), bool)
-    before[1:] = is_space[:-1]
-    starts = np.flatnonzero(~is_space & before)
-    ends = np.flatnonzero(is_space & ~before)
-    up, down = _powers(1 << max(20, len(data).bit_length()))
-    with np.errstate(over="ignore"):
-        sums = np.cumsum(values[data] * up[: len(data)], dtype=np.uint64)
-        hashes = _mix((sums[ends - 1] - np.where(starts > 0, sums[starts - 1], _U(0))) * down[starts]) if len(starts) else np.zeros(0, np.uint64)
+    edges = np.flatnonzero(is_space[1:] != is_space[:-1]) + 1
+    if len(data) and not is_space[0]:
+        edges = np.concatenate([[0], edges])
+    starts, ends = edges[0::2], edges[1::2]
+    sizes = ends - starts
+    letters = data[~is_space]
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
+    terms = values[(letters.astype(np.int32) << 6) + (place & 63)]
+    if len(sizes) and int(sizes.max()) > 64:
+        with np.errstate(over="ignore"):
+            terms = terms * (_mix((place >> 6).astype(np.uint64) * _U(_ODD)) | _U(1))
+    hashes = _mix(np.add.reduceat(terms, first)) if len(first) else np.zeros(0, np.uint64)
     return hashes, np.searchsorted(starts, np.cumsum(lengths))
 
 
@@ -136,7 +138,8 @@ def folded(points: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """_id, n_shingles, h1, h2 (a 128-bit hash of the set), its point and, on one row a slice, grams that several texts share."""
+    """_id, text_key (a hash of the text), n_shingles, h1, h2 (a 128-bit hash of the set), its point and, on one row a
+    slice, grams that several texts share."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "_text"):
@@ -153,10 +156,14 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
             often = seen[times >= 3].view(np.int64)
             shared = pa.array([often.tolist() if i == 0 else None for i in range(len(sets))], pa.list_(pa.int64()))
             points = pa.array([np.minimum(point(x, n_groups(len(x))), MANY).astype(np.uint8).tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sizes), pa.array(both[0]), pa.array(both[1]), points, shared], ["_id", "n_shingles", "h1", "h2", "point", "shared"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("text_key"), pa.array(sizes), pa.array(both[0]), pa.array(both[1]), points, shared], schema.names)
 
-    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n_shingles", "h1", "h2")), T.StructField("point", T.BinaryType()), T.StructField("shared", T.ArrayType(T.LongType()))])
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(rows, schema)
+    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("text_key", "n_shingles", "h1", "h2")), T.StructField("point", T.BinaryType()), T.StructField("shared", T.ArrayType(T.LongType()))])
+    return _keyed(docs, id_col, text_col).mapInArrow(rows, schema)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("text_key"))
 
 
 def _ties(docs: DataFrame, text_col: str, n: int, percent: int, common) -> DataFrame:
@@ -185,7 +192,7 @@ def _ties(docs: DataFrame, text_col: str, n: int, percent: int, common) -> DataF
     return docs.select(F.col(text_col).alias("_text")).mapInArrow(rows, "gram bigint, set bigint")
 
 
-def _search(percent: int):
+def _search(percent: int, most_searched: int = MOST_SEARCHED):
     """Ties (src, dst) of sets with a prefix gram in common whose points allow the overlap they need. Rows come sorted
     by gram; a short run of a gram is compared at every distance at once, a longer one through an R-tree."""
 
@@ -212,13 +219,15 @@ def _search(percent: int):
                 x = parent[x]
             return x
 
-        # Sets that can be similar have as many groups or twice as many.
-        for g in np.unique(groups):
-            own, next_ = np.flatnonzero(groups == g), np.flatnonzero(groups == 2 * g)
+        # Of sets that can be similar the larger has at most 200 / percent as many groups as the smaller.
+        levels = np.unique(groups)
+        for g in levels:
+            own = np.flatnonzero(groups == g)
             tree = RTree(folded(points[own], g), sizes[own])
             found = [(own, tree, own, tree, True)]
-            if len(next_):
-                found.append((own, tree, next_, RTree(folded(points[next_], g), sizes[next_]), False))
+            for more in levels[(levels > g) & (levels * percent <= g * 200)]:
+                other = np.flatnonzero(groups == more)
+                found.append((own, tree, other, RTree(folded(points[other], g), sizes[other]), False))
             for rows_a, a, rows_b, b, same in found:
                 for i, j in pairs(a, b, percent, same):
                     for x, y in zip(rows_a[a.order[i]].tolist(), rows_b[b.order[j]].tolist()):
@@ -251,7 +260,7 @@ def _search(percent: int):
             packed = batch.column("point").to_pylist()
             raw = np.frombuffer(b"".join(x.ljust(GROUPS, b"\0") for x in packed), np.uint8).reshape(-1, GROUPS)
             new = [batch.column(c).to_numpy() for c in ("gram", "set", "n_shingles")]
-            new += [np.fromiter(map(len, packed), np.int64, len(packed)), np.where(raw == MANY, 1 << 20, raw).astype(np.int32)]
+            new += [np.fromiter(map(len, packed), np.int64, len(packed)), np.where(raw == MANY, np.int32(1 << 20), raw.astype(np.int32))]
             found = []
             if all_tied is not None:
                 more = new[0] == all_tied[0]
@@ -266,7 +275,7 @@ def _search(percent: int):
                 if last:
                     found += tie(*(x[:last] for x in now))
                 held = [x[last:] for x in now]
-                if len(held[0]) > MOST_SEARCHED:
+                if len(held[0]) > most_searched:
                     all_tied = (held[0][0], held[1][0])
                     found.append(np.column_stack([held[1][1:], np.full(len(held[1]) - 1, held[1][0])]))
                     held = None
@@ -322,79 +331,92 @@ def pairs(a: RTree, b: RTree, percent: int, same: bool) -> Iterator[tuple[np.nda
                 yield i[keep], j[keep]
 
 
-def linked(ids: list, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple]:
-    """Links that connect all linked sets of ``left`` x ``right`` (positions; the same array for a join with itself).
+def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs (x[k], y[k]) of positions of ``sets``.
 
-    Pairs that earlier links already connect are not verified again."""
-    parent = list(range(len(ids)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    A few pairs are looked up one by one; many pairs of few sets share one table of which set holds which gram."""
+    left, right = np.unique(x), np.unique(y)
+    if len(x) <= 4 * (len(left) + len(right)):
+        out = np.empty(len(x), np.int64)
+        for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+            a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+            out[k] = np.count_nonzero(b[at] == a)
+        return out
+    both = np.union1d(left, right)
+    sizes = np.array([len(sets[k]) for k in both.tolist()])
+    grams, where = np.unique(np.concatenate([sets[k] for k in both.tolist()]), return_inverse=True)
+    table = np.zeros((len(both), len(grams)), np.float32)
+    table[np.repeat(np.arange(len(both)), sizes), where] = 1
+    counts = table[np.searchsorted(both, left)] @ table[np.searchsorted(both, right)].T
+    return np.rint(counts[np.searchsorted(left, x), np.searchsorted(right, y)]).astype(np.int64)
+
+
+def linked(sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links that connect all linked sets of ``left`` x ``right``, how many documents each set links with). Positions;
+    the same array for a join with itself. Every surviving pair is verified, none is put out: the first are enough to
+    connect, of the others only the number counts."""
+    parent = np.arange(len(sets))
+
+    def roots(at: np.ndarray) -> np.ndarray:
+        up = parent[at]
+        while (up != (more := parent[up])).any():
+            up = more
+        parent[at] = up
+        return up
 
     def tree(which: np.ndarray) -> RTree:
         points = np.zeros((len(which), groups), np.int32)
         for row, k in enumerate(which.tolist()):
             points[row] = point(sets[k], groups)
-        return RTree(points, np.array([len(sets[k]) for k in which.tolist()], np.int64))
+        return RTree(points, sizes[which])
 
     same = left is right
-    groups = n_groups(max(len(sets[k]) for k in np.concatenate([left, right]).tolist()))
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    groups = n_groups(int(sizes[np.concatenate([left, right])].max()))
     ta = tree(left)
     tb = ta if same else tree(right)
-    out = []
+    out, links = [], np.zeros(len(sets), np.int64)
     for i, j in pairs(ta, tb, percent, same):
-        for x, y in zip(left[ta.order[i]].tolist(), right[tb.order[j]].tolist()):
-            p, q = root(x), root(y)
-            if p == q:
-                continue
-            a, b = sets[x], sets[y]
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            if int((b[at] == a).sum()) >= needed(len(a), len(b), percent):
-                parent[max(p, q)] = min(p, q)
-                out.append((ids[x], ids[y]))
-    return out
-
-
-def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80,
-    tile: int = 500_000, most_common: int = 500_000,
-) -> DataFrame:
-    """One row a row of ``docs``: id, n_shingles, component_id.
-
-    Words are runs of anything but ASCII white space, A-Z as a-z. Sets link when 100 * intersection is at least
-    ``percent`` * union; component_id is the smallest id reachable over links. Texts of fewer than n words are one
-    gram; null texts and texts without words have the empty set, link with nothing and are their own component. Rows
-    that repeat a text or an id are rows like others. Ids must not be null where a link matters: a null id is never
-    the smallest. Whole texts and all links count; other columns are not read.
-
-    ``tile``: grams of the sets that one small join holds of either side. ``most_common``: how many frequent grams the
-    prefix order knows (8 bytes each, sent to every executor); a bound on that saves less work but loses no link.
-    """
+        x, y = left[ta.order[i]], right[tb.order[j]]
+        ok = overlaps(sets, x, y) >= needed(sizes[x], sizes[y], percent)
+        x, y = x[ok], y[ok]
+        np.add.at(links, x, copies[y])
+        np.add.at(links, y, copies[x])
+        new = roots(x) != roots(y)
+        for p, q in zip(x[new].tolist(), y[new].tolist()):
+            a, b = (int(r) for r in roots(np.array([p, q])))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((p, q))
+    return out, links
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, tile: int, most_common: int, most_searched: int) -> DataFrame:
+    """_id, text_key, n_shingles, component_id, n_links: one row a row of ``docs``."""
     spark = docs.sparkSession
     found = stage(_sets(docs, id_col, text_col, n), "jaccard-sets")
     shared = found.select(F.explode("shared").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
     rows = shared.orderBy(F.desc("times"), "gram").limit(most_common).select("gram").toArrow()
     common = spark.sparkContext.broadcast(np.sort(rows.column(0).to_numpy().view(np.uint64)))
-    alike = ["n_shingles", "h1", "h2"]  # equal sets are one set with one representative
-    reps = stage(found.where("n_shingles > 0").groupBy(*alike).agg(F.min("_id").alias("rep"), F.first("point").alias("point")), "jaccard-reps")
+    alike = ["n_shingles", "h1", "h2"]  # equal sets are one set, whose text is that of its smallest id (null last)
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "text_key")).alias("first")
+    reps = found.where("n_shingles > 0").groupBy(*alike).agg(first, F.first("point").alias("point"), F.count(F.lit(1)).alias("copies"))
+    key = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
+    reps = stage(reps.select(*alike, key.alias("set"), "first.id", "first.text_key", "point", "copies"), "jaccard-reps")
 
     ties = _ties(docs, text_col, n, percent, common)
     met = ties.groupBy("gram").agg(F.min("set").alias("_near"), F.max("set").alias("_far")).where("_near < _far").select("gram")
     points = reps.select(F.col("h1").alias("set"), "n_shingles", "point")
     meetings = ties.join(met, "gram").join(points, "set").select("gram", "set", "n_shingles", "point")
-    pairs_found = meetings.repartition("gram").sortWithinPartitions("gram").mapInArrow(_search(percent), "src bigint, dst bigint")
+    pairs_found = meetings.repartition("gram").sortWithinPartitions("gram").mapInArrow(_search(percent, most_searched), "src bigint, dst bigint")
     tied = components(pairs_found, "jaccard-ties")
 
-    near = reps.join(tied, reps["h1"] == tied["node"]).select("rep", "n_shingles", F.col("component").alias("tied"))
-    near = running_totals(near.where("rep IS NOT NULL"), ["tied", "n_shingles", "rep"], "n_shingles", "jaccard-near")
+    near = reps.join(tied, reps["h1"] == tied["node"]).select("set", "id", "text_key", "copies", "n_shingles", F.col("component").alias("tied"))
+    near = running_totals(near, ["tied", "n_shingles", "set"], "n_shingles", "jaccard-near")
     spans = near.groupBy("tied").agg(F.min("before").alias("_first"), F.count(F.lit(1)).alias("_sets")).where("_sets > 1")
     near = stage(
-        near.join(spans, "tied").select("rep", "tied", "n_shingles", F.expr(f"int((before - _first) div {tile})").alias("tile")), "jaccard-tiles"
+        near.join(spans, "tied").select("set", "id", "text_key", "copies", "tied", "n_shingles", F.expr(f"int((before - _first) div {tile})").alias("tile")), "jaccard-tiles"
     )
     ranges = near.groupBy("tied", "tile").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
     other = ranges.select(F.col("tied").alias("t2"), F.col("tile").alias("tile2"), F.col("lo").alias("lo2"))
@@ -408,45 +430,73 @@ def jaccard_components(
     total = near.agg(F.sum("n_shingles")).first()[0] or 0
     bins = max(1, int(total // tile) * 2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     group = F.when(F.col("j") > 0, F.xxhash64("tied", "i", "j")).otherwise(F.pmod(F.xxhash64("tied"), F.lit(bins)))
-    near = near.join(sides, ["tied", "tile"]).groupBy("rep", "tied", "tile").agg(F.collect_list(F.struct("i", "j", group.alias("bin"))).alias("places"))
+    own = ["set", "id", "text_key", "copies", "tied", "tile"]
+    near = near.join(sides, ["tied", "tile"]).groupBy(*own).agg(F.collect_list(F.struct("i", "j", group.alias("bin"))).alias("places"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "_text"):
             packed = pa.array([s.tobytes() for s in gram_sets(texts, n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "tied", "tile", "places")), packed], ["rep", "tied", "tile", "places", "grams"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in schema.names[:-1]), packed], schema.names)
 
-    # Rows that repeat an id may hold different texts; all of them are verified under that id. The hint keeps one plan
-    # at every size: ``near`` grows with the corpus.
-    kind = docs.schema[id_col].dataType
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    schema = T.StructType([T.StructField("rep", kind), T.StructField("tied", T.LongType()), T.StructField("tile", T.IntegerType()), near.schema["places"], T.StructField("grams", T.BinaryType())])
-    sets = texts.join(near.hint("merge"), texts["_id"] == near["rep"]).select("rep", "tied", "tile", "places", "_text").mapInArrow(grams, schema)
-    work = sets.select("rep", "tied", "tile", "grams", F.explode("places").alias("p")).select("rep", "tied", "tile", "grams", "p.i", "p.j", "p.bin")
+    # A set's text is found by its id and key. The hint keeps one plan at every size: ``near`` grows with the corpus.
+    texts, hinted = _keyed(docs, id_col, text_col), near.hint("merge")
+    schema = T.StructType([*(near.schema[c] for c in ("set", "copies", "tied", "tile", "places")), T.StructField("grams", T.BinaryType())])
+    sets = texts.join(hinted, (texts["text_key"] == near["text_key"]) & texts["_id"].eqNullSafe(near["id"])).select(*schema.names[:-1], "_text").mapInArrow(grams, schema)
+    work = sets.select("set", "copies", "tied", "tile", "grams", F.explode("places").alias("p")).select("set", "copies", "tied", "tile", "grams", "p.i", "p.j", "p.bin")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         for (_, i, j), rows in pdf.groupby(["tied", "i", "j"], sort=False):
-            own, at = [np.frombuffer(g, np.uint64) for g in rows["grams"]], rows["tile"].to_numpy()
+            rows = rows.drop_duplicates("set")  # rows that repeat an id and its text
+            own, at, names = [np.frombuffer(g, np.uint64) for g in rows["grams"]], rows["tile"].to_numpy(), rows["set"].tolist()
             left = np.flatnonzero(at == i)
             right = left if i == j else np.flatnonzero(at == j)
             if len(left) and len(right) and len(rows) > 1:
-                out += linked(rows["rep"].tolist(), own, left, right, percent)
-        return pd.DataFrame(out, columns=["src", "dst"])
-
-    link_schema = T.StructType([T.StructField("src", kind), T.StructField("dst", kind)])
-    links = work.select("bin", "tied", "tile", "i", "j", "rep", "grams").groupBy("bin").applyInPandas(link, link_schema)
-    groups = components(links, "jaccard-links")
-
-    where = reps.join(groups, reps["rep"] == groups["node"], "left").select(
-        *(F.col(c).alias(f"_{c}") for c in alike), F.coalesce("component", "rep").alias("component_id")
+                edges, links = linked(own, rows["copies"].to_numpy(), left, right, percent)
+                out += [(names[x], names[y], 0) for x, y in edges]
+                out += [(names[x], None, int(links[x])) for x in np.flatnonzero(links).tolist()]
+        return pd.DataFrame(out, columns=["src", "dst", "n"])
+
+    links = stage(work.groupBy("bin").applyInPandas(link, "src string, dst string, n bigint"), "jaccard-links")
+    groups = components(links.where("dst IS NOT NULL"), "jaccard-links")
+    ids = groups.join(reps.select("set", "id"), groups["node"] == F.col("set")).groupBy("component").agg(F.min("id").alias("component_id"))
+    n_links = links.where("dst IS NULL").groupBy("src").agg(F.sum("n").alias("n_links"))
+    of_sets = groups.join(ids, "component").join(n_links, F.col("node") == F.col("src")).select("node", "component_id", "n_links")
+    where = reps.join(of_sets, F.col("set") == F.col("node"), "left").select(
+        *(F.col(c).alias(f"_{c}") for c in alike), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        (F.coalesce("n_links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n_links"),
     )
     return (
         found.join(where, (F.col("n_shingles") == F.col("_n_shingles")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
-        .select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
+        .select("_id", "text_key", "n_shingles", F.coalesce("component_id", "_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component."""
-    least = jaccard_components(docs, id_col, text_col, **how).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
-    return docs.join(least, docs[id_col].eqNullSafe(least["_stays"]), "left_semi")
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80,
+    tile: int = 500_000, most_common: int = 500_000, most_searched: int = MOST_SEARCHED,
+) -> DataFrame:
+    """One row a row of ``docs``: id, n_shingles, component_id, n_links.
+
+    Words are runs of anything but ASCII white space, A-Z as a-z. Sets link when 100 * intersection is at least
+    ``percent`` * union; component_id is the smallest id reachable over links, n_links the number of other rows that a
+    row links with, rows of an equal set included. Texts of fewer than n words are one gram; null texts and texts
+    without words have the empty set, link with nothing and are their own component. Rows that repeat a text or an id
+    are rows like others. A null id is never the smallest: its row has the component of what it links with, null where
+    nothing there has an id. Whole texts and all links count; other columns are not read. Grams are 64-bit hashes, sets
+    128-bit ones; words are hashed so that no pattern of bytes makes them collide.
+
+    ``tile``: grams of the sets that one small join holds of either side. ``most_common``: how many frequent grams the
+    prefix order knows (8 bytes each, sent to every executor); a bound on that saves less work but loses no link, nor
+    does ``most_searched``.
+    """
+    found = _classes(docs, id_col, text_col, n, percent, tile, most_common, most_searched)
+    return found.select(F.col("_id").alias(id_col), "n_shingles", "component_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, tile: int = 500_000, most_common: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, all columns as they are. Texts without words stay;
+    rows that repeat such an id and its text stay with it; a null id stays where its component has no other."""
+    found = _classes(docs, id_col, text_col, n, percent, tile, most_common, MOST_SEARCHED)
+    least = found.where(F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id").alias("_stays"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(least, docs[id_col].eqNullSafe(least["_stays"]) & (F.xxhash64(docs[text_col]) == least["_key"]), "left_semi")

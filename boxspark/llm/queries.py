@@ -104,7 +104,8 @@ pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS
 links AS (SELECT x, y FROM pairs WHERE 100 * k >= 90 * (nx + ny - k)),
 ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT x, y FROM ways UNION SELECT r.x, b.y FROM reach r JOIN ways b ON r.y = b.x)
-SELECT s.doc_id, len(s.sh) AS n_shingles, least(s.doc_id, coalesce(c.m, s.doc_id)) AS component_id FROM s LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) c ON c.x = s.doc_id
+SELECT s.doc_id, len(s.sh) AS n_shingles, least(s.doc_id, coalesce(c.m, s.doc_id)) AS component_id, coalesce(k.n, 0) AS n_links
+FROM s LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) c ON c.x = s.doc_id LEFT JOIN (SELECT x, count(*) AS n FROM ways GROUP BY x) k ON k.x = s.doc_id
 """
 
 

@@ -91,8 +91,37 @@ def test_ngram_jaccard(docs, rows, n, percent, tile):
         sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     comp = _components(sets, links)
-    got = sorted(tuple(r) for r in ngram_jaccard.jaccard_components(docs, n=n, percent=percent, tile=tile).collect())
-    assert got == sorted((r[0], len(sets[r[0]]), comp[r[0]]) for r in rows)
+    got = sorted(tuple(r) for r in ngram_jaccard.jaccard_components(docs, n=n, percent=percent, tile=tile, most_searched=4 if tile == 40 else 20_000).collect())
+    times = Counter(r[0] for r in rows)
+    n_links = {i: (times[i] - 1) * bool(sets[i]) for i in sets}
+    for a, b in links:
+        n_links[a] += times[b]
+        n_links[b] += times[a]
+    assert got == sorted((r[0], len(sets[r[0]]), comp[r[0]], n_links[r[0]]) for r in rows)
+
+
+def test_jaccard_links_of_null_and_repeated_ids(spark):
+    a, b, c = "a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y zz", "1 2 3 4 5 6 7 8"
+    rows = [(None, a), (5, b), (None, c), (None, c), (7, a + " a"), (7, c + " 9 10 11 12"), (9, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("set", F.lit(1)).withColumn("id", F.lit(2)).withColumn("text_key", F.lit(3))
+    got = sorted(map(repr, (tuple(r) for r in ngram_jaccard.jaccard_components(df, n=3, percent=85).collect())))
+    assert got == sorted(map(repr, [(None, 24, 5, 2), (5, 24, 5, 2), (None, 6, None, 1), (None, 6, None, 1), (7, 25, 5, 2), (7, 10, 7, 0), (9, 0, 9, 0), (None, 0, None, 0)]))
+    stay = ngram_jaccard.one_of_each(df, n=3, percent=85)
+    assert stay.columns == df.columns and sorted(map(repr, ((r.doc_id, r.text) for r in stay.collect()))) == sorted(map(repr, [rows[k] for k in (1, 2, 3, 5, 6, 7)]))
+
+
+def test_patterned_words_have_different_hashes():
+    thue = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    words, _ = ngram_jaccard.word_hashes([thue, thue.translate(str.maketrans("ab", "ba")), "ab" * 40, "ba" * 40, "x" * 64 + "y", "y" + "x" * 64, "", None, "  ", "é É e", "Ab aB"])
+    assert len(words) == 11 and len(set(words[:10].tolist())) == 10 and words[9] == words[10]
+
+
+def test_jaccard_of_a_very_long_text(spark):
+    rng = np.random.default_rng(9)
+    long_ = " ".join(f"q{k}" for k in rng.integers(0, 10**6, 150_000))
+    df = spark.createDataFrame([(1, long_), (2, long_.replace("q1", "r1", 40)), (3, " ".join(long_.split()[:100_000])), (4, "q1 q2")], "doc_id bigint, text string")
+    assert {r.doc_id: (r.component_id, r.n_links) for r in ngram_jaccard.jaccard_components(df, n=3, percent=90).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    assert ngram_jaccard.jaccard_components(df.limit(0)).count() == ngram_jaccard.one_of_each(df.limit(0)).count() == 0
 
 
 def test_common_grams_and_crowded_ties_lose_nothing(spark):
