@@ -102,20 +102,20 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same tables as common table expressions.
 SQL = """
-images AS (SELECT o_orderkey AS image_id, 640::BIGINT AS width, (CASE WHEN o_orderkey % 2 = 0 THEN 640 ELSE 480 END)::BIGINT AS height FROM orders),
+images AS MATERIALIZED (SELECT o_orderkey AS image_id, 640::BIGINT AS width, (CASE WHEN o_orderkey % 2 = 0 THEN 640 ELSE 480 END)::BIGINT AS height FROM orders),
 classes AS (SELECT * FROM (VALUES (0::BIGINT, 'c0'), (1::BIGINT, 'c1'), (2::BIGINT, 'c2'), (3::BIGINT, 'c3')) t(class_id, name)),
-base0 AS (SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS li_idx,
+base0 AS MATERIALIZED (SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS li_idx,
   l_partkey AS pk, l_suppkey AS sk, CAST(round(l_extendedprice * 100) AS BIGINT) AS ep, l_suppkey % 4 AS class_id,
   CASE WHEN l_partkey % 97 = 0 THEN 632 ELSE 4 + CAST(l_quantity AS BIGINT) * 5 END AS w, CASE WHEN l_partkey % 97 = 0 THEN 472 ELSE 4 + (l_partkey % 50) * 5 END AS h,
   CASE WHEN l_orderkey % 2 = 0 THEN 640 ELSE 480 END AS height FROM lineitem),
 base AS (SELECT *, (pk * 7919 + sk * 31) % (640 - w) AS x1, (pk * 104729 + sk * 17) % (height - h) AS y1 FROM base0),
 gt0 AS (SELECT *, 0 AS copy FROM base UNION ALL SELECT *, 1 AS copy FROM base WHERE pk % 12 = 0),
-gt AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY li_idx, copy) - 1 AS box_idx, class_id, x1 + copy AS x1, y1, x1 + copy + w AS x2, y1 + h AS y2 FROM gt0),
+gt AS MATERIALIZED (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY li_idx, copy) - 1 AS box_idx, class_id, x1 + copy AS x1, y1, x1 + copy + w AS x2, y1 + h AS y2 FROM gt0),
 pred0 AS (
   SELECT image_id, li_idx, 0 AS kind, CASE WHEN pk % 11 = 0 THEN (class_id + 1) % 4 ELSE class_id END AS class_id, (ep % 9973) / 9973.0::DOUBLE AS conf, x1 + ((sk % 7) * w) // 20 AS x1, y1 + ((pk % 5) * h) // 20 AS y1, w, h FROM base WHERE pk % 10 < 8
   UNION ALL SELECT image_id, li_idx, 1, (class_id + 2) % 4, (ep % 4999) / 9973.0::DOUBLE, (x1 * 3) % 500, (y1 * 5) % 400, w // 2 + 4, h // 2 + 4 FROM base WHERE sk % 6 = 0
   UNION ALL SELECT image_id, li_idx, 2, class_id, ((ep * 7 + sk) % 9973) / 9973.0::DOUBLE, x1 + ((sk % 5) * w) // 25, y1, w, h FROM base WHERE pk % 9 = 0),
-pred AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY li_idx, kind) - 1 AS pred_idx, class_id, conf, x1, y1, x1 + w AS x2, y1 + h AS y2 FROM pred0),
+pred AS MATERIALIZED (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY li_idx, kind) - 1 AS pred_idx, class_id, conf, x1, y1, x1 + w AS x2, y1 + h AS y2 FROM pred0),
 lab AS (SELECT image_id, box_idx, class_id, (x1 + x2) / 2.0::DOUBLE / width AS cx, (y1 + y2) / 2.0::DOUBLE / height AS cy, (x2 - x1) / width AS w, (y2 - y1) / height AS h FROM gt JOIN images USING (image_id)),
 feats AS (SELECT image_id, CAST((image_id * 37) % 200 AS DOUBLE) AS lap_var FROM images WHERE image_id % 50 <> 0),
 views0 AS (SELECT *, [0.8::DOUBLE, 1.0::DOUBLE, 1.2::DOUBLE][v // 2 + 1] AS scale, v % 2 = 1 AS flipped, (pred_idx * 3 + v) % 5 AS move FROM pred, range(6) r(v) WHERE conf >= 0.25 AND (image_id + pred_idx + v) % 7 <> 0),

@@ -121,11 +121,19 @@ def w6_all_sorted_images(spark, d):
     return fx.images(spark, d).select("image_id", F.concat(F.col("image_id").cast("string"), F.lit(".txt")).alias("name")).orderBy("name")
 
 
-@query(with_sql("SELECT image_id, CASE WHEN r <= floor(n * 0.7) THEN 'train' WHEN r <= floor(n * 0.7) + floor(n * 0.2) THEN 'val' ELSE 'test' END AS split FROM (SELECT image_id, row_number() OVER (ORDER BY md5(concat(image_id, '|42')), image_id) AS r, count(*) OVER () AS n FROM images)"))
+_SPLIT = with_sql("SELECT image_id, CASE WHEN r <= floor(n * 0.7) THEN 'train' WHEN r <= floor(n * 0.7) + floor(n * 0.2) THEN 'val' ELSE 'test' END AS split FROM (SELECT image_id, row_number() OVER (ORDER BY md5(concat(image_id, '|42')), image_id) AS r, count(*) OVER () AS n FROM images)")
+
+
+@query(_SPLIT)
 def w7_split_dataset(spark, d):
     return stats.split_dataset(fx.images(spark, d))
 
 
+@query(f"SELECT split, count(*) AS n_images FROM ({_SPLIT}) GROUP BY 1")
+def a1_images_per_split(spark, d):
+    return stats.images_per_split(stats.split_dataset(fx.images(spark, d)))
+
+
 _UNIT = "(('0x' || substr(md5({t}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
@@ -258,3 +266,39 @@ SELECT s.vec_id, round(var_pop(around - 4 * v), 6) AS lap_var FROM s JOIN px USI
 @query(_LAP)
 def i1_laplacian_variance(spark, d):
     return pixels.vector_features(fx.table(spark, d, "embeddings")).select("vec_id", F.round("lap_var", 6).alias("lap_var"))
+
+
+_PX = "px AS (SELECT vec_id, [greatest(0, least(255, round_even(128 + 256 * v::DOUBLE, 0))) FOR v IN embedding] AS p FROM embeddings)"
+_SUMS = "list_sum(p)::BIGINT AS total, list_sum([p[i] * i FOR i IN range(1, len(p) + 1)])::BIGINT AS weighted"
+
+
+def _grey_vectors(spark, d):
+    return pixels.vector_images(fx.table(spark, d, "embeddings"))
+
+
+def _sums(images, *keys):
+    """Sums that tell images apart: of the pixels, and of the pixels by their place."""
+    values = F.transform(F.sequence(F.lit(1), F.length("pixels")), lambda i: F.conv(F.hex(F.substring("pixels", i, F.lit(1))), 16, 10).cast("bigint") * i)
+    plain = F.transform(F.sequence(F.lit(1), F.length("pixels")), lambda i: F.conv(F.hex(F.substring("pixels", i, F.lit(1))), 16, 10).cast("bigint"))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return images.select(*keys, "width", "height", add(plain).alias("total"), add(values).alias("weighted"))
+
+
+@query(f"""WITH {_PX}, v AS (
+SELECT vec_id, 'bright_7' AS variant, [least(255, round_even(x * 0.7::DOUBLE, 0)) FOR x IN p] AS p FROM px
+UNION ALL SELECT vec_id, 'bright_13', [least(255, round_even(x * 1.3::DOUBLE, 0)) FOR x IN p] FROM px
+UNION ALL SELECT vec_id, 'flip', [p[i // 8 * 8 + 8 - i % 8] FOR i IN range(64)] FROM px WHERE vec_id % 2 = 0)
+SELECT vec_id, variant, 8 AS width, 8 AS height, {_SUMS} FROM v""")
+def i4_variant_images(spark, d):
+    """Pixels of a plan that gives every image two brightnesses and every other one its mirror image."""
+    images = _grey_vectors(spark, d)
+    plan = images.select("image_id", F.explode(F.when(F.col("image_id") % 2 == 0, F.array(*map(F.lit, ("bright_7", "bright_13", "flip")))).otherwise(F.array(*map(F.lit, ("bright_7", "bright_13"))))).alias("variant"))
+    return _sums(pixels.variant_images(images, plan), F.col("image_id").alias("vec_id"), "variant")
+
+
+@query(f"""WITH {_PX}, v AS (SELECT vec_id, [round_even(least(255, x * 1.2::DOUBLE), 0) FOR x IN [p[r * 16 + c * 2 + 1] FOR r IN range(4) FOR c IN range(4)]] AS p FROM px)
+SELECT vec_id, 4 AS width, 4 AS height, {_SUMS} FROM v""".replace("[p[r * 16 + c * 2 + 1] FOR r IN range(4) FOR c IN range(4)]", "[p[i // 4 * 16 + i % 4 * 2 + 1] FOR i IN range(16)]"))
+def i3_preprocessed(spark, d):
+    """Every image at half its side, brighter by a fifth."""
+    made = pixels.preprocessed_images(_grey_vectors(spark, d), 4, 4, brightness=1.2)
+    return _sums(made.where("error IS NULL"), F.col("image_id").alias("vec_id"))

@@ -155,10 +155,23 @@ def e16_select_best(spark, d):
 _AP_STRICT = _AP.replace("FROM pred p JOIN gt g ON", "FROM (SELECT * FROM pred WHERE conf >= 0.5) p JOIN gt g ON").replace("FROM pred p CROSS JOIN", "FROM (SELECT * FROM pred WHERE conf >= 0.5) p CROSS JOIN")
 
 
-@query(with_sql("SELECT 'strict' AS model, round(avg(ap) FILTER (level = 0.5), 6) AS map50, round(avg(ap), 6) AS map50_95, round(0.1 * avg(ap) FILTER (level = 0.5) + 0.9 * avg(ap), 6) AS fitness FROM ap", _AP_STRICT, True))
+def _model_sql(model: str, ap: str, where: str) -> str:
+    rates = f"""rates AS (SELECT b.class_id, coalesce(tp / made, 0) AS p, coalesce(tp / boxes, 0) AS r FROM nb b LEFT JOIN (SELECT class_id, count(*) AS made FROM pred WHERE {where} GROUP BY 1) USING (class_id)
+      LEFT JOIN (SELECT class_id, count(*) AS tp FROM found WHERE level = 0.5 GROUP BY 1) USING (class_id))"""
+    m50, m = "avg(ap) FILTER (level = 0.5)", "avg(ap)"
+    return with_sql(
+        f"SELECT '{model}' AS model, round({m50}, 6) AS map50, round({m}, 6) AS map50_95, (SELECT round(avg(p), 6) FROM rates) AS mean_precision, (SELECT round(avg(r), 6) FROM rates) AS mean_recall, round(0.1 * {m50} + 0.9 * {m}, 6) AS fitness FROM ap",
+        f"{ap}, {rates}", True,
+    )
+
+
+@query(f"SELECT * FROM ({_model_sql('all', _AP, 'true')}) UNION ALL SELECT * FROM ({_model_sql('strict', _AP_STRICT, 'conf >= 0.5')})")
 def e17_model_comparison(spark, d):
-    row = evaluate.mean_average_precision(_ap(spark, d, "conf >= 0.5"))
-    return row.select(F.lit("strict").alias("model"), *(F.round(c, 6).alias(c) for c in ("map50", "map50_95", "fitness")))
+    """Two models on the same boxes: all predictions, and the sure ones only."""
+    pred, gt = _pg(spark, d)
+    models = F.explode(F.when(F.col("conf") >= 0.5, F.array(F.lit("all"), F.lit("strict"))).otherwise(F.array(F.lit("all"))))
+    rows = evaluate.compare_models(pred.withColumn("model", models), gt)
+    return rows.select("model", *(F.round(c, 6).alias(c) for c in ("map50", "map50_95", "mean_precision", "mean_recall", "fitness")))
 
 
 @query(with_sql("SELECT class_id, round(ap, 6) AS ap50 FROM ap WHERE level = 0.5 AND class_id IN (0, 1)", _AP, True))

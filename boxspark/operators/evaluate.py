@@ -125,6 +125,30 @@ def mean_average_precision(ap: DataFrame, weights: tuple[float, float] = (0.1, 0
     return row.withColumn("fitness", weights[0] * F.col("map50") + weights[1] * F.col("map50_95"))
 
 
+def class_rates(pred: DataFrame, gt: DataFrame, iou_t: float = 0.5) -> DataFrame:
+    """class_id, p, r of the classes that have a box: precision and recall, 0 without a prediction."""
+    hits = greedy_match(pred, gt, iou_t).groupBy("class_id").agg(F.count(F.lit(1)).alias("tp"))
+    made = pred.groupBy("class_id").agg(F.count(F.lit(1)).alias("made"))
+    rows = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("boxes")).join(made, "class_id", "left").join(hits, "class_id", "left")
+    return rows.select("class_id", F.coalesce(F.col("tp") / F.col("made"), F.lit(0.0)).alias("p"), F.coalesce(F.col("tp") / F.col("boxes"), F.lit(0.0)).alias("r"))
+
+
+def compare_models(pred: DataFrame, gt: DataFrame, levels: list[float] | None = None, weights: tuple[float, float] = (0.1, 0.9)) -> DataFrame:
+    """model, map50, map50_95, mean_precision, mean_recall, fitness of the predictions of every ``model``.
+
+    The model is part of the keys of images and classes, so all models go through one matching, one shuffle of either
+    side. Boxes are repeated once a model; a model without any prediction is not there. Null models are one model."""
+    models = pred.select("model").distinct()
+    keyed = lambda df: df.withColumn("image_id", F.struct("model", "image_id")).withColumn("class_id", F.struct("model", "class_id")).drop("model")
+    own, boxes = keyed(pred), keyed(gt.crossJoin(F.broadcast(models)))  # one row a model
+    ap = average_precision(own, boxes, levels).groupBy("class_id.model").agg(
+        F.avg(F.when(F.col("level") == 0.5, F.col("ap"))).alias("map50"), F.avg("ap").alias("map50_95")
+    )
+    rates = class_rates(own, boxes).groupBy("class_id.model").agg(F.avg("p").alias("mean_precision"), F.avg("r").alias("mean_recall")).withColumnRenamed("model", "_model")
+    rows = ap.join(rates, F.col("model").eqNullSafe(F.col("_model")))
+    return rows.select("model", "map50", "map50_95", "mean_precision", "mean_recall", (weights[0] * F.col("map50") + weights[1] * F.col("map50_95")).alias("fitness"))
+
+
 def select_best(metrics: DataFrame, metric: str, order: str) -> DataFrame:
     """The row with the largest ``metric``, of equal ones the first by ``order``."""
     return metrics.orderBy(F.desc_nulls_last(metric), order).limit(1)

@@ -105,13 +105,113 @@ def variant(a: np.ndarray, name: str, key: str) -> np.ndarray:
     raise ValueError(f"no variant {name}")
 
 
-def preprocessed(a: np.ndarray, height: int, width: int, brightness: float = 1.0, contrast: float = 1.0, normalise: bool = True) -> np.ndarray:
-    """Resize, enhance, normalise: the tabular part of image preprocessing."""
-    a = nearest(a, height, width) * brightness
-    a = np.clip((a - a.mean()) * contrast + a.mean(), 0, 255)
+def bilinear(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Corners on corners."""
+
+    def places(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.linspace(0, n - 1, m) if m > 1 else np.zeros(1)
+        low = np.minimum(at.astype(int), max(n - 2, 0))
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    top, bottom, down = places(a.shape[0], height)
+    left, right, along = places(a.shape[1], width)
+    rows = a[top] * (1 - down)[:, None] + a[bottom] * down[:, None]
+    return rows[:, left] * (1 - along) + rows[:, right] * along
+
+
+def preprocessed(a: np.ndarray, height: int, width: int, brightness: float = 1.0, contrast: float = 1.0, normalise: bool = True, smooth: bool = False) -> np.ndarray:
+    """Resize (``smooth``: bilinear), enhance, normalise: the tabular part of image preprocessing."""
+    a = np.clip((bilinear if smooth else nearest)(a, height, width) * brightness, 0, 255)
+    if contrast != 1:
+        a = np.clip((a - a.mean()) * contrast + a.mean(), 0, 255)
     return np.rint(((a / 255 - 0.5) / 0.5 + 1) * 127.5) if normalise else np.rint(a)
 
 
+_GREY = [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("pixels", T.BinaryType())]
+
+
+def grey_images(images: DataFrame, id_col: str = "image_id") -> DataFrame:
+    """image_id, width, height, pixels (a byte a pixel) of rows with an ``image`` struct; nulls where none decodes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _packed([batch.column("image_id")], [grey(x) for x in batch.column("image").to_pylist()], ["image_id"])
+
+    schema = T.StructType([T.StructField("image_id", images.schema[id_col].dataType), *_GREY])
+    return images.select(F.col(id_col).alias("image_id"), "image").mapInArrow(rows, schema)
+
+
+def vector_images(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """image_id, width, height, pixels of vectors of a square length: 128 + 256 v, cut to 0..255. Others: nulls."""
+
+    def image(v: list | None) -> np.ndarray | None:
+        side = round(len(v) ** 0.5) if v else 0
+        if not v or side * side != len(v) or None in v:
+            return None
+        return np.rint(np.clip(128 + 256 * np.array(v, float).reshape(side, side), 0, 255))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _packed([batch.column("image_id")], [image(v) for v in batch.column("v").to_pylist()], ["image_id"])
+
+    schema = T.StructType([T.StructField("image_id", vectors.schema[id_col].dataType), *_GREY])
+    return vectors.select(F.col(id_col).alias("image_id"), F.col(vector_col).alias("v")).mapInArrow(rows, schema)
+
+
+def _packed(keys: list, images: list[np.ndarray | None], names: list[str]) -> pa.RecordBatch:
+    sizes = [(None, None) if a is None else a.shape for a in images]
+    raw = [None if a is None else a.astype(np.uint8).tobytes() for a in images]
+    columns = [pa.array([s[1] for s in sizes], pa.int32()), pa.array([s[0] for s in sizes], pa.int32()), pa.array(raw, pa.binary())]
+    return pa.RecordBatch.from_arrays([*keys, *columns], [*names, "width", "height", "pixels"])
+
+
+def _unpacked(width: int | None, height: int | None, pixels: bytes | None) -> np.ndarray:
+    if not width or not height or pixels is None or len(pixels) != width * height:
+        raise ValueError("no pixels")
+    return np.frombuffer(pixels, np.uint8).reshape(height, width).astype(float)
+
+
+def variant_images(images: DataFrame, plan: DataFrame) -> DataFrame:
+    """image_id, variant, width, height, pixels of each planned (image_id, variant) of grey ``images``.
+
+    The plan's names travel to the pixels as one array an image, so pixels move once and variants are made where they
+    lie. Images without a plan or pixels have no row; a name that is no variant is an error."""
+    names = plan.groupBy("image_id").agg(F.array_sort(F.collect_set("variant")).alias("variants"))
+    rows = images.where("pixels IS NOT NULL").join(names, "image_id").select("image_id", "width", "height", "pixels", "variants")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):  # one image's variants at a time
+                key, width, height, raw, wanted = (batch.column(i)[at].as_py() for i in range(5))
+                a = _unpacked(width, height, raw)
+                own = pa.array([key] * len(wanted), batch.schema.field("image_id").type)
+                yield _packed([own, pa.array(wanted, pa.string())], [variant(a, name, f"{key}|{name}") for name in wanted], ["image_id", "variant"])
+
+    schema = T.StructType([images.schema["image_id"], T.StructField("variant", T.StringType()), *_GREY])
+    return rows.mapInArrow(make, schema)
+
+
+def preprocessed_images(images: DataFrame, height: int, width: int, **how) -> DataFrame:
+    """image_id, width, height, pixels, error: each grey image through ``preprocessed``. One that fails has nulls and
+    its error, so the rows without one are the successes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, errors = [], []
+            for w, h, raw in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "pixels"))):
+                try:
+                    made.append(preprocessed(_unpacked(w, h, raw), height, width, **how))
+                    errors.append(None)
+                except ValueError as e:
+                    made.append(None)
+                    errors.append(str(e))
+            out = _packed([batch.column("image_id")], made, ["image_id"])
+            yield out.append_column("error", pa.array(errors, pa.string()))
+
+    schema = T.StructType([images.schema["image_id"], *_GREY, T.StructField("error", T.StringType())])
+    return images.select("image_id", "width", "height", "pixels").mapInArrow(make, schema)
+
+
 def scored(batches: DataFrame, model: Callable, schema: str | T.StructType) -> DataFrame:
     """Rows that ``model()`` makes of batches: it is called once a task and returns a function of a pandas frame."""
 

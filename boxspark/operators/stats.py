@@ -16,6 +16,11 @@ def dataset_stats(labels: DataFrame, images: DataFrame) -> DataFrame:
     return boxes.crossJoin(images.agg(F.count(F.lit(1)).alias("n_images")))  # one row by one row
 
 
+def images_per_split(images: DataFrame) -> DataFrame:
+    """split, n_images; images without a split are those of a null one."""
+    return images.groupBy("split").agg(F.count(F.lit(1)).alias("n_images"))
+
+
 def class_distribution(labels: DataFrame, classes: DataFrame) -> DataFrame:
     n = labels.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
     return F.broadcast(classes).join(n, "class_id", "left").select("class_id", "name", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))

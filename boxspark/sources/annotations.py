@@ -57,8 +57,9 @@ def write_dataset_config(config: dict, path: str) -> None:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, image_id, image of every image under a folder, each once; undecodable ones have height -1."""
-    files = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).option("pathGlobFilter", "*.{jpg,jpeg,png,bmp,JPG,JPEG,PNG,BMP}").load(path)
+    """path, image_id, image of every image under a folder, each once, suffixes in any case; undecodable ones have height -1
+    (TIFF files where the Java runtime reads none)."""
+    files = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).option("pathGlobFilter", "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG],[bB][mM][pP],[tT][iI][fF],[tT][iI][fF][fF]}").load(path)
     return files.select(F.col("image.origin").alias("path"), stem_of(F.col("image.origin")).alias("image_id"), "image")
 
 

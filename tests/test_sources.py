@@ -24,17 +24,24 @@ def _png(path, rows):
 def test_labels_round_trip(spark, tmp_path):
     folder = tmp_path / "labels" / "train"
     folder.mkdir(parents=True)
-    (folder / "a.txt").write_text("0 0.5 0.5 0.2 0.2\n1 0.3 0.3  # bad\n\n2 0.4  # bad\ninvalid line here\n0.0 0.1 0.1 0.1 0.1\n0 0.6 0.6 0.15 0.15 0.7\n")
-    (folder / "classes.txt").write_text("person\n")
-    (folder / "empty.txt").write_text("")
+    (folder / "street.txt").write_text("3 0.25 0.75 0.125 0.5\n7 0.1\n\n2 0.4 0.4 wide 0.1\nsee notes\n1.5 0.2 0.2 0.1 0.1\n1 0.875 0.5 0.25 0.0625 0.35\n")
+    (folder / "my_classes.txt").write_text("0 0.5 0.5 0.5 0.5\n")
+    (folder / "nothing.txt").write_text("")
     rows, rejects = lb.parse_label_lines(lb.read_label_lines(spark, str(tmp_path / "labels")))
-    got = [(r.image_id, r.split, r.box_idx, r.class_id, r.w, r.conf) for r in rows.orderBy("box_idx").collect()]
-    assert got == [("a", "train", 0, 0, 0.2, 1.0), ("a", "train", 6, 0, 0.15, 0.7)]
-    assert rejects.count() == 4
+    got = sorted((r.image_id, r.split, r.box_idx, r.class_id, r.w, r.conf) for r in rows.collect())
+    assert got == [("street", "train", 0, 3, 0.125, 1.0), ("street", "train", 6, 1, 0.25, 0.35)]
+    assert sorted(r._reason for r in rejects.collect()) == ["not a number", "not a number", "too few fields", "too few fields"]
     text = lb.label_text(rows, with_conf=True).first().text
-    assert text == "0 0.500000 0.500000 0.200000 0.200000 1.0000\n0 0.600000 0.600000 0.150000 0.150000 0.7000"
-    lb.write_label_files(rows, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).where("image_id = 'a'").count() == 2
+    assert text == "3 0.250000 0.750000 0.125000 0.500000 1.0000\n1 0.875000 0.500000 0.250000 0.062500 0.3500"
+    kept = lambda df: sorted((r.image_id, r.split, r.class_id, r.cx, r.cy, r.w, r.h, r.conf) for r in df.collect())
+    lb.write_label_files(rows, str(tmp_path / "files"), with_conf=True)
+    assert sorted(p.name for p in (tmp_path / "files").rglob("*") if p.is_file()) == ["street.txt"]
+    lb.write_label_table(rows, str(tmp_path / "table"), with_conf=True)
+    for lines in (lb.read_label_lines(spark, str(tmp_path / "files")), lb.read_label_table(spark, str(tmp_path / "table"))):
+        again, bad = lb.parse_label_lines(lines)
+        assert kept(again) == kept(rows) and bad.count() == 0
+    images = spark.createDataFrame([("street", "train"), ("nothing", "train")], "image_id string, split string")
+    assert sorted((r.image_id, r.class_id) for r in an.associate(images, rows).collect() if r.class_id != 1) == [("nothing", None), ("street", 3)]
 
 
 def test_coco_and_voc(spark, tmp_path):
@@ -97,3 +104,31 @@ def test_stream_of_label_files(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.table("label_counts").collect()) == [(0, 1), (1, 1)]
+
+
+def test_variant_and_preprocessed_images(spark, tmp_path):
+    import numpy as np
+
+    flat = [[100 + x for x in range(12)] for _ in range(10)]
+    _png(tmp_path / "ok.PNG", flat)
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    images = pixels.grey_images(an.read_images(spark, str(tmp_path)))
+    plan = spark.createDataFrame([("ok", "bright_7"), ("ok", "bright_7"), ("ok", "scale_12"), ("ok", "noise"), ("bad", "flip"), ("gone", "flip")], "image_id string, variant string")
+    got = {r.variant: r for r in pixels.variant_images(images, plan).collect()}
+    assert set(got) == {"bright_7", "scale_12", "noise"} and (got["scale_12"].height, got["scale_12"].width) == (12, 14)
+    assert np.array_equal(np.frombuffer(got["bright_7"].pixels, np.uint8).reshape(10, 12), np.rint(np.array(flat) * 0.7))
+    assert [r.pixels for r in pixels.variant_images(images, plan).where("variant = 'noise'").collect()] == [got["noise"].pixels]
+    made = {r.image_id: r for r in pixels.preprocessed_images(images, 5, 23, smooth=True).collect()}
+    assert made["bad"].pixels is None and made["bad"].error and made["ok"].error is None
+    assert np.allclose(np.frombuffer(made["ok"].pixels, np.uint8).reshape(5, 23)[3], np.rint(np.linspace(100, 111, 23)))
+    assert pixels.variant_images(images.limit(0), plan).count() == pixels.preprocessed_images(images.limit(0), 4, 4).count() == 0
+
+
+def test_dataset_config_and_reports(spark, tmp_path):
+    config = {"path": "data", "train": "train", "nc": 2, "names": {0: "cat", 1: "dog"}}
+    an.write_dataset_config(config, str(tmp_path / "d.yaml"))
+    assert [(r.class_id, r.name) for r in an.read_class_table(spark, str(tmp_path / "d.yaml")).orderBy("class_id").collect()] == [(0, "cat"), (1, "dog")]
+    rows = spark.createDataFrame([(i, "x") for i in range(30)], "k int, v string")
+    an.write_report(rows, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 30
+    assert len(an.report_text(rows, "title").splitlines()) == 21
