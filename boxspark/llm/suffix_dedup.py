@@ -7,7 +7,7 @@ equal ones. Equal windows have equal anchors at equal offsets, so windows can be
 windows with the same anchor form a run; the run's text is all that its windows hold.
 
 1. Runs are dealt by the anchor's hash. An anchor that occurs once cannot repeat. Runs whose whole text occurs again
-   are repeats as they stand. What remains are anchors with several different texts: only of these, text travels.
+   are repeats as they stand: they agree in two 64-bit hashes, of the anchor and of all their bytes. What remains are anchors with several different texts: only of these, text travels.
 2. For such an anchor the suffixes that start at it are sorted, with the lengths of neighbours' common prefixes: an
    enhanced suffix array. A stack scan gives the tree of common-prefix intervals; in each interval, members are split
    by what stands to the left of the anchor, and where that is diverse the members that agree far enough form a
@@ -42,11 +42,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _U(31))
 
 
-@lru_cache(maxsize=1)
-def _values() -> np.ndarray:
-    return np.random.default_rng(23).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-
-
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _ODD, np.uint64), np.full(n, pow(_ODD, -1, 2**64), np.uint64)
@@ -63,12 +58,14 @@ def runs(text: bytes, length: int, gram: int) -> np.ndarray:
 
 
 def _piece(data: np.ndarray, length: int, gram: int, base: int) -> np.ndarray:
-    n = len(data)
+    # A string's hash is a power series of its 8-byte windows, each mixed, so that no pattern of bytes cancels out.
+    n, eight = len(data) - 7, 8
     up, down = _powers(1 << max(17, n.bit_length()))
+    inside = gram - eight + 1
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_values()[data] * up[:n], out=sums[1:])
-        grams = _mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+        np.cumsum(_mix(np.ndarray((n,), "<u8", data.tobytes(), strides=(1,))) * up[:n], out=sums[1:])
+        grams = _mix((sums[inside:] - sums[:-inside]) * down[: n - inside + 1])
         # Hash above, place below: the least is the least hash and, of equal ones, the leftmost.
         least = grams >> _U(_BITS) << _U(_BITS) | np.arange(len(grams), dtype=np.uint64)
         width, size = length - gram + 1, 1
@@ -82,7 +79,7 @@ def _piece(data: np.ndarray, length: int, gram: int, base: int) -> np.ndarray:
         last = np.append(first[1:], windows) - 1
         where, end = anchors[first], last + length
         offset = where - first
-        texts = _mix((sums[end] - sums[first]) * down[first] + offset.astype(np.uint64) * _U(0x2545F4914F6CDD1D) + (end - first).astype(np.uint64))
+        texts = _mix((sums[end - eight + 1] - sums[first]) * down[first] + offset.astype(np.uint64) * _U(0x2545F4914F6CDD1D) + (end - first).astype(np.uint64))
     return np.column_stack([grams[where].view(np.int64), texts.view(np.int64), first + base, end - first, offset])
 
 
