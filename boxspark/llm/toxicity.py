@@ -179,7 +179,10 @@ def _lexicon(sample: DataFrame, least_documents: int, least_share: float) -> np.
     n = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return np.zeros(0, np.uint64)
-    found = _document_counts(sample.where("_label = 1"), None).where(F.col("documents") >= least_documents).toArrow()
+    # Of the features of toxic documents only those travel that would be far from chance without any clean document.
+    share, both = F.col("documents") / n[1], F.col("documents") / (n[1] + n[0])
+    far = share / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * (1 / n[1] + 1 / n[0])) >= 4.0
+    found = _document_counts(sample.where("_label = 1"), None).where((F.col("documents") >= least_documents) & far).toArrow()
     features, toxic = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
     order = np.argsort(features)
     features, toxic, clean = features[order], toxic[order], np.zeros(len(features))
@@ -251,7 +254,8 @@ def train(
     """Learn from a bounded sample of the labelled rows that ``learn`` admits (by default those outside the held-out
     fold): the first ``toxic_rows`` and ``clean_rows`` ids by a hash, whole texts. Feature counts are over all of the
     sample; the CRF's weights are fitted on its first ``fit_rows`` of either label, at most ``fit_chars`` characters in
-    all. Null labels and ids teach nothing; several labels of an id count as toxic if one is.
+    all. Null labels and ids teach nothing; several labels of an id count as toxic if one is; ids whose hashes tie come
+    in their own order.
     """
     known = labels.select(F.col(id_col).alias("_labelled"), F.col(label_col).cast("int").alias("_label")).where("_label IS NOT NULL AND _labelled IS NOT NULL")
     known = known.groupBy("_labelled").agg(F.max("_label").alias("_label"))
@@ -262,14 +266,17 @@ def train(
         docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_labelled")).select("_text", "_label", "_o"), "toxicity-labelled"
     )
     lexicon = _lexicon(sample, least_documents, least_share)
-    fit, used = [], 0
+    chosen, used = [], 0
     for label in (1, 0):
-        some = sample.where(F.col("_label") == label).select("_text", "_label", "_o", F.length("_text").alias("_n")).orderBy("_o", "_text").limit(fit_rows)
-        for r in some.collect():  # at most fit_rows rows
+        some = sample.where(F.col("_label") == label).select("_o", F.length("_text").alias("_n")).orderBy("_o", "_n").limit(fit_rows)
+        for r in some.collect():  # at most fit_rows rows, without their texts
             if used + r["_n"] <= fit_chars * (2 - label) // 2:
                 used += r["_n"]
-                fit.append((r["_text"], r["_label"]))
-    return _fit(fit, lexicon)
+                chosen.append((r["_o"], label, r["_n"]))
+    wanted = sample.sparkSession.createDataFrame(chosen, "_o bigint, _label int, _n int").distinct()
+    texts = sample.withColumn("_n", F.length("_text")).join(F.broadcast(wanted), ["_o", "_label", "_n"], "left_semi").select("_o", "_label", "_text")
+    rows = sorted((-r["_label"], r["_o"], r["_text"]) for r in texts.limit(2 * fit_rows).collect())  # at most fit_chars characters, but for ids that repeat
+    return _fit([(text, -label) for label, _, text in rows], lexicon)
 
 
 def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,8 +309,13 @@ def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "te
 
 
 def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, score, predicted, n_spans, with a model learned outside the held-out fold."""
+    """id, held_out, score, predicted, n_spans, spans (start:end of the offending runs in code points, comma-joined),
+    with a model learned outside the held-out fold.
+
+    Null and empty texts have no span and the score of no toxic token; null ids are held out; repeated rows each get a
+    row; without labels of both kinds all scores are the share of toxic ones; an empty table gives an empty one."""
     scored = score(docs, train(docs, labels, id_col, text_col), id_col, text_col)
+    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return scored.select(
-        id_col, in_held_out_fold(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans")
+        id_col, in_held_out_fold(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), joined.alias("spans")
     )
