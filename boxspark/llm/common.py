@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and only where that is unset a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, local mode, whose executors
+    are the driver, gets a folder of its own; a cluster is told to set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="boxspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
