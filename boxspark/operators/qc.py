@@ -34,6 +34,12 @@ def tiny_boxes(sized: DataFrame, pairs: DataFrame, least_pixels: int = 100, leas
     return small.join(duplicate_boxes(pairs), ["image_id", "box_idx"], "left_anti").select("image_id", "box_idx", area.alias("area"))
 
 
+def occlusion_candidates(gt: DataFrame, pairs: DataFrame, tiny: DataFrame) -> DataFrame:
+    """Boxes whose pixels are looked at for occlusion: those in no duplicate pair and not tiny."""
+    gone = duplicate_boxes(pairs).unionByName(tiny.select("image_id", "box_idx"))
+    return gt.join(gone, ["image_id", "box_idx"], "left_anti")
+
+
 def oversized_boxes(sized: DataFrame, most_ratio: float = 0.9) -> DataFrame:
     ratio = box().area / (F.col("width") * F.col("height"))
     return sized.where(ratio > most_ratio).select("image_id", "box_idx", box().area.alias("area"))

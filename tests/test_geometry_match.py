@@ -17,18 +17,18 @@ def _iou(a, b):
 
 
 def test_iou_of_pixel_boxes(spark):
-    rows = [((0, 0, 10, 10), (20, 20, 30, 30), 0.0), ((0, 0, 10, 10), (0, 0, 10, 10), 1.0), ((0, 0, 10, 10), (5, 5, 15, 15), 25 / 175), ((0, 0, 10, 10), (10, 0, 20, 10), 0.0), ((3, 3, 3, 3), (3, 3, 3, 3), 0.0)]
+    rows = [((2, 1, 9, 7), (11, 1, 14, 7), 0.0), ((2, 1, 9, 7), (2, 1, 9, 7), 1.0), ((0, 0, 8, 4), (6, 1, 12, 5), 6 / 50), ((0, 0, 8, 4), (8, 0, 9, 4), 0.0), ((4, 2, 4, 2), (4, 2, 4, 2), 0.0)]
     df = spark.createDataFrame([(*a, *b, v) for a, b, v in rows], "a_x1 int, a_y1 int, a_x2 int, a_y2 int, b_x1 int, b_y1 int, b_x2 int, b_y2 int, v double")
     for r in df.select(g.iou(g.box("a_"), g.box("b_")).alias("iou"), "v", g.iou_distance(g.box("a_"), g.box("b_")).alias("d")).collect():
         assert r.iou == pytest.approx(r.v) and r.d == pytest.approx(1 - r.v)
 
 
 def test_hardness_and_steps(spark):
-    cases = [("FP", 0.9, 0.0, 0.1), ("FP", 0.5, 0.0, 0.5), ("FN", 0.0, 0.3, 0.7), ("FN", 0.0, 0.1, 0.9), ("FN", 0.0, 1.0, 0.0), ("small", 0.0, 0.0, 0.8), ("odd", 0.0, 0.0, 0.5)]
+    cases = [("FP", 0.75, 0.4, 0.25), ("FP", 0.125, 0.0, 0.875), ("FN", 0.6, 0.4375, 0.5625), ("FN", 0.0, 0.0, 1.0), ("FN", 0.2, 1.0, 0.0), ("small", 0.9, 0.9, 0.8), ("odd", 0.9, 0.9, 0.5)]
     df = spark.createDataFrame(cases, "t string, c double, i double, v double")
     for r in df.select(g.hardness(F.col("t"), F.col("c"), F.col("i")).alias("s"), "v").collect():
         assert r.s == pytest.approx(r.v)
-    steps = spark.createDataFrame([(0.3, 1, 0), (0.5, 1, 2), (0.6, 2, 2), (0.75, 3, 3), (0.8, 3, 3), (0.95, 5, 4), (1.0, 5, 4)], "s double, o int, v int")
+    steps = spark.createDataFrame([(0.0, 1, 0), (0.49, 1, 0), (0.5, 1, 2), (0.51, 2, 2), (0.69, 2, 2), (0.7, 3, 3), (0.89, 3, 3), (0.9, 5, 4), (0.99, 5, 4)], "s double, o int, v int")
     for r in steps.select(g.oversample_ratio(F.col("s")).alias("a"), g.variant_count(F.col("s")).alias("b"), "o", "v").collect():
         assert (r.a, r.b) == (r.o, r.v)
 
@@ -75,10 +75,10 @@ def test_greedy_match_equals_brute_force(spark, order, near):
 
 def test_outcomes_add_up_and_empty(spark):
     box = "x1 int, y1 int, x2 int, y2 int"
-    p = spark.createDataFrame([("a", 0, 0, 0.9, 0, 0, 10, 10), ("b", 0, 0, 0.8, 100, 100, 110, 110)], f"image_id string, pred_idx int, class_id int, conf double, {box}")
-    b = spark.createDataFrame([("a", 0, 0, 0, 0, 10, 10)], f"image_id string, box_idx int, class_id int, {box}")
-    got = sorted((r.image_id, r.outcome) for r in match.outcomes(p, b, near=False).collect())
-    assert got == [("a", "correct"), ("b", "FP")]
+    p = spark.createDataFrame([("u", 0, 2, 0.6, 4, 4, 24, 14), ("u", 1, 1, 0.7, 4, 4, 24, 14), ("v", 0, 2, 0.3, 40, 8, 44, 18), ("v", 1, 2, 0.1, 0, 0, 9, 9)], f"image_id string, pred_idx int, class_id int, conf double, {box}")
+    b = spark.createDataFrame([("u", 0, 2, 5, 4, 25, 14), ("v", 0, 3, 0, 0, 9, 9), ("w", 0, 2, 0, 0, 5, 5)], f"image_id string, box_idx int, class_id int, {box}")
+    got = sorted((r.image_id, r.outcome, r.class_id) for r in match.outcomes(p, b, near=False).collect())
+    assert got == [("u", "FP", 1), ("u", "correct", 2), ("v", "FN", 3), ("v", "FP", 2)]
     assert match.outcomes(p.limit(0), b.limit(0)).count() == 0
     with pytest.raises(ValueError):
         match.greedy_match(p, b, 0.0)

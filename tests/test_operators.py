@@ -5,19 +5,37 @@ import random
 import numpy as np
 import pytest
 
-from boxspark.operators import anchors, errors, fuse, responses, stats, tuning
+from boxspark.operators import anchors, errors, evaluate, fuse, qc, responses, stats, tuning
 from boxspark.operators.convert import merged_vocabulary
 
 DETS = "image_id int, class_id int, det_idx int, score double, x1 double, y1 double, x2 double, y2 double"
 
 
-def test_wbf_small_cases(spark):
+def test_wbf_equals_brute_force(spark):
+    rng, dets = random.Random(5), []
+    for image in range(25):
+        for k in range(rng.randint(0, 14)):
+            x, y = rng.randint(0, 5) / 32, rng.randint(0, 5) / 32
+            dets.append((image, rng.randint(0, 1), k, rng.choice([0.25, 0.5, 0.75, 1.0]), x, y, x + rng.randint(4, 8) / 32, y + rng.randint(4, 8) / 32))
+
+    def iou(a, b):
+        w, h = max(0, min(a[6], b[6]) - max(a[4], b[4])), max(0, min(a[7], b[7]) - max(a[5], b[5]))
+        union = (a[6] - a[4]) * (a[7] - a[5]) + (b[6] - b[4]) * (b[7] - b[5]) - w * h
+        return w * h / union if union > 0 else 0.0
+
+    want = []
+    for key in sorted({d[:2] for d in dets}):
+        clusters = []
+        for d in sorted((d for d in dets if d[:2] == key), key=lambda d: (-d[3], d[2])):
+            own = next((c for c in clusters if max(iou(d, m) for m in c) >= 0.5), None)
+            clusters.append([d]) if own is None else own.append(d)
+        for c in clusters:
+            total = sum(d[3] for d in c)
+            want.append((*key, len(c), sum(d[3] ** 2 for d in c) / total, *(sum(d[3] * d[i] for d in c) / total for i in range(4, 8))))
+    got = [(r.image_id, r.class_id, r.members, r.score, r.x1, r.y1, r.x2, r.y2) for r in fuse.wbf(spark.createDataFrame(dets, DETS)).collect()]
+    rounded = lambda rows: sorted(tuple(round(x, 9) for x in r) for r in rows)
+    assert rounded(got) == rounded(want) and any(w[2] > 2 for w in want)
     assert fuse.wbf(spark.createDataFrame([], DETS)).count() == 0
-    near = [(1, 0, 0, 0.9, 0.2, 0.2, 0.4, 0.4), (1, 0, 1, 0.8, 0.21, 0.21, 0.41, 0.41), (2, 0, 0, 0.9, 0.2, 0.2, 0.4, 0.4), (2, 1, 1, 0.8, 0.25, 0.2, 0.45, 0.4)]
-    rows = {(r.image_id, r.class_id): r for r in fuse.wbf(spark.createDataFrame(near, DETS)).collect()}
-    assert len(rows) == 3
-    one = rows[1, 0]
-    assert one.members == 2 and one.score == pytest.approx((0.81 + 0.64) / 1.7) and one.x1 == pytest.approx((0.9 * 0.2 + 0.8 * 0.21) / 1.7)
 
 
 def test_nms_equals_brute_force(spark):
@@ -142,3 +160,20 @@ def test_validation_of_each_scale(spark):
     assert set(got) == {"all", "P3", "P4"}
     for name, keep, a in (("all", area >= 0, own["P3"] + own["P4"]), ("P3", area <= cuts[1], own["P3"]), ("P4", (area >= cuts[1]) & (area <= cuts[2]), own["P4"])):
         assert got[name] == (pytest.approx((1 - anchors._apart(b[keep], np.array(a))).max(axis=1).mean()), keep.sum())
+
+
+def test_occlusion_is_asked_of_plain_boxes_only(spark):
+    gt = spark.createDataFrame([(1, k) for k in range(5)], "image_id int, box_idx int")
+    pairs = spark.createDataFrame([(1, 0, 2, 0.9)], "image_id int, i int, j int, iou double")
+    tiny = spark.createDataFrame([(1, 4, 3.0)], "image_id int, box_idx int, area double")
+    assert sorted(r.box_idx for r in qc.occlusion_candidates(gt, pairs, tiny).collect()) == [1, 3]
+
+
+def test_models_are_compared_on_their_own_predictions(spark):
+    box = "x1 int, y1 int, x2 int, y2 int"
+    gt = spark.createDataFrame([(i, 0, i % 2, 0, 0, 10, 10) for i in range(4)], f"image_id int, box_idx int, class_id int, {box}")
+    made = [("good", i, 0, i % 2, 0.9, 0, 0, 10, 10) for i in range(4)] + [("half", i, 0, 0, 0.8, 0, 0, 10, 10) for i in range(4)]
+    pred = spark.createDataFrame(made, f"model string, image_id int, pred_idx int, class_id int, conf double, {box}")
+    got = {r.model: (round(r.map50, 6), round(r.mean_precision, 6), round(r.mean_recall, 6), round(r.fitness, 6)) for r in evaluate.compare_models(pred, gt).collect()}
+    alone = evaluate.mean_average_precision(evaluate.average_precision(pred.where("model = 'half'").drop("model"), gt)).first()
+    assert got["good"] == (1.0, 1.0, 1.0, 1.0) and got["half"] == (round(alone.map50, 6), 0.25, 0.5, round(alone.fitness, 6))
