@@ -18,6 +18,8 @@ from boxspark.llm.common import WORD, running_totals, stage
 #: Weights of sources in code-point order, repeated; a source is repeated at most this often.
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+#: Rows of a table of sources (a few numbers each) that are sent to every executor; more are joined by shuffling.
+MOST_SENT = 100_000
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -175,7 +177,7 @@ def mix(
     named = aims.select(F.col("_source").alias("_s"), "source_size", "target", F.col("_rank").alias("source_rank"))
     documents = (
         took.unionByName(empty)
-        .join(F.broadcast(named) if n_sources <= 100_000 else named, F.col("_source").eqNullSafe(F.col("_s")))
+        .join(F.broadcast(named) if n_sources <= MOST_SENT else named, F.col("_source").eqNullSafe(F.col("_s")))
         .select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken", "source_rank")
     )
     return documents, slots, pieces.select("_source", "block", "_id", "from_word", "words")
@@ -213,8 +215,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = each.where("NOT _long")
     made_up = short.groupBy("_rank").agg(F.sum(F.col("_share") * F.col("_size")).alias("_words")).join(off, "_rank", "left")
     factor = F.greatest(F.lit(0.0), 1 - F.try_divide(F.coalesce(F.col("_off"), F.lit(0.0)), "_words"))
-    made_up = made_up.select("_rank", F.coalesce(factor, F.lit(1.0)).alias("_factor"))
-    short = short.join(made_up, "_rank").withColumn("_share", F.col("_share") * F.col("_factor")).drop("_factor")
+    made_up = stage(made_up.select("_rank", F.coalesce(factor, F.lit(1.0)).alias("_factor")), "mix-factors")
+    short = short.join(F.broadcast(made_up) if made_up.count() <= MOST_SENT else made_up, "_rank").withColumn("_share", F.col("_share") * F.col("_factor")).drop("_factor")
     times = long_.select("_key", "_times").unionByName(_copies(short, most, seed, "mix-short-documents").select("_key", "_times"))
     times = stage(times.where("_times > 0").select(F.col("_key").alias("_mixed"), F.col("_times").cast("int").alias("_times")), "mix-copies")
     joined = docs.join(times, docs[id_col].eqNullSafe(times["_mixed"]))
