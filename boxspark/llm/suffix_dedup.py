@@ -246,12 +246,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         held: list[tuple] = []  # rows of one anchor
 
         def judge() -> list[tuple]:
-            out = []
+            # All repeats of an occurrence through one anchor hold the anchor, so together they are one span: a row an
+            # occurrence comes out, however many intervals nest.
+            left, right = np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
             for before, after, members in repeats([r[5] for r in held], [r[4] for r in held], length):
-                for k in members:
-                    _, k1, k2, start, offset, _ = held[k]
-                    out.append((k1, k2, start + offset - before, start + offset + after))
-            return list(set(out))
+                left[members], right[members] = np.maximum(left[members], before), np.maximum(right[members], after)
+            out = []
+            for k in np.flatnonzero(right).tolist():
+                _, k1, k2, start, offset, _ = held[k]
+                out.append((k1, k2, start + offset - int(left[k]), start + offset + int(right[k])))
+            return out
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
