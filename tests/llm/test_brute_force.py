@@ -489,10 +489,31 @@ def test_possible_copies_leave_no_copy_out():
     rng = np.random.default_rng(6)
     images = [np.clip(128 + 30 * image_copies.resized(rng.normal(0, 1, (8, 8)), 32, 32), 0, 255) for _ in range(20)]
     own = [c for a in images for c in (image_copies.corners(a), image_copies.corners(np.rint(a + rng.normal(0, 4, a.shape)))) if len(c)]
-    got = set(image_copies.possible(own, own, step=7))
+    got = {(x, y) for x in range(len(own)) for y in image_copies.possible(own[x], own).tolist()}
     assert all((x, y) in got for x in range(len(own)) for y in range(len(own)) if image_copies.are_copies(own[x], own[y]))
 
 
+def test_every_meeting_is_verified_or_implied():
+    """Crowded keys, one tile or two: the classes are those of all pairs that have a key in common."""
+    rng = np.random.default_rng(12)
+    plain = [np.clip(128 + 30 * image_copies.resized(rng.normal(0, 1, (8, 8)), 32, 32), 0, 255) for _ in range(25)]
+    own = [image_copies.corners(np.rint(a + rng.normal(0, noise, a.shape))) for a in plain for noise in (0, 1, 3, 6)]
+    own += [image_copies.corners(np.rint(plain[0] + rng.normal(0, 1, (32, 32)))) for _ in range(30)]
+    own = [c for c in own if len(c)]
+    keys = [set(image_copies.pair_keys(c).tolist()) for c in own]
+    want = image_copies.Classes(len(own))
+    for x, y in itertools.combinations(range(len(own)), 2):
+        if keys[x] & keys[y] and image_copies.are_copies(own[x], own[y]):
+            want.join(x, y)
+    for tiles in (1, 2, 3):
+        side = np.arange(len(own)) * tiles // len(own)
+        got = image_copies.Classes(len(own))
+        for i, j in itertools.combinations_with_replacement(range(tiles), 2):
+            at = np.flatnonzero((side == i) | (side == j))
+            for x, y in image_copies.copy_links([own[k] for k in at], side[at]):
+                got.join(int(at[x]), int(at[y]))
+        assert [got.root(x) for x in range(len(own))] == [want.root(x) for x in range(len(own))]
+
 def test_runs_of_a_long_text_cut_in_pieces(monkeypatch):
     """Texts longer than a piece are hashed piece by piece: every window has the anchor it has in the whole text."""
     text = bytes(np.random.default_rng(4).integers(97, 101, 20_000).astype(np.uint8))
