@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxspark.llm import exact_dedup, image_copies, language_id, mixing, ngram_jaccard, secret_scan, sentencepiece_nbest, suffix_dedup, token_store, toxicity
+from boxspark.llm import collocations, exact_dedup, image_copies, language_id, mixing, ngram_jaccard, secret_scan, sentencepiece_nbest, suffix_dedup, token_store, toxicity
 from boxspark.llm.common import table
 
 
@@ -71,8 +71,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[0]
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_secret_scan, op3_secret_scan_both_counts, op3_secret_values, op4_image_copies, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op11_collocations, op1_sentencepiece, op2_suffix_dedup, op3_secret_scan, op3_secret_scan_both_counts, op3_secret_values, op4_image_copies, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op9_toxicity, op10_exact_dedup)}
 
 
 OP10_SQL = r"""
@@ -135,5 +139,24 @@ FROM d LEFT JOIN judged j ON j.r = d.r GROUP BY d.r, d.doc_id
 OP3_VALUES_SQL = f"{_OP3} SELECT sha256(v) AS value_hash, repositories, owners, copied FROM owners"
 
 
+#: Every length is exploded on its own here, unlike in the operator.
+OP11_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?' || chr(10) || chr(11) || chr(12) || chr(13) || chr(9), 'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 10) || ' '), chr(10))) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split(piece, ' '), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, n AS a FROM f WHERE k > 1 AND n >= 10),
+cut AS (SELECT lang, phrase, a, ws, unnest(range(1, k)) AS j FROM c),
+s AS (SELECT cut.lang, cut.phrase, a, j, x.n AS l, y.n AS r, ((1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n))::BIGINT AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(ws[1 : j], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(ws[j + 1 :], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(ws[1 : 2], ' '), array_to_string(ws[2 : 3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+ranked AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase AND len(string_split(b.phrase, ' ')) = 2
+           WHERE o.a IS NULL OR 100 * o.a < 50 * b.a)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op3_secret_scan": OP3_SQL, "op3_secret_scan_both_counts": OP3_SQL, "op3_secret_values": OP3_VALUES_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op11_collocations": OP11_SQL, "op2_suffix_dedup": OP2_SQL, "op3_secret_scan": OP3_SQL, "op3_secret_scan_both_counts": OP3_SQL, "op3_secret_values": OP3_VALUES_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_exact_dedup": OP10_SQL}
