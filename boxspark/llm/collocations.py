@@ -1,9 +1,12 @@
 """Phrase collocation mining by top-order marginalisation.
 
-A word is read once. Every place of a piece starts one window of the longest length; its words are *lead columns*, the
-piece's word array shifted by 0, 1, 2 and padded with empty strings, so no word is shuffled to find its successors and
-shorter phrases are not exploded on their own. Only the padded windows are counted; ``GROUP BY lang, ROLLUP`` over the
-counted windows sums their prefixes, which are all shorter phrases, down to the words and each language's total.
+A word is read once. Every place of a piece starts one window of the longest length: its words stand in *lead columns*, the
+piece's words shifted by 0, 1, 2 and padded with empty words, so no word is shuffled to find its successors and shorter phrases
+are not exploded on their own. Only the padded windows are counted; ``GROUP BY lang, ROLLUP`` over the counted windows sums
+their prefixes, which are all shorter phrases, down to the words and each language's total.
+
+Windows travel as one short string: the words of a code book, frequent ones, are one character each. The book comes from a
+bounded sample; it decides how many bytes travel and nothing else, since every other word travels as it is.
 
 Parts of a frequent phrase are frequent themselves, so only rows of ``least`` occurrences or more leave the counting,
 and a phrase's parts are looked up among them.
@@ -12,47 +15,111 @@ and a phrase's parts are looked up among them.
 from __future__ import annotations
 
 import string
+from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxspark.llm.common import stage, with_facts
+from boxspark.llm.common import slices, stage, with_facts
 
 #: What ends a piece, and what stands between words, as the contract names them.
 ENDS = ".,;:!?\x0a\x0b\x0c\x0d"
+#: One pass over a text's bytes: A-Z in lower case, every end a newline, tabs as spaces.
+PLAIN = bytes.maketrans((string.ascii_uppercase + ENDS + "\t").encode(), (string.ascii_lowercase + "\n" * len(ENDS) + " ").encode())
 WIDE = "decimal(38,0)"
+#: The sample that the code book is made of, and what stands before a word that looks like a code or begins with the mark.
+BOOK_TEXTS, BOOK_CHARACTERS, BOOK_WORDS, MARK = 2_000, 5_000, 60_000, b"\x7f"
+
+
+def pieces(text: bytes) -> Iterator[list[bytes]]:
+    for piece in text.translate(PLAIN).split(b"\n"):
+        if words := piece.split():
+            yield words
+
+
+def character(i: int) -> str:
+    """The i-th code: one character from U+0080 on, of two bytes for the first 1,920, without the surrogates."""
+    return chr(i + 0x80 if i < 0xD800 - 0x80 else i + 0x880)
+
+
+class Book(dict):
+    """Words to the bytes that travel for them: a code for words of the book, else the word, marked where it could be mistaken."""
 
+    def __init__(self, words: list[bytes], remember: int = 500_000):
+        super().__init__()
+        self.coded = {w: character(i).encode() for i, w in enumerate(words)}
+        self.words, self.remember = {code: w for w, code in self.coded.items()}, remember
 
-def pieces(text: Column) -> Column:
-    """Pieces of a text, A-Z in lower case, with spaces alone between words. One pass turns every end into a newline."""
-    return F.split(F.translate(text, string.ascii_uppercase + ENDS + "\t", string.ascii_lowercase + "\n" * len(ENDS) + " "), "\n")
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.remember:
+            self.clear()
+        found = self.coded.get(word)
+        if found is None:
+            alone = word[0] >= 0x80 and len(word.decode(errors="replace")) == 1
+            found = MARK + word if alone or word.startswith(MARK) else word
+        self[word] = found
+        return found
 
+    def read(self, travelled: bytes) -> bytes:
+        return self.words.get(travelled) or travelled.removeprefix(MARK)
 
-def windows(docs: DataFrame, longest: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, w1 .. w<longest>: one row a word, followed by its successors in the piece, padded with empty strings."""
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
-    piece = docs.where(F.col(text_col).isNotNull()).select(lang, F.explode(pieces(F.col(text_col))).alias("piece")).where("piece <> ''")
-    words = piece.select("lang", F.array_remove(F.split("piece", " "), "").alias("words")).where(F.size("words") > 0)
-    padded = words.select("lang", F.size("words").alias("n"), F.concat("words", F.array(*[F.lit("")] * longest)).alias("padded"))
-    leads = F.arrays_zip(*(F.slice("padded", F.lit(k), F.col("n")).alias(f"w{k}") for k in range(1, longest + 1)))
-    return padded.select("lang", F.inline(leads).alias(*(f"w{k}" for k in range(1, longest + 1))))
+
+def code_book(texts: DataFrame) -> Book:
+    """Made of at most BOOK_TEXTS texts' first BOOK_CHARACTERS characters."""
+    sample = texts.select(F.substring("_text", 1, BOOK_CHARACTERS).alias("text")).limit(BOOK_TEXTS).collect()
+    counts = Counter(w for r in sample for words in pieces(r["text"].encode()) for w in words)
+    return Book([w for w, _ in counts.most_common(BOOK_WORDS)])
+
+
+def windows(texts: DataFrame, longest: int, book: Book) -> DataFrame:
+    """_key, n: each different window of a slice of ``texts`` (_text, _lang) as language, newline and its words, one space
+    between two, and how often the slice has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sent in slices(batches, "_bytes", 4_000_000):
+            found: dict[str, Counter] = {}
+            pads = [b""] * (longest - 1)
+            for lang, text in zip(part.column("_lang").to_pylist(), sent):
+                counts = found.setdefault(lang, Counter())
+                for words in pieces(text):
+                    coded = [*map(book.__getitem__, words), *pads]
+                    counts.update(map(b" ".join, zip(*(coded[k:] for k in range(longest)))))
+            keys = [lang.encode() + b"\n" + w for lang, counts in found.items() for w in counts]
+            sizes = pa.array([n for counts in found.values() for n in counts.values()], pa.int64())
+            for at in range(0, len(keys), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 20_000], pa.binary()).cast(pa.string()), sizes.slice(at, 20_000)], ["_key", "n"])
+
+    return texts.select("_lang", F.col("_text").cast("binary").alias("_bytes")).mapInArrow(run, "_key string, n bigint")
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, words (array), phrase (space-joined), n: all phrases of 1 to ``longest`` words with ``least`` occurrences or
-    more, and each language's number of words as the row with no words."""
+    """lang, words (array), n: all phrases of 1 to ``longest`` words with ``least`` occurrences or more, and each language's
+    number of words as the row with no words."""
     names = [f"w{k}" for k in range(1, longest + 1)]
-    counted = windows(docs, longest, text_col, lang_col).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("n"))
-    # Both parts read the one shuffle of counted windows.
-    top = counted.where(F.col("n") >= least).where(F.col(names[-1]) != "").select("lang", F.array(*names).alias("words"), "n")
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang"), F.col(text_col).alias("_text"))
+    book = code_book(texts)
+    keyed = windows(texts, longest, book).groupBy("_key").agg(F.sum("n").alias("n"))
+    window = F.substring_index("_key", "\n", -1)
+    split = keyed.select(F.expr("left(_key, length(_key) - length(substring_index(_key, '\n', -1)) - 1)").alias("lang"), F.split(window, " ").alias("_w"), "n")
+    counted = split.select("lang", *(F.get("_w", F.lit(k)).alias(names[k]) for k in range(longest)), "n")
+    # Both parts read the one shuffle of windows; padded ones go when codes become words, a filter here would part the two.
+    top = counted.where(F.col("n") >= least).select("lang", F.array(*names).alias("words"), "n")
     prefixes = docs.sparkSession.sql(
         f"SELECT lang, array({', '.join(names[:-1])}) AS words, sum(n) AS n, grouping_id() AS short FROM {{counted}} GROUP BY lang, ROLLUP ({', '.join(names[:-1])}) HAVING sum(n) >= {int(least)}",
         counted=counted,
     )
-    # grouping_id() has a bit for each summed column, the last ones first; a padded prefix is no phrase.
-    kept = F.expr(f"slice(words, 1, {longest - 1} - bit_count(short))")
-    prefixes = prefixes.select("lang", kept.alias("words"), "n").where(~F.array_contains("words", ""))
-    return top.unionByName(prefixes).withColumn("phrase", F.array_join("words", " "))
+    # grouping_id() has a bit for each summed column, the last ones first.
+    prefixes = prefixes.select("lang", F.expr(f"slice(words, 1, {longest - 1} - bit_count(short))").alias("words"), "n")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [[book.read(w.encode()).decode(errors="replace") for w in ws] for ws in batch.column("words").to_pylist()]
+            whole = pa.array(["" not in ws for ws in words], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(words, pa.list_(pa.string())), batch.column("n")], ["lang", "words", "n"]).filter(whole)
+
+    return top.unionByName(prefixes).mapInArrow(read, "lang string, words array<string>, n bigint")
 
 
 def collocations(
@@ -70,7 +137,7 @@ def collocations(
     that holds a third of all rows is counted by phrase and ranked in two steps; lookups of frequent parts, which many
     phrases share, are answered by a broadcast of at most 1,000 rows (``with_facts``).
     """
-    counts = stage(phrase_counts(docs, longest, least, text_col, lang_col), "collocation-counts")
+    counts = stage(phrase_counts(docs, longest, least, text_col, lang_col), "collocation-counts").withColumn("phrase", F.array_join("words", " "))
     candidates = counts.where(F.size("words") >= 2).select("lang", "words", "phrase", F.col("n").alias("a"))
 
     part = lambda start, size: F.array_join(F.slice("words", start, size), " ")

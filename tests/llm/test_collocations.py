@@ -40,12 +40,12 @@ def brute(rows, longest, least, covered, most):
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(3)
-    words = "a b c New york city of THE É é\xa0x 𝛼".split(" ")
+    words = "a b c New york city of THE É é \x7f \x7fé é\xa0x 𝛼 中 中文".split(" ")
     rows = []
     for i in range(120):
         text = "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", " ", ". ", ",", "\n", "\r\n", "\x0b"]) for _ in range(rng.randint(0, 60)))
         rows.append((i, text, rng.choice(["en", "en", "fr", None, "und"])))
-    rows += [(1, None, "en"), (1, None, None), (None, "", "de"), (None, ".,;", "de"), (7, "one", "nl"), (8, "new york city " * 4000, "en"), (9, "hot pair " * 9, "xx")]
+    rows += [(1, None, "en"), (1, None, None), (None, "", "de"), (None, ".,;", "de"), (7, "one", "nl"), (8, "new york city " * 4000, "en"), (9, "hot pair " * 9, "xx"), (10, "a b " * 20, "two\nlines")]
     return rows + [rows[3]] * 15
 
 
@@ -59,6 +59,20 @@ def test_collocations(spark, rows, longest, least, covered, most):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, longest, least, covered, most)
 
 
+def test_words_outside_the_book(spark, rows, monkeypatch):
+    monkeypatch.setattr(collocations, "BOOK_WORDS", 4)
+    got = collocations.collocations(spark.createDataFrame(rows, DOCS), 3, 2)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 3, 2, 50, 2000)
+
+
+def test_codes_read_back():
+    words = [w.encode() for w in ["the", "é", "中", "\x7f", "x"] + [f"w{i}" for i in range(57_000)]]
+    book = collocations.Book(words)
+    other = [w.encode() for w in ["\x7fa", "ü", "û", "𝛼", "word", "Ā", collocations.character(56_000), "文字"]]
+    sent = [book[w] for w in words + other]
+    assert len(set(sent)) == len(sent) and [book.read(s) for s in sent] == words + other and all(s.decode() for s in sent)
+
+
 def test_nothing_to_find(spark):
     assert collocations.collocations(spark.createDataFrame([], DOCS)).collect() == []
     assert collocations.collocations(spark.createDataFrame([(1, None, None), (2, "a b", "en")], DOCS)).collect() == []
@@ -67,8 +81,8 @@ def test_nothing_to_find(spark):
 def test_products_beyond_64_bits(spark, monkeypatch, tmp_path):
     """A score from counts whose product has 20 digits."""
     big = 4_000_000_000
-    rows = [("en", ["x", "y"], big - 1, "x y"), ("en", ["x"], big, "x"), ("en", ["y"], big + 1, "y"), ("en", [], 3 * big, "")]
-    counts = spark.createDataFrame(rows, "lang string, words array<string>, n bigint, phrase string")
+    rows = [("en", ["x", "y"], big - 1), ("en", ["x"], big), ("en", ["y"], big + 1), ("en", [], 3 * big)]
+    counts = spark.createDataFrame(rows, "lang string, words array<string>, n bigint")
     monkeypatch.setattr(collocations, "phrase_counts", lambda *a: counts)
     assert [tuple(r) for r in collocations.collocations(spark.createDataFrame([], DOCS)).collect()] == [
         ("en", 1, "x y", big - 1, big, big + 1, 3 * big, 1_000_000 * (big - 1) ** 2 // (big * (big + 1)))
