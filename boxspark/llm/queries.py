@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxspark.llm import collocations, exact_dedup, image_copies, language_id, mixing, ngram_jaccard, secret_scan, sentencepiece_nbest, suffix_dedup, token_store, toxicity
+from boxspark.llm import collocations, exact_dedup, image_copies, language_id, lexical_search, mixing, ngram_jaccard, secret_scan, sentencepiece_nbest, suffix_dedup, token_store, toxicity
 from boxspark.llm.common import table
 
 
@@ -75,8 +75,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op11_collocations, op1_sentencepiece, op2_suffix_dedup, op3_secret_scan, op3_secret_scan_both_counts, op3_secret_values, op4_image_copies, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op11_collocations, op12_lexical_search, op1_sentencepiece, op2_suffix_dedup, op3_secret_scan, op3_secret_scan_both_counts, op3_secret_values, op4_image_copies, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op9_toxicity, op10_exact_dedup)}
 
 
 OP10_SQL = r"""
@@ -158,5 +162,19 @@ SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN total USING (l
 """
 
 
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT count(*) FILTER (len(ts) > 0) AS n, sum(len(ts))::BIGINT AS l FROM t),
+o AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM t),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM o WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * s.n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM d, s),
+p AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * f.n * s.n) // s.l))))::BIGINT AS score FROM q JOIN f USING (term) JOIN w USING (term), s GROUP BY ALL)
+SELECT item_id, (row_number() OVER x)::INTEGER AS rank, doc_id, score FROM p WHERE score > 0
+WINDOW x AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER x <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_collocations": OP11_SQL, "op2_suffix_dedup": OP2_SQL, "op3_secret_scan": OP3_SQL, "op3_secret_scan_both_counts": OP3_SQL, "op3_secret_values": OP3_VALUES_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op12_lexical_search": OP12_SQL, "op11_collocations": OP11_SQL, "op2_suffix_dedup": OP2_SQL, "op3_secret_scan": OP3_SQL, "op3_secret_scan_both_counts": OP3_SQL, "op3_secret_values": OP3_VALUES_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_exact_dedup": OP10_SQL}
