@@ -2,11 +2,13 @@
 
 A word is read once. Every place of a piece starts one window of the longest length: its words stand in *lead columns*, the
 piece's words shifted by 0, 1, 2 and padded with empty words, so no word is shuffled to find its successors and shorter phrases
-are not exploded on their own. Only the padded windows are counted; ``GROUP BY lang, ROLLUP`` over the counted windows sums
-their prefixes, which are all shorter phrases, down to the words and each language's total.
+are not exploded on their own. Only the padded windows are counted; ``GROUP BY lang, ROLLUP`` sums their prefixes, which are
+all shorter phrases, down to the words and each language's total.
 
-Windows travel as one short string: the words of a code book, frequent ones, are one character each. The book comes from a
-bounded sample; it decides how many bytes travel and nothing else, since every other word travels as it is.
+Windows are shuffled once, by all words but the last, so a prefix's windows meet and only prefixes that are rare or dealt to
+several parts are summed by a second, small shuffle. Words of a code book, frequent ones, travel as one character each, and
+prefixes of very frequent words alone are dealt to several parts by their last word. Book and very frequent words come from a
+bounded sample of all rows; they decide how many bytes travel, and where to, and nothing else.
 
 Parts of a frequent phrase are frequent themselves, so only rows of ``least`` occurrences or more leave the counting,
 and a phrase's parts are looked up among them.
@@ -15,8 +17,10 @@ and a phrase's parts are looked up among them.
 from __future__ import annotations
 
 import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,6 +35,8 @@ PLAIN = bytes.maketrans((string.ascii_uppercase + ENDS + "\t").encode(), (string
 WIDE = "decimal(38,0)"
 #: The sample that the code book is made of, and what stands before a word that looks like a code or begins with the mark.
 BOOK_TEXTS, BOOK_CHARACTERS, BOOK_WORDS, MARK = 2_000, 5_000, 60_000, b"\x7f"
+#: A word of this share of the sample is very frequent; parts that a prefix of such words is dealt to.
+HOT_SHARE, HOT_PARTS = 0.001, 64
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -47,10 +53,11 @@ def character(i: int) -> str:
 class Book(dict):
     """Words to the bytes that travel for them: a code for words of the book, else the word, marked where it could be mistaken."""
 
-    def __init__(self, words: list[bytes], remember: int = 500_000):
+    def __init__(self, words: list[bytes], hot: int = 0, remember: int = 500_000):
         super().__init__()
         self.coded = {w: character(i).encode() for i, w in enumerate(words)}
         self.words, self.remember = {code: w for w, code in self.coded.items()}, remember
+        self.hot = frozenset(self.coded[w] for w in words[:hot])
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.remember:
@@ -65,49 +72,60 @@ class Book(dict):
     def read(self, travelled: bytes) -> bytes:
         return self.words.get(travelled) or travelled.removeprefix(MARK)
 
+    def part(self, prefix: bytes, last: bytes) -> bytes:
+        return b"%d" % (zlib.crc32(last) % HOT_PARTS) if self.hot.issuperset(prefix.split(b" ")) else b""
+
 
 def code_book(texts: DataFrame) -> Book:
-    """Made of at most BOOK_TEXTS texts' first BOOK_CHARACTERS characters."""
-    sample = texts.select(F.substring("_text", 1, BOOK_CHARACTERS).alias("text")).limit(BOOK_TEXTS).collect()
+    """Made of the first BOOK_CHARACTERS characters of about BOOK_TEXTS texts from all over the table."""
+    share = min(1.0, BOOK_TEXTS / max(1, texts.count()))
+    sample = texts.select(F.substring("_text", 1, BOOK_CHARACTERS).alias("text")).sample(share, 7).limit(2 * BOOK_TEXTS).collect()
     counts = Counter(w for r in sample for words in pieces(r["text"].encode()) for w in words)
-    return Book([w for w, _ in counts.most_common(BOOK_WORDS)])
+    return Book([w for w, _ in counts.most_common(BOOK_WORDS)], sum(n >= HOT_SHARE * counts.total() for n in counts.values()))
 
 
 def windows(texts: DataFrame, longest: int, book: Book) -> DataFrame:
-    """_key, n: each different window of a slice of ``texts`` (_text, _lang) as language, newline and its words, one space
-    between two, and how often the slice has it."""
+    """_prefix, _last, n: each different window of a slice of ``texts`` (_text, _lang) and how often the slice has it. _prefix
+    holds the words but the last, the part that the window is dealt to, and the language, a newline between two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sent in slices(batches, "_bytes", 4_000_000):
+        pads = [b""] * (longest - 1)
+        for part, sent in slices(batches, "_bytes", 3_000_000):
             found: dict[str, Counter] = {}
-            pads = [b""] * (longest - 1)
             for lang, text in zip(part.column("_lang").to_pylist(), sent):
                 counts = found.setdefault(lang, Counter())
                 for words in pieces(text):
-                    coded = [*map(book.__getitem__, words), *pads]
-                    counts.update(map(b" ".join, zip(*(coded[k:] for k in range(longest)))))
-            keys = [lang.encode() + b"\n" + w for lang, counts in found.items() for w in counts]
-            sizes = pa.array([n for counts in found.values() for n in counts.values()], pa.int64())
-            for at in range(0, len(keys), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 20_000], pa.binary()).cast(pa.string()), sizes.slice(at, 20_000)], ["_key", "n"])
+                    leads = [*map(book.__getitem__, words), *pads]
+                    prefixes = map(b" ".join, zip(*(leads[k : k + len(words)] for k in range(longest - 1))))
+                    counts.update(zip(prefixes, leads[longest - 1 :]))
+            for lang, counts in found.items():
+                end = b"\n" + lang.encode()
+                rows = iter(counts.items())
+                while some := list(islice(rows, 20_000)):
+                    prefixes = [prefix + b"\n" + book.part(prefix, last) + end for (prefix, last), _ in some]
+                    columns = pa.array(prefixes, pa.binary()).cast(pa.string()), pa.array([last for (_, last), _ in some], pa.binary()).cast(pa.string()), pa.array([n for _, n in some], pa.int64())
+                    yield pa.RecordBatch.from_arrays(list(columns), ["_prefix", "_last", "n"])
 
-    return texts.select("_lang", F.col("_text").cast("binary").alias("_bytes")).mapInArrow(run, "_key string, n bigint")
+    return texts.select("_lang", F.col("_text").cast("binary").alias("_bytes")).mapInArrow(run, "_prefix string, _last string, n bigint")
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, words (array), n: all phrases of 1 to ``longest`` words with ``least`` occurrences or more, and each language's
     number of words as the row with no words."""
-    names = [f"w{k}" for k in range(1, longest + 1)]
+    names = [f"w{k}" for k in range(1, longest)]
     texts = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang"), F.col(text_col).alias("_text"))
     book = code_book(texts)
-    keyed = windows(texts, longest, book).groupBy("_key").agg(F.sum("n").alias("n"))
-    window = F.substring_index("_key", "\n", -1)
-    split = keyed.select(F.expr("left(_key, length(_key) - length(substring_index(_key, '\n', -1)) - 1)").alias("lang"), F.split(window, " ").alias("_w"), "n")
-    counted = split.select("lang", *(F.get("_w", F.lit(k)).alias(names[k]) for k in range(longest)), "n")
-    # Both parts read the one shuffle of windows; padded ones go when codes become words, a filter here would part the two.
-    top = counted.where(F.col("n") >= least).select("lang", F.array(*names).alias("words"), "n")
+    dealt = windows(texts, longest, book).repartition("_prefix")
+    # Both parts read this one shuffle; padded windows go when codes become words, a filter here would part the two.
+    held = F.split("_prefix", "\n", 3)
+    top = dealt.groupBy("_prefix", "_last").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    top = top.select(held[2].alias("lang"), F.concat(F.split(held[0], " "), F.array("_last")).alias("words"), "n")
+    # A prefix that is whole here and rare is of no use itself, only its words are; its last column becomes null.
+    sums = dealt.groupBy("_prefix").agg(F.sum("n").alias("n")).select(held[2].alias("lang"), F.split(held[0], " ").alias("_w"), (held[1] != "").alias("_part"), "n")
+    kept = F.col("_part") | (F.col("n") >= least)
+    counted = sums.select("lang", *(F.when(kept if k == longest - 2 else F.lit(True), F.get("_w", F.lit(k))).alias(names[k]) for k in range(longest - 1)), "n")
     prefixes = docs.sparkSession.sql(
-        f"SELECT lang, array({', '.join(names[:-1])}) AS words, sum(n) AS n, grouping_id() AS short FROM {{counted}} GROUP BY lang, ROLLUP ({', '.join(names[:-1])}) HAVING sum(n) >= {int(least)}",
+        f"SELECT lang, array({', '.join(names)}) AS words, sum(n) AS n, grouping_id() AS short FROM {{counted}} GROUP BY lang, ROLLUP ({', '.join(names)}) HAVING sum(n) >= {int(least)}",
         counted=counted,
     )
     # grouping_id() has a bit for each summed column, the last ones first.
@@ -115,8 +133,8 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [[book.read(w.encode()).decode(errors="replace") for w in ws] for ws in batch.column("words").to_pylist()]
-            whole = pa.array(["" not in ws for ws in words], pa.bool_())
+            words = [[w if w is None else book.read(w.encode()).decode(errors="replace") for w in ws] for ws in batch.column("words").to_pylist()]
+            whole = pa.array([None not in ws and "" not in ws for ws in words], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(words, pa.list_(pa.string())), batch.column("n")], ["lang", "words", "n"]).filter(whole)
 
     return top.unionByName(prefixes).mapInArrow(read, "lang string, words array<string>, n bigint")
