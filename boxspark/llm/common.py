@@ -80,15 +80,16 @@ def slices(batches: Iterator, text: str, most: int = 600_000) -> Iterator[tuple]
             yield part, part.column(text).to_pylist()
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, total: int, spread: Column) -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, total: int, spread: Column, partitions: int | None = None) -> DataFrame:
     """``rows`` with ``_fact``, a struct of the other columns of ``facts``, which has one row a key ``on``; null where it has none.
 
     ``weight`` says how many rows may ask for a key, and all weights add up to ``total`` at most. The at most 1,000
     facts of a thousandth of ``total`` or more are broadcast; rows that they answer are dealt by ``spread`` in the
-    shuffled join of all others, so that no key fills a task. Keys must not be null."""
+    shuffled join of all others, so that no key fills a task. ``partitions``: in how many parts that join deals the rows. Keys must not be null."""
     fact = F.struct(*(c for c in facts.columns if c not in on))
     hot = facts.where(F.col(weight) * F.lit(1000) >= F.lit(max(total, 1))).select(*on, fact.alias("_hot"))
     cold = facts.select(*on, F.lit(0).cast("long").alias("_turn"), fact.alias("_cold"))
     turn = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(spread, F.lit(1 << 20))).cast("long")
-    found = rows.join(F.broadcast(hot), on, "left").withColumn("_turn", turn).join(cold, [*on, "_turn"], "left")
+    found = rows.join(F.broadcast(hot), on, "left").withColumn("_turn", turn)
+    found = (found.repartition(partitions, *on, "_turn") if partitions else found).join(cold, [*on, "_turn"], "left")
     return found.withColumn("_fact", F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_turn")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxspark.llm import collocations, exact_dedup, image_copies, language_id, lexical_search, mixing, ngram_jaccard, secret_scan, sentencepiece_nbest, suffix_dedup, token_store, toxicity
+from boxspark.llm import collocations, exact_dedup, image_copies, language_id, lexical_search, mixing, ngram_jaccard, secret_scan, sentencepiece_nbest, suffix_dedup, token_store, toxicity, warc
 from boxspark.llm.common import table
 
 
@@ -79,8 +79,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op11_collocations, op12_lexical_search, op1_sentencepiece, op2_suffix_dedup, op3_secret_scan, op3_secret_scan_both_counts, op3_secret_values, op4_image_copies, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op11_collocations, op12_lexical_search, op13_warc, op1_sentencepiece, op2_suffix_dedup, op3_secret_scan, op3_secret_scan_both_counts, op3_secret_values, op4_image_copies, op5_language_id, op6_ngram_jaccard, op7_token_store, op8_mixing, op9_toxicity, op10_exact_dedup)}
 
 
 OP10_SQL = r"""
@@ -176,5 +180,16 @@ WINDOW x AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_numbe
 """
 
 
+#: Base32 of a digest: its bits, five at a time.
+OP13_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS least FROM p),
+x AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right('000' || bin(('0x' || substr(h, i, 1))::INTEGER), 4)), '') AS bits FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: substr(bits, (5 * i + j)::BIGINT, 1)::INTEGER * (1 << (5 - j))))::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+FROM x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_lexical_search": OP12_SQL, "op11_collocations": OP11_SQL, "op2_suffix_dedup": OP2_SQL, "op3_secret_scan": OP3_SQL, "op3_secret_scan_both_counts": OP3_SQL, "op3_secret_values": OP3_VALUES_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op13_warc": OP13_SQL, "op12_lexical_search": OP12_SQL, "op11_collocations": OP11_SQL, "op2_suffix_dedup": OP2_SQL, "op3_secret_scan": OP3_SQL, "op3_secret_scan_both_counts": OP3_SQL, "op3_secret_values": OP3_VALUES_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_exact_dedup": OP10_SQL}
