@@ -129,6 +129,67 @@ def test_tuning_of_each_run(spark):
     assert ends == [(1, 4, 4.0, 4, 4.0), (2, 4, 4.0, 4, 4.0), (3, 4, -4.0, 1, -1.0)]
 
 
+def _apart(a, b):
+    """IoU distances, by definition: corners and areas box by box."""
+    out = np.ones((len(a), len(b)))
+    for i, (ax, ay, aw, ah) in enumerate(a):
+        x = np.clip(np.minimum(ax + aw / 2, b[:, 0] + b[:, 2] / 2) - np.maximum(ax - aw / 2, b[:, 0] - b[:, 2] / 2), 0, None)
+        y = np.clip(np.minimum(ay + ah / 2, b[:, 1] + b[:, 3] / 2) - np.maximum(ay - ah / 2, b[:, 1] - b[:, 3] / 2), 0, None)
+        union = aw * ah + b[:, 2] * b[:, 3] - x * y
+        out[i] = 1 - np.where(union > 0, x * y / np.where(union > 0, union, 1), 0)
+    return out
+
+
+def _kmeans_by_hand(boxes, start, again, rounds=300, shift=1e-6):
+    now = np.array(start)
+    for turn in range(rounds):
+        own, last = _apart(boxes, now).argmin(axis=1), now
+        fresh = iter(again(sum(not (own == c).any() for c in range(len(now))), turn))
+        now = np.array([boxes[own == c].mean(axis=0) if (own == c).any() else next(fresh) for c in range(len(now))])
+        if np.sqrt(((now - last) ** 2).sum(axis=1)).max() < shift:
+            break
+    return now, float(np.mean([1 - _apart(boxes[i : i + 1], now[own[i] : own[i] + 1])[0, 0] for i in range(len(boxes))]))
+
+
+def _silhouette_by_hand(boxes, own):
+    apart, total = _apart(boxes, boxes), 0.0
+    for i in range(len(boxes)):
+        same = (own == own[i]) & (np.arange(len(boxes)) != i)
+        if same.any():
+            a, b = apart[i][same].mean(), min((apart[i][own == c].mean() for c in set(own.tolist()) - {own[i]}), default=0.0)
+            total += (b - a) / (a + b) if a + b > 0 else 0.0
+    return total / len(boxes)
+
+
+def test_choice_of_k_against_brute_force(spark):
+    """500 boxes, all k at once, in small blocks: every k's centroids, fit and silhouette, and the k that wins."""
+    rng = np.random.default_rng(4)
+    boxes = np.array([(*rng.uniform(0.2, 0.8, 2), *rng.choice([0.05, 0.1, 0.3, 0.5], 2) * rng.uniform(0.9, 1.1, 2)) for _ in range(480)] + [(0.4, 0.4, 0.2, 0.2)] * 20)
+    df = spark.createDataFrame([tuple(map(float, b)) for b in boxes], "cx double, cy double, w double, h double").repartition(5)
+    found = anchors.kmeans_of(df, [2, 3, 5, 7])
+    scores = anchors.silhouettes(df, {k: c for k, (c, _) in found.items()}, block=60)
+    want = {}
+    for k in found:
+        centroids, fit = _kmeans_by_hand(boxes, anchors.first_centroids(df, k), lambda n, turn, k=k: anchors.first_centroids(df, n, f"42|{k}|{turn}") if n else [])
+        assert np.abs(centroids - np.array(found[k][0])).max() < 1e-9 and found[k][1] == pytest.approx(fit, abs=1e-9)
+        want[k] = _silhouette_by_hand(boxes, _apart(boxes, centroids).argmin(axis=1))
+        assert scores[k] == pytest.approx(want[k], abs=1e-9)
+    k, centroids, score = anchors.choose_k(df, 2, 4)
+    best = max((2, 3), key=lambda k: 0.7 * want[k] + 0.3 * found[k][1])
+    assert k in (2, 3, 4) and (k == 4 or k == best) and len(centroids) == k and score >= 0.7 * want[best] + 0.3 * found[best][1] - 1e-9
+
+
+def test_an_empty_cluster_starts_again(spark, monkeypatch):
+    """A centroid that no box is nearest to is drawn anew from the boxes, by the hash of its round."""
+    boxes = np.array([(0.1 * i, 0.5, 0.08, 0.1) for i in range(1, 9)])
+    df = spark.createDataFrame([tuple(map(float, b)) for b in boxes], "cx double, cy double, w double, h double")
+    first, far = anchors.first_centroids, (5.0, 5.0, 0.01, 0.01)
+    monkeypatch.setattr(anchors, "first_centroids", lambda labels, k, seed=42: [tuple(boxes[0]), far, tuple(boxes[7])][:k] if seed == 42 else first(labels, k, seed))
+    found, fit = anchors.kmeans(df, 3)
+    want, score = _kmeans_by_hand(boxes, [boxes[0], np.array(far), boxes[7]], lambda n, turn: first(df, n, f"42|3|{turn}") if n else [])
+    assert np.abs(np.array(found) - want).max() < 1e-9 and fit == pytest.approx(score) and max(c[0] for c in found) < 1
+
+
 def test_silhouette_scores_all_boxes(spark):
     """Against the definition, box by box; a box that half of the rows hold counts as often as it occurs."""
     rng = np.random.default_rng(9)
@@ -137,7 +198,7 @@ def test_silhouette_scores_all_boxes(spark):
     own = np.array([r.anchor for r in anchors.nearest_anchor(df, centroids).select("anchor", *("cx", "cy", "w", "h")).collect()])
     order = [(r.cx, r.cy, r.w, r.h) for r in df.collect()]
     assert order == boxes
-    apart = anchors._apart(np.array(boxes), np.array(boxes))
+    apart = _apart(np.array(boxes), np.array(boxes))
     total = 0.0
     for i in range(len(boxes)):
         same = (own == own[i]) & (np.arange(len(boxes)) != i)
@@ -159,7 +220,7 @@ def test_validation_of_each_scale(spark):
     cuts = np.quantile(area, anchors.CUTS)
     assert set(got) == {"all", "P3", "P4"}
     for name, keep, a in (("all", area >= 0, own["P3"] + own["P4"]), ("P3", area <= cuts[1], own["P3"]), ("P4", (area >= cuts[1]) & (area <= cuts[2]), own["P4"])):
-        assert got[name] == (pytest.approx((1 - anchors._apart(b[keep], np.array(a))).max(axis=1).mean()), keep.sum())
+        assert got[name] == (pytest.approx((1 - _apart(b[keep], np.array(a))).max(axis=1).mean()), keep.sum())
 
 
 def test_occlusion_is_asked_of_plain_boxes_only(spark):
