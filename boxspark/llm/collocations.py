@@ -57,7 +57,7 @@ class Book(dict):
         super().__init__()
         self.coded = {w: character(i).encode() for i, w in enumerate(words)}
         self.words, self.remember = {code: w for w, code in self.coded.items()}, remember
-        self.hot = frozenset(self.coded[w] for w in words[:hot])
+        self.hot = frozenset(self.coded[w] for w in words[: min(hot, 1_920)])  # codes of two bytes
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.remember:
@@ -72,8 +72,12 @@ class Book(dict):
     def read(self, travelled: bytes) -> bytes:
         return self.words.get(travelled) or travelled.removeprefix(MARK)
 
-    def part(self, prefix: bytes, last: bytes) -> bytes:
-        return b"%d" % (zlib.crc32(last) % HOT_PARTS) if self.hot.issuperset(prefix.split(b" ")) else b""
+    def dealt(self, window: bytes, end: bytes, hot_size: int) -> tuple[bytes, bytes]:
+        """A window's _prefix and last word."""
+        prefix, last = window.rsplit(b" ", 1)
+        if len(prefix) == hot_size and self.hot.issuperset(prefix.split(b" ")):
+            return b"%b\n%d%b" % (prefix, zlib.crc32(last) % HOT_PARTS, end), last
+        return b"%b\n%b" % (prefix, end), last
 
 
 def code_book(texts: DataFrame) -> Book:
@@ -81,7 +85,8 @@ def code_book(texts: DataFrame) -> Book:
     share = min(1.0, BOOK_TEXTS / max(1, texts.count()))
     sample = texts.select(F.substring("_text", 1, BOOK_CHARACTERS).alias("text")).sample(share, 7).limit(2 * BOOK_TEXTS).collect()
     counts = Counter(w for r in sample for words in pieces(r["text"].encode()) for w in words)
-    return Book([w for w, _ in counts.most_common(BOOK_WORDS)], sum(n >= HOT_SHARE * counts.total() for n in counts.values()))
+    words, least = counts.most_common(BOOK_WORDS), HOT_SHARE * counts.total()
+    return Book([w for w, _ in words], sum(n >= least for _, n in words))
 
 
 def windows(texts: DataFrame, longest: int, book: Book) -> DataFrame:
@@ -96,14 +101,13 @@ def windows(texts: DataFrame, longest: int, book: Book) -> DataFrame:
                 counts = found.setdefault(lang, Counter())
                 for words in pieces(text):
                     leads = [*map(book.__getitem__, words), *pads]
-                    prefixes = map(b" ".join, zip(*(leads[k : k + len(words)] for k in range(longest - 1))))
-                    counts.update(zip(prefixes, leads[longest - 1 :]))
+                    counts.update(map(b" ".join, zip(*(leads[k : k + len(words)] for k in range(longest)))))
             for lang, counts in found.items():
                 end = b"\n" + lang.encode()
                 rows = iter(counts.items())
                 while some := list(islice(rows, 20_000)):
-                    prefixes = [prefix + b"\n" + book.part(prefix, last) + end for (prefix, last), _ in some]
-                    columns = pa.array(prefixes, pa.binary()).cast(pa.string()), pa.array([last for (_, last), _ in some], pa.binary()).cast(pa.string()), pa.array([n for _, n in some], pa.int64())
+                    prefixes, lasts = zip(*[book.dealt(window, end, 3 * longest - 4) for window, _ in some])
+                    columns = pa.array(prefixes, pa.binary()).cast(pa.string()), pa.array(lasts, pa.binary()).cast(pa.string()), pa.array([n for _, n in some], pa.int64())
                     yield pa.RecordBatch.from_arrays(list(columns), ["_prefix", "_last", "n"])
 
     return texts.select("_lang", F.col("_text").cast("binary").alias("_bytes")).mapInArrow(run, "_prefix string, _last string, n bigint")
@@ -116,12 +120,12 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
     texts = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang"), F.col(text_col).alias("_text"))
     book = code_book(texts)
     dealt = windows(texts, longest, book).repartition("_prefix")
-    # Both parts read this one shuffle; padded windows go when codes become words, a filter here would part the two.
+    # Both parts read this one shuffle: neither filters nor drops a column before it, so its two uses are the same plan.
     held = F.split("_prefix", "\n", 3)
     top = dealt.groupBy("_prefix", "_last").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     top = top.select(held[2].alias("lang"), F.concat(F.split(held[0], " "), F.array("_last")).alias("words"), "n")
     # A prefix that is whole here and rare is of no use itself, only its words are; its last column becomes null.
-    sums = dealt.groupBy("_prefix").agg(F.sum("n").alias("n")).select(held[2].alias("lang"), F.split(held[0], " ").alias("_w"), (held[1] != "").alias("_part"), "n")
+    sums = dealt.groupBy("_prefix").agg(F.sum("n").alias("n"), F.count("_last").alias("_windows")).where("_windows > 0").select(held[2].alias("lang"), F.split(held[0], " ").alias("_w"), (held[1] != "").alias("_part"), "n")
     kept = F.col("_part") | (F.col("n") >= least)
     counted = sums.select("lang", *(F.when(kept if k == longest - 2 else F.lit(True), F.get("_w", F.lit(k))).alias(names[k]) for k in range(longest - 1)), "n")
     prefixes = docs.sparkSession.sql(
