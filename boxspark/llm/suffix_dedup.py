@@ -146,7 +146,7 @@ def _spans(rows: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of runs sorted by anchor and text: those whose text occurs again (whole), and one run of each different text
     of an anchor that has several (cut). Only a row of the group before is held back, however large a group is."""
-    names = ["anchor", "words", "k1", "k2", "start", "bytes", "offset"]
+    names = ["anchor", "words", "row", "start", "bytes", "offset"]
     held: list[np.ndarray] | None = None  # the last row, whose next row isn't known yet
     before = None  # (anchor, words) of the row before it
     waiting: list[np.ndarray] | None = None  # the first text's run of the current anchor, not yet known to be cut
@@ -184,7 +184,7 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*parts)]
         if not len(kinds):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(columns[i]) for i in (2, 3, 0)] + [pa.array(columns[i].astype(np.int32)) for i in (4, 5, 6)] + [pa.array(kinds)], ["k1", "k2", "anchor", "start", "bytes", "offset", "cut"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[i]) for i in (2, 0)] + [pa.array(columns[i].astype(np.int32)) for i in (3, 4, 5)] + [pa.array(kinds)], ["row", "anchor", "start", "bytes", "offset", "cut"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -205,42 +205,42 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 32) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): the rows of ``docs`` as _id, _text, k1, k2, and for those with repeats k1, k2, spans.
+    """(texts, spans): the rows of ``docs`` as _id, _text, row, and for those with repeats row, spans.
 
-    k1 and k2 are hashes of id and text: rows that agree in both are copies of each other, so the same spans go."""
+    Rows are numbered and staged, so each has its own spans, however many share its id and text."""
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    texts = texts.withColumn("k1", F.xxhash64("_id", "_text")).withColumn("k2", F.xxhash64(F.lit("2"), "_text", "_id"))
+    texts = stage(texts.withColumn("row", F.monotonically_increasing_id()), "repeat-texts")
 
     def all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in slices(batches, "_text"):
             found = [runs(t.encode(), length, gram) for t in own]
             sizes, flat = np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found)
-            k1, k2 = (np.repeat(part.column(c).to_numpy(), sizes) for c in ("k1", "k2"))
+            row = np.repeat(part.column("row").to_numpy(), sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy()), pa.array(k1), pa.array(k2), *(pa.array(flat[:, i].astype(np.int32)) for i in (2, 3, 4))],
-                ["anchor", "words", "k1", "k2", "start", "bytes", "offset"],
+                [pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy()), pa.array(row), *(pa.array(flat[:, i].astype(np.int32)) for i in (2, 3, 4))],
+                ["anchor", "words", "row", "start", "bytes", "offset"],
             )
 
-    found = texts.select("_text", "k1", "k2").mapInArrow(all_runs, "anchor bigint, words bigint, k1 bigint, k2 bigint, start int, bytes int, offset int")
+    found = texts.select("_text", "row").mapInArrow(all_runs, "anchor bigint, words bigint, row bigint, start int, bytes int, offset int")
     judged = found.repartition("anchor").sortWithinPartitions("anchor", "words").mapInArrow(
-        _classify, "k1 bigint, k2 bigint, anchor bigint, start int, bytes int, offset int, cut int"
+        _classify, "row bigint, anchor bigint, start int, bytes int, offset int, cut int"
     )
     whole = F.struct("start", (F.col("start") + F.col("bytes")).alias("end"))
     piece = F.struct("anchor", "start", "bytes", "offset")
     judged = stage(
-        judged.groupBy("k1", "k2").agg(F.collect_list(F.when(F.col("cut") == 0, whole)).alias("spans"), F.collect_list(F.when(F.col("cut") == 1, piece)).alias("pieces")), "repeat-runs"
+        judged.groupBy("row").agg(F.collect_list(F.when(F.col("cut") == 0, whole)).alias("spans"), F.collect_list(F.when(F.col("cut") == 1, piece)).alias("pieces")), "repeat-runs"
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in slices(batches, "_text"):
-            out: list[list] = [[], [], [], [], [], []]
-            for text, k1, k2, pieces in zip(own, *(part.column(c).to_pylist() for c in ("k1", "k2", "pieces"))):
+            out: list[list] = [[], [], [], [], []]
+            for text, row, pieces in zip(own, *(part.column(c).to_pylist() for c in ("row", "pieces"))):
                 raw = text.encode()
                 for p in pieces:
-                    for column, value in zip(out, (p["anchor"], k1, k2, p["start"], p["offset"], raw[p["start"] : p["start"] + p["bytes"]])):
+                    for column, value in zip(out, (p["anchor"], row, p["start"], p["offset"], raw[p["start"] : p["start"] + p["bytes"]])):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["anchor", "k1", "k2", "start", "offset", "bytes"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["anchor", "row", "start", "offset", "bytes"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows of one anchor
@@ -249,17 +249,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             # All repeats of an occurrence through one anchor hold the anchor, so together they are one span: a row an
             # occurrence comes out, however many intervals nest.
             left, right = np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
-            for before, after, members in repeats([r[5] for r in held], [r[4] for r in held], length):
+            for before, after, members in repeats([r[4] for r in held], [r[3] for r in held], length):
                 left[members], right[members] = np.maximum(left[members], before), np.maximum(right[members], after)
             out = []
             for k in np.flatnonzero(right).tolist():
-                _, k1, k2, start, offset, _ = held[k]
-                out.append((k1, k2, start + offset - int(left[k]), start + offset + int(right[k])))
+                _, row, start, offset, _ = held[k]
+                out.append((row, start + offset - int(left[k]), start + offset + int(right[k])))
             return out
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["k1", "k2", "start", "end"])
+            kinds = (pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["row", "start", "end"])
 
         for batch in batches:
             found = []
@@ -273,11 +273,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if len(held) > 1 and (found := judge()):
             yield batch_of(found)
 
-    with_pieces = judged.where(F.size("pieces") > 0).select("k1", "k2", "pieces")
-    pieces = texts.join(with_pieces, ["k1", "k2"]).select("_id", "_text", "k1", "k2", "pieces").mapInArrow(cut, "anchor bigint, k1 bigint, k2 bigint, start int, offset int, bytes binary")
-    more = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(group, "k1 bigint, k2 bigint, start int, end int")
-    more = more.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = judged.where(F.size("spans") > 0).select("k1", "k2", "spans").unionByName(more).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    with_pieces = judged.where(F.size("pieces") > 0).select("row", "pieces")
+    pieces = texts.join(with_pieces, "row").select("_id", "_text", "row", "pieces").mapInArrow(cut, "anchor bigint, row bigint, start int, offset int, bytes binary")
+    more = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(group, "row bigint, start int, end int")
+    more = more.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = judged.where(F.size("spans") > 0).select("row", "spans").unionByName(more).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return texts, spans
 
 
@@ -310,4 +310,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     longs = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *longs, T.StructField("kept_sha256", T.StringType()), T.StructField("spans", _SPAN), T.StructField("kept", T.BinaryType())])
-    return texts.join(spans, ["k1", "k2"], "left").select("_id", "_text", "k1", "k2", "spans").mapInArrow(remove, schema).withColumnRenamed("_id", id_col)
+    return texts.join(spans, "row", "left").select("_id", "_text", "row", "spans").mapInArrow(remove, schema).withColumnRenamed("_id", id_col)
