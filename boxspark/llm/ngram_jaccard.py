@@ -29,8 +29,8 @@ GROUPS = 256
 LEAST_GROUPS = 32
 #: A stored count of MANY stands for that or more; as a bound it is read as without limit.
 MANY = 255
-#: Sets with a prefix gram in common whose points are searched together, so that they fit a task; all later sets of the
-#: gram are tied to its first one unsearched, which loses no link.
+#: About so many sets with a prefix gram in common are searched together, so that they fit a task. A gram's sets are dealt to
+#: blocks of half that many; each pair of blocks is one search.
 MOST_SEARCHED = 20_000
 #: Entries of a leaf and of an inner node of the R-tree.
 FAN_OUT = 32
@@ -192,7 +192,7 @@ def _ties(docs: DataFrame, text_col: str, n: int, percent: int, common) -> DataF
     return docs.select(F.col(text_col).alias("_text")).mapInArrow(rows, "gram bigint, set bigint")
 
 
-def _search(percent: int, most_searched: int = MOST_SEARCHED):
+def _search(percent: int):
     """Ties (src, dst) of sets with a prefix gram in common whose points allow the overlap they need. Rows come sorted
     by gram; a short run of a gram is compared at every distance at once, a longer one through an R-tree."""
 
@@ -239,7 +239,7 @@ def _search(percent: int, most_searched: int = MOST_SEARCHED):
         return np.column_stack([sets[tied], sets[tops[tied]]])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, all_tied = None, None  # the last gram's rows so far; a gram of too many rows and its first set
+        held = None  # the last gram's rows so far
 
         def tie(gram, *rest) -> list[np.ndarray]:
             starts = np.flatnonzero(np.diff(gram, prepend=gram[0] - 1))
@@ -262,12 +262,6 @@ def _search(percent: int, most_searched: int = MOST_SEARCHED):
             new = [batch.column(c).to_numpy() for c in ("gram", "set", "n_shingles")]
             new += [np.fromiter(map(len, packed), np.int64, len(packed)), np.where(raw == MANY, np.int32(1 << 20), raw.astype(np.int32))]
             found = []
-            if all_tied is not None:
-                more = new[0] == all_tied[0]
-                found.append(np.column_stack([new[1][more], np.full(int(more.sum()), all_tied[1])]))
-                new = [x[~more] for x in new]
-                if len(new[0]):
-                    all_tied = None
             now = new if held is None else [np.concatenate([a, b]) for a, b in zip(held, new)]
             held = None
             if len(now[0]):
@@ -275,10 +269,6 @@ def _search(percent: int, most_searched: int = MOST_SEARCHED):
                 if last:
                     found += tie(*(x[:last] for x in now))
                 held = [x[last:] for x in now]
-                if len(held[0]) > most_searched:
-                    all_tied = (held[0][0], held[1][0])
-                    found.append(np.column_stack([held[1][1:], np.full(len(held[1]) - 1, held[1][0])]))
-                    held = None
             if found:
                 yield batch_of(found)
         if held is not None and len(held[0]) > 1:
@@ -406,10 +396,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     reps = stage(reps.select(*alike, key.alias("set"), "first.id", "first.text_key", "point", "copies"), "jaccard-reps")
 
     ties = _ties(docs, text_col, n, percent, common)
-    met = ties.groupBy("gram").agg(F.min("set").alias("_near"), F.max("set").alias("_far")).where("_near < _far").select("gram")
+    met = ties.groupBy("gram").agg(F.min("set").alias("_near"), F.max("set").alias("_far"), F.count(F.lit(1)).alias("_rows")).where("_near < _far").select("gram", "_rows")
     points = reps.select(F.col("h1").alias("set"), "n_shingles", "point")
-    meetings = ties.join(met, "gram").join(points, "set").select("gram", "set", "n_shingles", "point")
-    pairs_found = meetings.repartition("gram").sortWithinPartitions("gram").mapInArrow(_search(percent, most_searched), "src bigint, dst bigint")
+    # A block meets each other block of its gram; a gram of one block is one group.
+    blocks = F.expr(f"CASE WHEN _rows > {most_searched} THEN int(ceil(_rows * 2D / {most_searched})) ELSE 1 END")
+    own = F.pmod(F.xxhash64("set", F.lit("block")), F.col("_blocks")).cast("int")
+    others = F.expr("CASE WHEN _blocks = 1 THEN array(0) ELSE filter(sequence(0, _blocks - 1), o -> o <> _own) END")
+    group = F.when(F.col("_blocks") == 1, F.col("gram")).otherwise(F.xxhash64("gram", F.least("_own", "_other"), F.greatest("_own", "_other")))
+    once = ties.join(met, "gram").dropDuplicates(["gram", "set"])  # copies in several tasks; dealt by gram already
+    dealt = once.withColumn("_blocks", blocks).withColumn("_own", own).withColumn("_other", F.explode(others)).select(group.alias("gram"), "set")
+    meetings = dealt.join(points, "set").select("gram", "set", "n_shingles", "point")
+    pairs_found = meetings.repartition("gram").sortWithinPartitions("gram").mapInArrow(_search(percent), "src bigint, dst bigint")
     tied = components(pairs_found, "jaccard-ties")
 
     near = reps.join(tied, reps["h1"] == tied["node"]).select("set", "id", "text_key", "copies", "n_shingles", F.col("component").alias("tied"))
