@@ -18,6 +18,8 @@ from boxspark.llm.common import WORD, running_totals, stage
 #: Weights of sources in code-point order, repeated; a source is repeated at most this often.
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+#: A document of more than one part in LONG of its source's words is long: a source has fewer than LONG of them.
+LONG = 10_000
 #: Rows of a table of sources (a few numbers each) that are sent to every executor; more are joined by shuffling.
 MOST_SENT = 100_000
 
@@ -195,29 +197,44 @@ def _copies(documents: DataFrame, most: int, seed: int, name: str) -> DataFrame:
     return placed.withColumn("_times", F.shiftright(F.col("before") + F.col("_fixed") + half, 20) - F.shiftright(F.col("before") + half, 20))
 
 
+def _paid(long_: DataFrame, most: int, seed: int) -> DataFrame:
+    """_rank, _owed, copies (array of _key, _times) of each source's long documents, at most LONG of them: from the longest to
+    the shortest, each is copied as often as pays the words that are owed so far, so each shorter one pays what rounding left."""
+    order = F.struct((-F.col("_size")).alias("less"), F.xxhash64(F.lit("round"), F.lit(seed), "_key").alias("o"), "_key", F.col("_taken").cast("long").alias("taken"))
+    start = F.struct(F.lit(0).cast("long").alias("owed"), F.array().cast(f"array<struct<_key:{long_.schema['_key'].dataType.simpleString()},_times:bigint>>").alias("copies"))
+
+    def pay(acc: Column, d: Column) -> Column:
+        owed, size = acc["owed"] + d["taken"], -d["less"]
+        times = F.greatest(F.lit(0), F.least(F.lit(most), F.floor((2 * owed + size) / (2 * size)))).cast("long")
+        return F.struct((owed - times * size).alias("owed"), F.array_append(acc["copies"], F.struct(d["_key"].alias("_key"), times.alias("_times"))).alias("copies"))
+
+    each = long_.groupBy("_rank").agg(F.array_sort(F.collect_list(order)).alias("docs"))
+    return each.select("_rank", F.aggregate("docs", start, pay).alias("paid")).select("_rank", F.col("paid.owed").alias("_owed"), F.col("paid.copies").alias("copies"))
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes its words, in whole takes; not taken: left out.
 
-    Shares (taken / size) are rounded along running totals, first those of documents of more than a thousandth of their
-    source's target; what that is off in words is made up by the shares of the shorter ones. So each source's words in
-    the result are its taken words up to a thousandth, as far as it has shorter documents, else up to about its longest.
-    Rows that repeat an id (null is an id here) have one share and are repeated alike. Texts without words are left
-    out; a null source is a source. Columns of ``docs`` keep their names and values; an empty table gives an empty one.
+    A source's documents of more than a ten-thousandth of its words, fewer than 10,000, pay the words taken one after the other,
+    from long to short. What is still owed then is made up by the shares of the shorter ones, which are rounded along running
+    totals. So each source's words in the result are its taken words up to about its shortest document, or a ten-thousandth of
+    its words where it has shorter ones. Rows that repeat an id (null is an id here) have one share and are repeated alike.
+    Texts without words are left out; a null source is a source. Columns of ``docs`` keep their names and values; an empty
+    table gives an empty one.
     """
     documents, _, _ = mix(docs, id_col, text_col, source_col, seed, **how)
     most = how.get("most_repeats", MOST_REPEATS)
     each = documents.where("size > 0").groupBy(F.col(id_col).alias("_key")).agg(
-        F.min("source_rank").alias("_rank"), F.sum("size").alias("_size"), (F.sum("taken") / F.sum("size")).alias("_share"), F.max("target").alias("_target")
+        F.min("source_rank").alias("_rank"), F.sum("size").alias("_size"), F.sum("taken").alias("_taken"), F.max("source_size").alias("_words")
     )
-    each = stage(each.withColumn("_long", F.col("_size") * 1000 > F.col("_target")), "mix-shares-of-documents")
-    long_ = _copies(each.where("_long"), most, seed, "mix-long")
-    off = long_.groupBy("_rank").agg(F.sum((F.col("_times") - F.col("_share")) * F.col("_size")).alias("_off"))
+    each = stage(each.withColumn("_share", F.col("_taken") / F.col("_size")).withColumn("_long", F.col("_size") * LONG > F.col("_words")), "mix-shares-of-documents")
+    paid = stage(_paid(each.where("_long"), most, seed), "mix-long")
     short = each.where("NOT _long")
-    made_up = short.groupBy("_rank").agg(F.sum(F.col("_share") * F.col("_size")).alias("_words")).join(off, "_rank", "left")
-    factor = F.greatest(F.lit(0.0), 1 - F.try_divide(F.coalesce(F.col("_off"), F.lit(0.0)), "_words"))
+    made_up = short.groupBy("_rank").agg(F.sum("_taken").alias("_short")).join(paid.select("_rank", "_owed"), "_rank", "left")
+    factor = F.greatest(F.lit(0.0), 1 + F.try_divide(F.coalesce(F.col("_owed"), F.lit(0)), F.col("_short")))
     made_up = stage(made_up.select("_rank", F.coalesce(factor, F.lit(1.0)).alias("_factor")), "mix-factors")
     short = short.join(F.broadcast(made_up) if made_up.count() <= MOST_SENT else made_up, "_rank").withColumn("_share", F.col("_share") * F.col("_factor")).drop("_factor")
-    times = long_.select("_key", "_times").unionByName(_copies(short, most, seed, "mix-short-documents").select("_key", "_times"))
+    times = paid.select(F.inline("copies")).unionByName(_copies(short, most, seed, "mix-short-documents").select("_key", "_times"))
     times = stage(times.where("_times > 0").select(F.col("_key").alias("_mixed"), F.col("_times").cast("int").alias("_times")), "mix-copies")
     joined = docs.join(times, docs[id_col].eqNullSafe(times["_mixed"]))
     copy = "_".join([*docs.columns, "copy"])  # no column of docs has this name
