@@ -481,10 +481,28 @@ def test_copies_planted_in_the_registered_table(spark, tmp_path):
     assert sum(got[x] == got[y] for x, y in found) >= 0.9 * len(found)
     assert sum(x // 20 != y // 20 for x, y in found) <= 0.01 * len(found)
     caught = [[got[20 * k + 1 + c] == got[20 * k] for k in range(150)] for c in range(3)]
-    assert min(np.mean(c) for c in caught) >= 0.88 and np.mean(caught) >= 0.9
+    assert min(np.mean(c) for c in caught) >= 0.9
     assert all(got[i] == i for i in (9001, 9002, 9003))
 
 
+def test_every_kind_of_change_meets():
+    """Of pairs that verification accepts nine in ten have the keys in common, for each kind of change on its own: noise,
+    smoothing, other sizes, and crops of large and little pictures."""
+    rng = np.random.default_rng(21)
+    little = [np.clip(128 + 30 * image_copies.resized(rng.normal(0, 1, (8, 8)), 32, 32), 0, 255) for _ in range(120)]
+    large = [np.clip(128 + 60 * image_copies.resized(rng.normal(0, 1, (16, 16)), 96, 96), 0, 255) for _ in range(30)]
+    smooth = image_copies._smooth
+    changes = [
+        (little, lambda a: a + rng.normal(0, 3, a.shape)), (little, lambda a: a + rng.normal(0, 5, a.shape)), (little, lambda a: smooth(smooth(a))), (little, lambda a: image_copies.resized(a, 38, 38)),
+        (little, lambda a: a[3:29, 4:32]), (large, lambda a: a[10:80, 14:90]), (large, lambda a: a[30:90, 20:80]), (large, lambda a: np.rot90(a)[5:90, 10:]),
+    ]
+    for images, change in changes:
+        pairs = [[image_copies.corners(np.rint(np.clip(x, 0, 255)).astype(float)) for x in (a, change(a))] for a in images]
+        accepted = [(a, b) for a, b in pairs if image_copies.are_copies(a, b)]
+        met = [len(set(image_copies.pair_keys(a).tolist()) & set(image_copies.pair_keys(b).tolist())) >= image_copies.LEAST_KEYS for a, b in accepted]
+        assert len(accepted) >= 25 and np.mean(met) >= 0.9
+
+
 def test_possible_copies_leave_no_copy_out():
     rng = np.random.default_rng(6)
     images = [np.clip(128 + 30 * image_copies.resized(rng.normal(0, 1, (8, 8)), 32, 32), 0, 255) for _ in range(20)]
