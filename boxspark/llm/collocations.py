@@ -17,13 +17,13 @@ and a phrase's parts are looked up among them.
 from __future__ import annotations
 
 import string
-import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from functools import reduce
+from itertools import compress, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxspark.llm.common import slices, stage, with_facts
@@ -37,12 +37,13 @@ WIDE = "decimal(38,0)"
 BOOK_TEXTS, BOOK_CHARACTERS, BOOK_WORDS, MARK = 2_000, 5_000, 60_000, b"\x7f"
 #: A word of this share of the sample is very frequent; parts that a prefix of such words is dealt to.
 HOT_SHARE, HOT_PARTS = 0.001, 64
+#: Different windows that a task holds before it puts out their counts.
+HELD = 1_000_000
 
 
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    for piece in text.translate(PLAIN).split(b"\n"):
-        if words := piece.split():
-            yield words
+def tokens(text: bytes, pads: int) -> list[bytes]:
+    """The words of a text, with ``pads`` newlines behind every piece."""
+    return [*filter(None, (text.translate(PLAIN) + b"\n").replace(b"\n", b" \n" * pads + b" ").split(b" "))]
 
 
 def character(i: int) -> str:
@@ -57,11 +58,13 @@ class Book(dict):
         super().__init__()
         self.coded = {w: character(i).encode() for i, w in enumerate(words)}
         self.words, self.remember = {code: w for w, code in self.coded.items()}, remember
-        self.hot = frozenset(self.coded[w] for w in words[: min(hot, 1_920)])  # codes of two bytes
+        self.hot = character(min(hot, 1_920))  # the first code that is not of a very frequent word
+        self[b"\n"] = b""  # a place behind a piece
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.remember:
             self.clear()
+            self[b"\n"] = b""
         found = self.coded.get(word)
         if found is None:
             alone = word[0] >= 0x80 and len(word.decode(errors="replace")) == 1
@@ -72,45 +75,49 @@ class Book(dict):
     def read(self, travelled: bytes) -> bytes:
         return self.words.get(travelled) or travelled.removeprefix(MARK)
 
-    def dealt(self, window: bytes, end: bytes, hot_size: int) -> tuple[bytes, bytes]:
-        """A window's _prefix and last word."""
-        prefix, last = window.rsplit(b" ", 1)
-        if len(prefix) == hot_size and self.hot.issuperset(prefix.split(b" ")):
-            return b"%b\n%d%b" % (prefix, zlib.crc32(last) % HOT_PARTS, end), last
-        return b"%b\n%b" % (prefix, end), last
-
 
 def code_book(texts: DataFrame) -> Book:
     """Made of the first BOOK_CHARACTERS characters of about BOOK_TEXTS texts from all over the table."""
     share = min(1.0, BOOK_TEXTS / max(1, texts.count()))
     sample = texts.select(F.substring("_text", 1, BOOK_CHARACTERS).alias("text")).sample(share, 7).limit(2 * BOOK_TEXTS).collect()
-    counts = Counter(w for r in sample for words in pieces(r["text"].encode()) for w in words)
+    counts = Counter(w for r in sample for w in tokens(r["text"].encode(), 0))
     words, least = counts.most_common(BOOK_WORDS), HOT_SHARE * counts.total()
     return Book([w for w, _ in words], sum(n >= least for _, n in words))
 
 
 def windows(texts: DataFrame, longest: int, book: Book) -> DataFrame:
-    """_prefix, _last, n: each different window of a slice of ``texts`` (_text, _lang) and how often the slice has it. _prefix
-    holds the words but the last, the part that the window is dealt to, and the language, a newline between two."""
+    """_prefix, _last, n: different windows of ``texts`` (_text, _lang) and how often a part of a task's texts has each.
+    _prefix holds the words but the last, the part that the window is dealt to, and the language, a newline between two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pads = [b""] * (longest - 1)
-        for part, sent in slices(batches, "_bytes", 3_000_000):
-            found: dict[str, Counter] = {}
-            for lang, text in zip(part.column("_lang").to_pylist(), sent):
-                counts = found.setdefault(lang, Counter())
-                for words in pieces(text):
-                    leads = [*map(book.__getitem__, words), *pads]
-                    counts.update(map(b" ".join, zip(*(leads[k : k + len(words)] for k in range(longest)))))
+        found: dict[str, Counter] = defaultdict(Counter)
+
+        def out() -> Iterator[pa.RecordBatch]:
             for lang, counts in found.items():
-                end = b"\n" + lang.encode()
                 rows = iter(counts.items())
-                while some := list(islice(rows, 20_000)):
-                    prefixes, lasts = zip(*[book.dealt(window, end, 3 * longest - 4) for window, _ in some])
-                    columns = pa.array(prefixes, pa.binary()).cast(pa.string()), pa.array(lasts, pa.binary()).cast(pa.string()), pa.array([n for _, n in some], pa.int64())
-                    yield pa.RecordBatch.from_arrays(list(columns), ["_prefix", "_last", "n"])
+                while some := list(islice(rows, 50_000)):
+                    keys, n = zip(*some)
+                    columns = pa.array(keys, pa.binary()).view(pa.string()), pa.array([lang] * len(n), pa.string()), pa.array(n, pa.int64())
+                    yield pa.RecordBatch.from_arrays(list(columns), ["_window", "_lang", "n"])
+            found.clear()
 
-    return texts.select("_lang", F.col("_text").cast("binary").alias("_bytes")).mapInArrow(run, "_prefix string, _last string, n bigint")
+        for part, sent in slices(batches, "_bytes", 1_000_000):
+            for lang, text in zip(part.column("_lang").to_pylist(), sent):
+                leads = [*map(book.__getitem__, tokens(text, longest - 1))]
+                at = compress(zip(*(islice(leads, k, None) for k in range(longest))), leads)  # none starts behind a piece
+                found[lang].update(map(b" ".join, at))
+            if sum(map(len, found.values())) > HELD:
+                yield from out()
+        yield from out()
+
+    found = texts.select("_lang", F.col("_text").cast("binary").alias("_bytes")).mapInArrow(run, "_window string, _lang string, n bigint")
+    prefix, last = F.substring_index("_window", " ", longest - 1), F.substring_index("_window", " ", -1)
+    # Codes are one character each, the most frequent words' first: a prefix of such words alone is short and low.
+    low = [F.ascii(F.substring("_prefix", 2 * k + 1, 1)).between(0x80, ord(book.hot) - 1) for k in range(longest - 1)]
+    hot = reduce(Column.__and__, low, F.length("_prefix") == 2 * longest - 3)
+    dealt = F.when(hot, F.pmod(F.xxhash64("_last"), F.lit(HOT_PARTS)).cast("string")).otherwise(F.lit(""))
+    found = found.select(prefix.alias("_prefix"), last.alias("_last"), "_lang", "n")
+    return found.select(F.concat("_prefix", F.lit("\n"), dealt, F.lit("\n"), "_lang").alias("_prefix"), "_last", "n")
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
