@@ -8,7 +8,7 @@ from boxspark.functions import geometry as g
 from boxspark.jobs import fixtures as fx
 from boxspark.jobs.fixtures import sql_iou, sql_match, with_sql
 from boxspark.jobs.registry import query
-from boxspark.operators import convert, match, qc
+from boxspark.operators import convert, match, pixels, qc
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -282,3 +282,36 @@ def u5_image_differences(spark, d):
 @query(with_sql("SELECT image_id, box_idx, row_number() OVER (PARTITION BY image_id ORDER BY box_idx) - 1 AS new_idx FROM gt WHERE box_idx % 3 <> 1"))
 def w8_reindex(spark, d):
     return qc.reindexed(fx.ground_truth(spark, d).where("box_idx % 3 <> 1")).select("image_id", "box_idx", "new_idx")
+
+
+#: Boxes in the pixels of an image of 8 x 8: an eightieth of their place, at least a pixel; some reach beyond the image.
+_LITTLE = {"x1": "x1 div 80", "y1": "y1 div 60", "x2": "x1 div 80 + 1 + (x2 - x1) div 40", "y2": "y1 div 60 + 1 + (y2 - y1) div 40"}
+_SQL_LITTLE = ", ".join(f"{v.replace(' div ', ' // ')} AS {k}" for k, v in _LITTLE.items())
+_FLAT = f"""px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, greatest(0, least(255, round_even(128 + 256 * embedding[i + 1]::DOUBLE, 0))) AS p FROM embeddings, range(64) r(i)),
+little AS (SELECT image_id, box_idx, {_SQL_LITTLE} FROM gt),
+flat AS (SELECT image_id, box_idx, round(var_pop(p), 6) AS variance FROM little JOIN px ON vec_id = image_id AND x >= greatest(x1, 0) AND x < x2 AND y >= greatest(y1, 0) AND y < y2 GROUP BY ALL HAVING var_pop(p) < 500)"""
+
+
+def _flat(spark, d):
+    """Boxes of images that have a vector, with little variance in its pixels."""
+    image = pixels.vector_images(fx.table(spark, d, "embeddings"))
+    own = fx.ground_truth(spark, d).groupBy("image_id").agg(F.collect_list(F.struct("box_idx", *(F.expr(v).alias(k) for k, v in _LITTLE.items()))).alias("boxes"))
+    return pixels.occluded(image.join(own, "image_id"), 500.0).withColumn("variance", F.round("variance", 6))
+
+
+@query(with_sql("SELECT image_id, box_idx, variance FROM flat", _FLAT))
+def i2_box_variance(spark, d):
+    return _flat(spark, d)
+
+
+_SEEN = _ISSUES + f", {_FLAT}, hidden AS (SELECT f.* FROM flat f WHERE NOT EXISTS (SELECT 1 FROM dup WHERE dup.image_id = f.image_id AND f.box_idx IN (dup.i, dup.j)) AND NOT EXISTS (SELECT 1 FROM tiny t WHERE t.image_id = f.image_id AND t.box_idx = f.box_idx)), seen AS (SELECT * FROM issues UNION ALL SELECT image_id, 'occluded', box_idx, -1, variance FROM hidden)"
+
+
+@query(with_sql("SELECT * FROM seen", _SEEN))
+def c4_issues_with_occlusion(spark, d):
+    return qc.issues(fx.ground_truth(spark, d), fx.images(spark, d), _flat(spark, d)).withColumn("j", F.coalesce("j", F.lit(-1)))
+
+
+@query(with_sql("SELECT (SELECT count(*) FROM dup) AS duplicate, (SELECT count(*) FROM tiny) AS tiny, (SELECT count(*) FROM big) AS oversized, (SELECT count(*) FROM hidden) AS occluded, (SELECT count(DISTINCT image_id) FROM seen) AS images_with_issues, (SELECT count(*) FROM gt) AS n_boxes, (SELECT count(*) FROM seen) AS total_issues", _SEEN))
+def a4_summary_with_occlusion(spark, d):
+    return qc.summary(fx.ground_truth(spark, d), fx.images(spark, d), _flat(spark, d))

@@ -26,11 +26,23 @@ def laplacian_variance(a: np.ndarray) -> float:
     return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * a).var())
 
 
-def crop_variance(a: np.ndarray, x1: float, y1: float, x2: float, y2: float) -> float | None:
-    """Variance inside a box cut to whole pixels and to the image; None where nothing is left."""
+def box_variances(a: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """Population variance of whole-valued grey pixels inside each box (rows x1, y1, x2, y2), cut to whole pixels and to the
+    image; NaN where nothing is left. Summed-area tables of values and squares are made once, a box is four lookups in each."""
     h, w = a.shape
-    part = a[max(0, int(y1)) : min(h, int(y2)), max(0, int(x1)) : min(w, int(x2))]
-    return float(part.var()) if part.size else None
+    values = np.rint(a).astype(np.int64)
+    sums = np.zeros((2, h + 1, w + 1), np.int64)
+    for table, v in zip(sums, (values, values * values)):
+        table[1:, 1:] = v.cumsum(axis=0).cumsum(axis=1)
+    corners = np.trunc(np.nan_to_num(np.asarray(boxes, float).reshape(-1, 4), nan=0.0, posinf=1e9, neginf=-1e9)).astype(np.int64)
+    x1, x2 = np.maximum(corners[:, 0], 0), np.minimum(corners[:, 2], w)
+    y1, y2 = np.maximum(corners[:, 1], 0), np.minimum(corners[:, 3], h)
+    held = (x2 > x1) & (y2 > y1)
+    x1, x2, y1, y2 = (np.where(held, c, 0) for c in (x1, x2, y1, y2))
+    total, squares = (t[y2, x2] - t[y1, x2] - t[y2, x1] + t[y1, x1] for t in sums)
+    n = np.where(held, (x2 - x1) * (y2 - y1), 1)
+    # n * squares - total^2 is a whole number: nothing cancels before the one division.
+    return np.where(held, (n * squares - total * total) / (n * n).astype(float), np.nan)
 
 
 def image_features(images: DataFrame, id_col: str = "image_id") -> DataFrame:
@@ -62,22 +74,31 @@ def vector_features(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 
 def occluded(boxes_by_image: DataFrame, most: float = 50.0) -> DataFrame:
-    """image_id, box_idx, variance of boxes (an array beside the image, so pixels never shuffle) of little variance."""
+    """image_id, box_idx, variance of boxes of a variance under ``most``. Boxes (x1, y1, x2, y2 in pixels, box_idx) are an array
+    beside the image, so pixels never shuffle; the image is a struct of Spark's image source, or width, height and grey
+    ``pixels``. Images that cannot be read, boxes outside the image and boxes with a null corner give no row."""
+    plain = "pixels" in boxes_by_image.columns
+
+    def picture(row: dict) -> np.ndarray | None:
+        if not plain:
+            return grey(row["image"])
+        ok = row["pixels"] is not None and row["width"] and row["height"] and len(row["pixels"]) == row["width"] * row["height"]
+        return np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"]) if ok else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for key, image, own in zip(*(batch.column(c).to_pylist() for c in ("image_id", "image", "boxes"))):
-                a = grey(image)
-                for b in own or () if a is not None else ():
-                    v = crop_variance(a, b["x1"], b["y1"], b["x2"], b["y2"])
-                    if v is not None and v < most:
-                        out.append((key, b["box_idx"], v))
+            for row in batch.to_pylist():
+                own = [b for b in row["boxes"] or () if None not in (b["x1"], b["y1"], b["x2"], b["y2"])]
+                a = picture(row) if own else None
+                if a is not None:
+                    found = box_variances(a, np.array([(b["x1"], b["y1"], b["x2"], b["y2"]) for b in own], float))
+                    out += [(row["image_id"], own[k]["box_idx"], float(found[k])) for k in np.flatnonzero(found < most)]
             kinds = (batch.schema.field("image_id").type, pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["image_id", "box_idx", "variance"])
 
     schema = T.StructType([boxes_by_image.schema["image_id"], T.StructField("box_idx", T.LongType()), T.StructField("variance", T.DoubleType())])
-    return boxes_by_image.select("image_id", "image", "boxes").mapInArrow(rows, schema)
+    return boxes_by_image.select("image_id", *(("width", "height", "pixels") if plain else ("image",)), "boxes").mapInArrow(rows, schema)
 
 
 def nearest(a: np.ndarray, height: int, width: int) -> np.ndarray:

@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxspark.functions.geometry import box, iou, may_reach_iou
 
 
+def close_pairs(a: DataFrame, b: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Pairs of a box of ``a`` (corners a_x1 ...) and one of ``b`` (b_x1 ...) with equal ``keys`` that widths and left edges allow
+    an IoU of ``threshold``. Each pair comes once.
+
+    Boxes that reach it differ in width by a factor of the threshold at most, and their left edges by what the wider one may
+    keep for itself. Widths are cut into bands and left edges, band by band, into cells: a box of ``a`` has one cell, one of
+    ``b`` is in the one to four cells that its partners may have. Band and cell are join keys, so an image of very many boxes is
+    dealt over many tasks. Boxes without width reach nothing."""
+    base = max(threshold**-4, 2.0)
+    spare = max(1 - threshold, 0.01)
+    band = lambda w: F.floor(F.log(w) / F.lit(math.log(base)))
+    cell = lambda x, k: F.floor(x / (F.pow(F.lit(base), k + 1) * F.lit(4 * spare)))
+    aw, bw, little = F.col("a_x2") - F.col("a_x1"), F.col("b_x2") - F.col("b_x1"), 1e-9
+    left = a.where(aw > 0).withColumn("_band", band(aw)).withColumn("_cell", cell(F.col("a_x1"), F.col("_band")))
+    right = b.where(bw > 0).withColumn("_band", F.explode(F.sequence(band(bw * (threshold - little)), band(bw * (1 / threshold + little)))))
+    reach = F.least(F.greatest(F.pow(F.lit(base), F.col("_band") + 1), bw), bw * (1 / threshold + little)) * (1 - threshold + little)
+    right = right.withColumn("_cell", F.explode(F.sequence(cell(F.col("b_x1") - reach, F.col("_band")), cell(F.col("b_x1") + reach, F.col("_band")))))
+    return left.join(right, [*keys, "_band", "_cell"]).drop("_band", "_cell")
+
+
 def duplicate_pairs(gt: DataFrame, threshold: float = 0.8) -> DataFrame:
     """image_id, i, j, iou of boxes i < j of an image, of any class, whose IoU is ``threshold`` or more.
 
-    A self join on image_id; pairs whose sizes rule that IoU out go before it is computed."""
+    A self join on image and on bands and cells (``close_pairs``); of a pair either box may be the first there."""
     cols = ("x1", "y1", "x2", "y2")
     a = gt.select("image_id", F.col("box_idx").alias("i"), *(F.col(c).alias(f"a_{c}") for c in cols))
     b = gt.select("image_id", F.col("box_idx").alias("j"), *(F.col(c).alias(f"b_{c}") for c in cols))
-    near = a.join(b, "image_id").where((F.col("i") < F.col("j")) & may_reach_iou(box("a_"), box("b_"), threshold))
+    near = close_pairs(a, b, ["image_id"], threshold).where((F.col("i") < F.col("j")) & may_reach_iou(box("a_"), box("b_"), threshold))
     return near.withColumn("iou", iou(box("a_"), box("b_"))).where(F.col("iou") >= threshold).select("image_id", "i", "j", "iou")
 
 
@@ -65,25 +87,30 @@ def reindexed(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("new_idx", F.row_number().over(order).cast("bigint") - 1)
 
 
-def issues(gt: DataFrame, images: DataFrame) -> DataFrame:
-    """image_id, issue, i, j, value: one row a finding."""
+def issues(gt: DataFrame, images: DataFrame, flat: DataFrame | None = None) -> DataFrame:
+    """image_id, issue, i, j, value: one row a finding. ``flat`` (image_id, box_idx, variance) are boxes whose pixels hardly
+    differ: those in no duplicate pair and not tiny are occluded."""
     sized, pairs = with_size(gt, images), duplicate_pairs(gt)
     tiny, big = tiny_boxes(sized, pairs), oversized_boxes(sized)
     none = F.lit(None).cast("bigint")
-    return (
+    found = (
         pairs.select("image_id", F.lit("duplicate").alias("issue"), "i", "j", F.col("iou").alias("value"))
         .unionByName(tiny.select("image_id", F.lit("tiny").alias("issue"), F.col("box_idx").alias("i"), none.alias("j"), F.col("area").cast("double").alias("value")))
         .unionByName(big.select("image_id", F.lit("oversized").alias("issue"), F.col("box_idx").alias("i"), none.alias("j"), F.col("area").cast("double").alias("value")))
     )
+    if flat is None:
+        return found
+    hidden = occlusion_candidates(flat, pairs, tiny)
+    return found.unionByName(hidden.select("image_id", F.lit("occluded").alias("issue"), F.col("box_idx").alias("i"), none.alias("j"), F.col("variance").alias("value")))
 
 
-def summary(gt: DataFrame, images: DataFrame) -> DataFrame:
-    """One row: boxes, duplicate pairs, tiny, oversized, images with a finding, all findings."""
-    found = issues(gt, images)
-    per_image = found.groupBy("image_id").agg(*(F.sum((F.col("issue") == k).cast("bigint")).alias(k) for k in ("duplicate", "tiny", "oversized")))
-    total = per_image.agg(*(F.coalesce(F.sum(k), F.lit(0)).cast("bigint").alias(k) for k in ("duplicate", "tiny", "oversized")), F.count(F.lit(1)).alias("images_with_issues"))
+def summary(gt: DataFrame, images: DataFrame, flat: DataFrame | None = None) -> DataFrame:
+    """One row: boxes, duplicate pairs, tiny, oversized and, with ``flat``, occluded, images with a finding, all findings."""
+    kinds = ("duplicate", "tiny", "oversized") + (() if flat is None else ("occluded",))
+    per_image = issues(gt, images, flat).groupBy("image_id").agg(*(F.sum((F.col("issue") == k).cast("bigint")).alias(k) for k in kinds))
+    total = per_image.agg(*(F.coalesce(F.sum(k), F.lit(0)).cast("bigint").alias(k) for k in kinds), F.count(F.lit(1)).alias("images_with_issues"))
     boxes = gt.agg(F.count(F.lit(1)).alias("n_boxes"))
-    return total.crossJoin(boxes).withColumn("total_issues", F.col("duplicate") + F.col("tiny") + F.col("oversized"))  # one row by one row
+    return total.crossJoin(boxes).withColumn("total_issues", sum((F.col(k) for k in kinds), F.lit(0)).cast("bigint"))  # one row by one row
 
 
 def duplicate_contents(content: DataFrame, id_col: str, bytes_col: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from boxspark.operators import anchors, errors, evaluate, fuse, qc, responses, stats, tuning
+from boxspark.operators import anchors, errors, evaluate, fuse, match, qc, responses, stats, tuning
 from boxspark.operators.convert import merged_vocabulary
 
 DETS = "image_id int, class_id int, det_idx int, score double, x1 double, y1 double, x2 double, y2 double"
@@ -238,3 +238,47 @@ def test_models_are_compared_on_their_own_predictions(spark):
     got = {r.model: (round(r.map50, 6), round(r.mean_precision, 6), round(r.mean_recall, 6), round(r.fitness, 6)) for r in evaluate.compare_models(pred, gt).collect()}
     alone = evaluate.mean_average_precision(evaluate.average_precision(pred.where("model = 'half'").drop("model"), gt)).first()
     assert got["good"] == (1.0, 1.0, 1.0, 1.0) and got["half"] == (round(alone.map50, 6), 0.25, 0.5, round(alone.fitness, 6))
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 0.97, 1.0])
+def test_duplicate_pairs_of_a_crowded_image(spark, threshold):
+    """Every pair of a crowded image once, whatever its band and cell, and no pair in one task of the join alone."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(500):
+        w, h = float(rng.choice([0.5, 3, 17, 60, 200]) * rng.uniform(0.8, 1.2)), float(rng.choice([2, 40]) * rng.uniform(0.8, 1.2))
+        x, y = (float(v) for v in rng.uniform(-50, 400, 2) // rng.choice([1, 40]))
+        rows.append((int(rng.integers(0, 2)), k, x, y, x + w, y + h))
+    rows += [(0, 1000 + k, *r[2:]) for k, r in enumerate(rows[:60])] + [(1, 2000, 5.0, 5.0, 5.0, 9.0), (1, 2001, 5.0, 5.0, 5.0, 9.0), (1, 2002, None, 5.0, 6.0, 9.0)]
+    df = spark.createDataFrame(rows, "image_id int, box_idx int, x1 double, y1 double, x2 double, y2 double")
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and None not in a + b:
+                inter = max(min(a[4], b[4]) - max(a[2], b[2]), 0) * max(min(a[5], b[5]) - max(a[3], b[3]), 0)
+                union = (a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - inter
+                if union > 0 and inter / union >= threshold:
+                    want.add((a[0], a[1], b[1]))
+    got = [(r.image_id, r.i, r.j) for r in qc.duplicate_pairs(df, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_box_variances_against_crops():
+    from boxspark.operators import pixels
+
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 256, (37, 53)).astype(np.uint8)
+    a[5:20, 10:30] = 77
+    boxes = np.concatenate([rng.uniform(-20, 70, (300, 4)), [(10, 5, 30, 20), (0, 0, 53, 37), (-9, -9, -1, -1), (60, 0, 70, 5), (3, 3, 3, 9), (1e12, 0, 2e12, 5), (np.nan, 0, 5, 5)]])
+    got = pixels.box_variances(a, boxes)
+    for (x1, y1, x2, y2), v in zip(boxes[:-1], got):
+        part = a[max(0, int(y1)) : max(0, min(37, int(y2))), max(0, int(x1)) : max(0, min(53, int(x2)))]
+        assert v == pytest.approx(part.astype(float).var(), abs=1e-9) if part.size else np.isnan(v)
+    assert got[300] == 0.0
+
+
+def test_a_box_taken_later_was_free_for_an_earlier_near_miss():
+    """Prediction 0 is near boxes 0 and 1; a later one takes box 1, an earlier wish takes box 0 first."""
+    pred, of, ious = np.array([0, 1, 1, 2]), np.array([0, 0, 1, 1]), np.array([0.9, 0.8, 0.2, 0.9])
+    box_of, iou_of, tp = match.greedy(pred, of, ious, 3, 2, 0.5)
+    assert box_of.tolist() == [0, 1, 1] and tp.tolist() == [True, False, True] and iou_of.tolist() == [0.9, 0.2, 0.9]
