@@ -38,7 +38,7 @@ BOOK_TEXTS, BOOK_CHARACTERS, BOOK_WORDS, MARK = 2_000, 5_000, 60_000, b"\x7f"
 #: A word of this share of the sample is very frequent; parts that a prefix of such words is dealt to.
 HOT_SHARE, HOT_PARTS = 0.001, 64
 #: Different windows that a task holds before it puts out their counts.
-HELD = 1_000_000
+HELD = 1_800_000
 
 
 def tokens(text: bytes, pads: int) -> list[bytes]:
@@ -87,7 +87,8 @@ def code_book(texts: DataFrame) -> Book:
 
 def windows(texts: DataFrame, longest: int, book: Book) -> DataFrame:
     """_prefix, _last, n: different windows of ``texts`` (_text, _lang) and how often a part of a task's texts has each.
-    _prefix holds the words but the last, the part that the window is dealt to, and the language, a newline between two."""
+    _prefix holds the words but the last, as one more word the part that the window is dealt to, if any, and, behind a newline,
+    the language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = defaultdict(Counter)
@@ -115,9 +116,9 @@ def windows(texts: DataFrame, longest: int, book: Book) -> DataFrame:
     # Codes are one character each, the most frequent words' first: a prefix of such words alone is short and low.
     low = [F.ascii(F.substring("_prefix", 2 * k + 1, 1)).between(0x80, ord(book.hot) - 1) for k in range(longest - 1)]
     hot = reduce(Column.__and__, low, F.length("_prefix") == 2 * longest - 3)
-    dealt = F.when(hot, F.pmod(F.xxhash64("_last"), F.lit(HOT_PARTS)).cast("string")).otherwise(F.lit(""))
+    part = F.pmod(F.xxhash64("_last"), F.lit(HOT_PARTS)).cast("string")
     found = found.select(prefix.alias("_prefix"), last.alias("_last"), "_lang", "n")
-    return found.select(F.concat("_prefix", F.lit("\n"), dealt, F.lit("\n"), "_lang").alias("_prefix"), "_last", "n")
+    return found.select(F.when(hot, F.concat("_prefix", F.lit(" "), part, F.lit("\n"), "_lang")).otherwise(F.concat("_prefix", F.lit("\n"), "_lang")).alias("_prefix"), "_last", "n")
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -128,11 +129,12 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
     book = code_book(texts)
     dealt = windows(texts, longest, book).repartition("_prefix")
     # Both parts read this one shuffle: neither filters nor drops a column before it, so its two uses are the same plan.
-    held = F.split("_prefix", "\n", 3)
+    held = F.split("_prefix", "\n", 2)
+    words = F.split(held[0], " ")
     top = dealt.groupBy("_prefix", "_last").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = top.select(held[2].alias("lang"), F.concat(F.split(held[0], " "), F.array("_last")).alias("words"), "n")
+    top = top.select(held[1].alias("lang"), F.concat(F.slice(words, 1, longest - 1), F.array("_last")).alias("words"), "n")
     # A prefix that is whole here and rare is of no use itself, only its words are; its last column becomes null.
-    sums = dealt.groupBy("_prefix").agg(F.sum("n").alias("n"), F.count("_last").alias("_windows")).where("_windows > 0").select(held[2].alias("lang"), F.split(held[0], " ").alias("_w"), (held[1] != "").alias("_part"), "n")
+    sums = dealt.groupBy("_prefix").agg(F.sum("n").alias("n"), F.count("_last").alias("_windows")).where("_windows > 0").select(held[1].alias("lang"), words.alias("_w"), (F.size(words) == longest).alias("_part"), "n")
     kept = F.col("_part") | (F.col("n") >= least)
     counted = sums.select("lang", *(F.when(kept if k == longest - 2 else F.lit(True), F.get("_w", F.lit(k))).alias(names[k]) for k in range(longest - 1)), "n")
     prefixes = docs.sparkSession.sql(
@@ -170,6 +172,13 @@ def collocations(
     candidates = counts.where(F.size("words") >= 2).select("lang", "words", "phrase", F.col("n").alias("a"))
 
     part = lambda start, size: F.array_join(F.slice("words", start, size), " ")
+    spans = [(at, size) for size in range(2, longest) for at in range(1, longest - size + 2)]
+    if spans:  # what a longer candidate holds, by its places
+        inside = F.array(*(F.when(F.lit(at + size - 1) <= F.size("words"), part(F.lit(at), F.lit(size))) for at, size in spans))
+        longer = candidates.where(F.size("words") > 2).select("lang", F.col("phrase").alias("_own"), "a", F.explode(inside).alias("phrase"))
+        longer = longer.where("phrase IS NOT NULL AND phrase <> _own").groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
+        candidates = candidates.join(longer, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (100 * F.col("_longer") < covered_percent * F.col("a"))).drop("_longer")
+
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("words") - 1))).select(
         "lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.size("words") - F.col("k")).alias("right")
     )
@@ -185,15 +194,6 @@ def collocations(
     best = F.min(F.struct(F.expr("top div product").alias("score"), "k", F.col("n_left").alias("l"), F.col("n_right").alias("r")))
     scored = cuts.groupBy("lang", "phrase", "a").agg(best.alias("best")).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
 
-    inner = [part(F.lit(at), F.lit(size)) for size in range(2, longest) for at in range(1, longest - size + 2)]
-    sizes = [size for size in range(2, longest) for _ in range(1, longest - size + 2)]
-    starts = [at for size in range(2, longest) for at in range(1, longest - size + 2)]
-    if inner:
-        inside = F.array(*(F.when(F.lit(at + size - 1) <= F.size("words"), p) for p, at, size in zip(inner, starts, sizes)))
-        longer = candidates.where(F.size("words") > 2).select("lang", "words", "a", F.explode(inside).alias("phrase"))
-        longer = longer.where("phrase IS NOT NULL AND phrase <> array_join(words, ' ')").groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
-        scored = scored.join(longer, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (100 * F.col("_longer") < covered_percent * F.col("a"))).drop("_longer")
-
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salt = F.pmod(F.xxhash64("phrase"), F.lit(max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))))
     near = scored.withColumn("_salt", salt).withColumn("_nth", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("_nth") <= most)
