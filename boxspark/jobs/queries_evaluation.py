@@ -118,6 +118,19 @@ def e12_pr_curve(spark, d):
     return evaluate.pr_curve(*_pg(spark, d))
 
 
+_TENTHS = [round(0.1 * k, 1) for k in range(1, 10)]
+_LISTED = sql_match(0.0, None, "index", level=True).replace("[0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]", str(_TENTHS)).replace("iou >= level", "conf >= level AND iou >= 0.5").replace("e.iou >= e.level", "e.iou >= 0.5") + f""",
+hits AS (SELECT level, count(*) AS tp FROM found WHERE tp GROUP BY 1),
+c0 AS (SELECT (row_number() OVER (ORDER BY t.level) - 1)::INT AS k, t.level AS threshold, coalesce(h.tp, 0) AS tp, (SELECT count(*) FROM pred WHERE conf >= t.level) - coalesce(h.tp, 0) AS fp, (SELECT count(*) FROM gt) - coalesce(h.tp, 0) AS fn
+       FROM (SELECT unnest({_TENTHS})::DOUBLE AS level) t LEFT JOIN hits h ON h.level = t.level),
+c1 AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0::DOUBLE END AS recall FROM c0)"""
+
+
+@query(with_sql(f"SELECT *, {_F1} AS f1 FROM c1", _LISTED, True))
+def e12_list_order_curve(spark, d):
+    return evaluate.list_order_curve(*_pg(spark, d), _TENTHS)
+
+
 @query(with_sql("SELECT b.threshold, b.f1, b.precision, b.recall, n.precision AS reported_precision, n.recall AS reported_recall FROM (SELECT * FROM curve ORDER BY f1 DESC, k LIMIT 1) b, curve n WHERE abs(n.threshold - b.threshold) < 0.01 ORDER BY n.k LIMIT 1", _CURVE, True))
 def e13_optimal_threshold(spark, d):
     return evaluate.optimal_threshold(evaluate.pr_curve(*_pg(spark, d)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxspark.operators.match import greedy_match, match_levels, outcomes
+from boxspark.operators.match import greedy_match, match_levels, matches_by_threshold, outcomes
 
 LEVELS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 THRESHOLDS = [0.01 + i * (0.98 / 99) for i in range(100)]
@@ -77,6 +77,19 @@ def pr_curve(pred: DataFrame, gt: DataFrame, thresholds: list[float] | None = No
     return with_rates(rows)
 
 
+def list_order_curve(pred: DataFrame, gt: DataFrame, thresholds: list[float] | None = None, iou_t: float = 0.5) -> DataFrame:
+    """``pr_curve`` with predictions of an image taken in the order of its list instead of by confidence: a threshold then
+    changes who is first, so every threshold has its own matching."""
+    thresholds = thresholds or THRESHOLDS
+    tp = matches_by_threshold(pred, gt, thresholds, iou_t)
+    bins = threshold_bins(pred, thresholds).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    grid = pred.sparkSession.createDataFrame([(i, t) for i, t in enumerate(thresholds)], "k int, threshold double")
+    # One row a threshold on either side.
+    made = grid.join(F.broadcast(bins), F.col("bin") > F.col("k"), "left").groupBy("k", "threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
+    rows = made.join(F.broadcast(tp), "k", "left").withColumn("tp", F.coalesce("tp", F.lit(0)).cast("bigint")).crossJoin(F.broadcast(gt.agg(F.count(F.lit(1)).alias("boxes"))))
+    return with_rates(rows.select("k", "threshold", "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("boxes") - F.col("tp")).alias("fn")))
+
+
 def optimal_threshold(curve: DataFrame) -> DataFrame:
     """One row: the lowest threshold of the largest F1 (0.5 when all are 0) with its precision and recall, and
     reported_* from the first point within 0.01 of it."""

@@ -84,28 +84,41 @@ def _edges(p_key: np.ndarray, p: np.ndarray, g_key: np.ndarray, g: np.ndarray, l
     return i[order], j[order], found[order]
 
 
-def _matcher(levels: list[float], near: bool) -> Callable:
-    """Arrays of an image's predictions and boxes (in order) to what ``greedy`` finds at each level (_FOUND). Places are
-    counted from 0 within the image."""
+def _flat(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
 
-    def flat(column: pa.ListArray) -> np.ndarray:
-        return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
 
-    def sizes(column: pa.ListArray) -> np.ndarray:
-        return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+def _sizes(column: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def lists(values: pa.Array, n: np.ndarray) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)
 
-    def match(p_class: pa.Array, px1: pa.Array, py1: pa.Array, px2: pa.Array, py2: pa.Array, g_class: pa.Array, gx1: pa.Array, gy1: pa.Array, gx2: pa.Array, gy2: pa.Array) -> pa.Array:
-        n_p, n_g = sizes(p_class), sizes(g_class)
-        names = pa.concat_arrays([p_class.flatten(), g_class.flatten()]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        images = np.concatenate([np.repeat(np.arange(len(n_p)), n_p), np.repeat(np.arange(len(n_g)), n_g)])
-        keys = np.where(names < 0, -1 - np.arange(len(names)), images * (len(names) + 1) + names)  # a null class meets nothing
-        total_p, total_g = int(n_p.sum()), int(n_g.sum())
-        p, g = (np.column_stack([flat(c) for c in side]) if side else None for side in ((px1, py1, px2, py2), (gx1, gy1, gx2, gy2)))
-        i, j, found = _edges(keys[:total_p], p, keys[total_p:], g, 0.0 if near else min(levels))
+def _lists(values: pa.Array, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)
+
+
+def _batch_edges(sides: tuple, least: float) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(predictions an image, boxes an image, edges) of a batch of images, given by class names and corners of either side.
+    Predictions and boxes are counted through the batch."""
+    p_class, px1, py1, px2, py2, g_class, gx1, gy1, gx2, gy2 = sides
+    n_p, n_g = _sizes(p_class), _sizes(g_class)
+    names = pa.concat_arrays([p_class.flatten(), g_class.flatten()]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    images = np.concatenate([np.repeat(np.arange(len(n_p)), n_p), np.repeat(np.arange(len(n_g)), n_g)])
+    keys = np.where(names < 0, -1 - np.arange(len(names)), images * (len(names) + 1) + names)  # a null class meets nothing
+    p, g = np.column_stack([_flat(c) for c in (px1, py1, px2, py2)]), np.column_stack([_flat(c) for c in (gx1, gy1, gx2, gy2)])
+    total = int(n_p.sum())
+    return n_p, n_g, _edges(keys[:total], p, keys[total:], g, least)
+
+
+def _matcher(levels: list[float], near: bool) -> Callable:
+    """Arrays of an image's predictions and boxes (in order) to what ``greedy`` finds at each level (_FOUND). Places are
+    counted from 0 within the image."""
+
+    def match(
+        p_class: pa.Array, px1: pa.Array, py1: pa.Array, px2: pa.Array, py2: pa.Array, g_class: pa.Array, gx1: pa.Array, gy1: pa.Array, gx2: pa.Array, gy2: pa.Array
+    ) -> pa.Array:
+        n_p, n_g, (i, j, found) = _batch_edges((p_class, px1, py1, px2, py2, g_class, gx1, gy1, gx2, gy2), 0.0 if near else min(levels))
         first_g = np.repeat(np.cumsum(n_g) - n_g, n_p)
+        total_p, total_g = int(n_p.sum()), int(n_g.sum())
         parts = []
         for level in levels:
             keep = slice(None) if near else found >= level
@@ -115,18 +128,44 @@ def _matcher(levels: list[float], near: bool) -> Callable:
             places = np.arange(total_g) - np.repeat(np.cumsum(n_g) - n_g, n_g)
             left = np.bincount(np.repeat(np.arange(len(n_g)), n_g)[missed], minlength=len(n_g))
             parts.append(pa.StructArray.from_arrays([
-                lists(pa.array(np.where(of >= 0, of - first_g, -1), pa.int32()), n_p), lists(pa.array(ious), n_p), lists(pa.array(tp), n_p), lists(pa.array(places[missed], pa.int32()), left)
+                _lists(pa.array(np.where(of >= 0, of - first_g, -1), pa.int32()), n_p), _lists(pa.array(ious), n_p), _lists(pa.array(tp), n_p), _lists(pa.array(places[missed], pa.int32()), left)
             ], ["box", "iou", "tp", "missed"]))
         # Levels of an image stand next to each other.
         by_image = pa.concat_arrays(parts).take(pa.array(np.arange(len(levels) * len(n_p)).reshape(len(levels), -1).T.ravel()))
-        return lists(by_image, np.full(len(n_p), len(levels)))
+        return _lists(by_image, np.full(len(n_p), len(levels)))
 
     return match
 
 
-def _by_image(pred: DataFrame, gt: DataFrame, levels: list[float], conf_t: float, order: str, near: bool) -> DataFrame:
-    """image_id, preds, boxes (arrays in order), found (a struct a level): a row an image that has a prediction, of any
-    confidence. One shuffle of either side on image_id."""
+def matches_by_threshold(pred: DataFrame, gt: DataFrame, thresholds: list[float], iou_t: float = 0.5) -> DataFrame:
+    """k, tp: matches of the predictions that reach each threshold, taken in the order of the list (pred_idx), not by
+    confidence. Each threshold is a matching of its own, since what is left out changes what is free; the edges of an image
+    are found once for all."""
+
+    def count(
+        conf: pa.Array, p_class: pa.Array, px1: pa.Array, py1: pa.Array, px2: pa.Array, py2: pa.Array, g_class: pa.Array, gx1: pa.Array, gy1: pa.Array, gx2: pa.Array, gy2: pa.Array
+    ) -> pa.Array:
+        n_p, n_g, (i, j, found) = _batch_edges((p_class, px1, py1, px2, py2, g_class, gx1, gy1, gx2, gy2), iou_t)
+        reached, image = _flat(conf)[i], np.repeat(np.arange(len(n_p)), n_p)
+        counts = np.zeros((len(n_p), len(thresholds)), np.int64)
+        for k, t in enumerate(thresholds):
+            keep = reached >= t
+            _, _, tp = greedy(i[keep], j[keep], found[keep], int(n_p.sum()), int(n_g.sum()), iou_t)
+            counts[:, k] = np.bincount(image[tp], minlength=len(n_p))
+        return _lists(pa.array(counts.ravel()), np.full(len(n_p), len(thresholds)))
+
+    joined = _sides(pred, gt, min(thresholds), "index")
+    tp = joined.select(F.posexplode(F.arrow_udf(count, T.ArrayType(T.LongType()))("preds.conf", *_SIDES)).alias("k", "tp"))
+    return tp.groupBy("k").agg(F.sum("tp").alias("tp"))
+
+
+_SIDES = [f"{side}.{c}" for side in ("preds", "boxes") for c in ("name", *CORNERS)]
+
+
+def _sides(pred: DataFrame, gt: DataFrame, conf_t: float, order: str) -> DataFrame:
+    """image_id, preds, boxes (arrays in order): a row an image that has a prediction, of any confidence. One shuffle of
+    either side on image_id."""
+
     def name(df: DataFrame) -> Column:
         return F.to_json("class_id") if isinstance(df.schema["class_id"].dataType, T.StructType) else F.col("class_id").cast("string")
 
@@ -135,9 +174,12 @@ def _by_image(pred: DataFrame, gt: DataFrame, levels: list[float], conf_t: float
     one = F.struct(first.alias("c"), "pred_idx", "conf", "class_id", name(pred).alias("name"), *corners)
     p = pred.groupBy("image_id").agg(F.array_sort(F.collect_list(F.when(F.col("conf") >= conf_t, one))).alias("preds"))
     g = gt.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_idx", "class_id", name(gt).alias("name"), *corners))).alias("boxes"))
-    match = F.arrow_udf(_matcher(levels, near), _FOUND)
-    sides = [F.col(f"{side}.{c}") for side in ("preds", "boxes") for c in ("name", *CORNERS)]
-    return p.join(g, "image_id", "left").withColumn("found", match(*sides))
+    return p.join(g, "image_id", "left")
+
+
+def _by_image(pred: DataFrame, gt: DataFrame, levels: list[float], conf_t: float, order: str, near: bool) -> DataFrame:
+    """``_sides`` with found, a struct a level (_FOUND)."""
+    return _sides(pred, gt, conf_t, order).withColumn("found", F.arrow_udf(_matcher(levels, near), _FOUND)(*_SIDES))
 
 
 def greedy_match(pred: DataFrame, gt: DataFrame, iou_t: float = 0.5, conf_t: float = 0.0, order: str = "conf", near: bool = False) -> DataFrame:

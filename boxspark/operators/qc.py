@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxspark.functions.geometry import box, iou, may_reach_iou
+from boxspark.operators.stats import percentiles
 
 
 def close_pairs(a: DataFrame, b: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -120,10 +121,9 @@ def duplicate_contents(content: DataFrame, id_col: str, bytes_col: str) -> DataF
 
 
 def resolution_anomalies(images: DataFrame, least_side: int = 32, k: float = 1.5) -> DataFrame:
-    """Images with a short side or an area outside k interquartile ranges (a definition of this library). The
-    quartiles come from counts of the different areas, of which there are few."""
+    """Images with a short side or an area outside k interquartile ranges (a definition of this library)."""
     area = (F.col("width") * F.col("height")).cast("double")
-    q = images.agg(F.percentile(area, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = percentiles(images.select(area.alias("area")), "area", [0.25, 0.75]).withColumnRenamed("cuts", "q")
     span = F.col("q")[1] - F.col("q")[0]
     odd = (F.least("width", "height") < least_side) | (area < F.col("q")[0] - k * span) | (area > F.col("q")[1] + k * span)
     return images.crossJoin(F.broadcast(q)).where(odd).drop("q")  # one row of quartiles

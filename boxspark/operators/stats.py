@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,49 @@ def rolled_up(rows: DataFrame, outer: str, inner: str) -> DataFrame:
     return rows.rollup(outer, inner).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
+def order_statistics(values: DataFrame, column: str, ranks: list[int], bins: int = 1000) -> list[float]:
+    """The values at some ranks (from 0, rising), exactly, without a sort: each round counts the bins of the ranges that hold a
+    rank and goes on in the bins that do, until a bin's values are one. A round is one aggregate that combines before it
+    shuffles and returns at most ``bins`` rows a rank; a range shrinks to a bin's own least and largest value, which differ in
+    bin the next time, so a handful of rounds find any double."""
+    v = values.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    lo, hi, n = v.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+    found: dict[int, float] = {}
+    ranges = {(lo, hi): (0, n)} if n else {}  # (least, largest) -> (rows before, rows)
+    while ranges:
+        wide = {}
+        for (a, b), (before, size) in ranges.items():
+            held = [r for r in ranks if before <= r < before + size]
+            if held and a == b:
+                found |= dict.fromkeys(held, a)
+            elif held:
+                wide[a, b] = before
+        if not wide:
+            break
+        at = F.lit(None).cast("int")
+        place = F.lit(None).cast("int")
+        for k, (a, b) in enumerate(wide):
+            inside, half = F.col("v").between(a, b), 1.0 if math.isfinite(b - a) else 0.5  # ranges are apart
+            share = (F.col("v") * half - a * half) / F.lit(b * half - a * half)
+            at = F.when(inside, F.lit(k)).otherwise(at)
+            place = F.when(inside, F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")).otherwise(place)
+        rows = v.select("v", at.alias("_at"), place.alias("_bin")).where("_at IS NOT NULL").groupBy("_at", "_bin").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+        ranges = {}
+        for k, before in enumerate(wide.values()):
+            for r in sorted((r for r in rows if r["_at"] == k), key=lambda r: r["_bin"]):
+                ranges[r["a"], r["b"]] = (before, r["n"])
+                before += r["n"]
+    return [found[r] for r in ranks] if n else []
+
+
 def percentiles(values: DataFrame, column: str, points: list[float]) -> DataFrame:
-    """One row, an array: linear-interpolated percentiles, from counts of the different values."""
-    return values.agg(F.percentile(column, F.array(*map(F.lit, points))).alias("cuts"))
+    """One row, an array: linear-interpolated percentiles of the values that are not null or NaN (null, without any)."""
+    n = values.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).count()
+    places = [p * (n - 1) for p in points]
+    ranks = sorted({r for at in places for r in (int(at), min(int(at) + 1, n - 1))}) if n else []
+    known = dict(zip(ranks, order_statistics(values, column, ranks)))
+    cuts = [known[int(at)] if at == int(at) else (int(at) + 1 - at) * known[int(at)] + (at - int(at)) * known[int(at) + 1] for at in places] if n else None
+    return values.sparkSession.createDataFrame([(cuts,)], "cuts array<double>")
 
 
 def class_ids(names: DataFrame, name_col: str) -> DataFrame:

@@ -282,3 +282,42 @@ def test_a_box_taken_later_was_free_for_an_earlier_near_miss():
     pred, of, ious = np.array([0, 1, 1, 2]), np.array([0, 0, 1, 1]), np.array([0.9, 0.8, 0.2, 0.9])
     box_of, iou_of, tp = match.greedy(pred, of, ious, 3, 2, 0.5)
     assert box_of.tolist() == [0, 1, 1] and tp.tolist() == [True, False, True] and iou_of.tolist() == [0.9, 0.2, 0.9]
+
+
+def test_percentiles_are_exact(spark):
+    """Against a sort: ties, huge and tiny values next to each other, neighbouring doubles, one value, none."""
+    rng = np.random.default_rng(11)
+    columns = [
+        rng.normal(0, 1, 1000).tolist(), [5.0] * 700 + [1.7e308, -1.7e308, 5e-324, 1e-323, 0.0], [1.0, float(np.nextafter(1, 2)), float(np.nextafter(1, 0))] * 50, [3.5], [1.0, 2.0],
+        rng.integers(0, 4, 500).astype(float).tolist() + [None, float("nan")],
+    ]
+    points = [0.0, 0.25, 0.4, 0.5, 0.8, 0.999, 1.0]
+    for values in columns:
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        plain = [v for v in values if v is not None and v == v]
+        assert stats.percentiles(df, "x", points).first()["cuts"] == pytest.approx(np.quantile(plain, points).tolist(), rel=1e-12)
+    assert stats.percentiles(spark.createDataFrame([], "x double"), "x", points).first()["cuts"] is None
+
+
+def test_list_order_curve_against_a_loop(spark):
+    rng = np.random.default_rng(13)
+    gt = [(i, k, int(rng.integers(0, 2)), *map(float, b)) for i in range(12) for k, b in enumerate(rng.integers(0, 12, (6, 2)))]
+    pred = [(i, k, int(rng.integers(0, 2)), round(float(rng.random()), 2), *map(float, b)) for i in range(12) for k, b in enumerate(rng.integers(0, 12, (8, 2)))]
+    g = spark.createDataFrame([(i, k, c, x, y, x + 10, y + 10) for i, k, c, x, y in gt], "image_id int, box_idx int, class_id int, x1 double, y1 double, x2 double, y2 double")
+    p = spark.createDataFrame([(i, k, c, s, x, y, x + 10, y + 10) for i, k, c, s, x, y in pred], "image_id int, pred_idx int, class_id int, conf double, x1 double, y1 double, x2 double, y2 double")
+    thresholds = [0.0, 0.3, 0.6, 0.95, 1.0]
+    got = {r.k: (r.tp, r.fp, r.fn) for r in evaluate.list_order_curve(p, g, thresholds, 0.4).collect()}
+    for k, t in enumerate(thresholds):
+        tp, made = 0, [q for q in pred if q[3] >= t]
+        taken = set()
+        for i, _, c, _, x, y in made:
+            best, own = 0.0, None
+            for b in gt:
+                if b[0] == i and b[2] == c and b[:2] not in taken:
+                    inter = max(0, 10 - abs(x - b[3])) * max(0, 10 - abs(y - b[4]))
+                    if inter / (200 - inter) > best:
+                        best, own = inter / (200 - inter), b[:2]
+            if best >= 0.4:
+                tp += 1
+                taken.add(own)
+        assert got[k] == (tp, len(made) - tp, len(gt) - tp)
