@@ -57,15 +57,18 @@ def _pairs(spark, d):
     return a.join(b, "image_id").where("i < j")
 
 
-_PAIRS = "FROM gt a JOIN gt b ON a.image_id = b.image_id AND a.box_idx < b.box_idx"
+#: Pairs of an image's boxes out of its list, each later one with each earlier: no join that asks for an order.
+_PB = """lists AS (SELECT image_id, list({'box_idx': box_idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY box_idx) AS bs FROM gt GROUP BY image_id),
+ahead AS (SELECT image_id, bs, unnest(range(1, len(bs))) AS k FROM lists),
+pb AS (SELECT image_id, bs[k] AS a, unnest(bs[k + 1 :]) AS b FROM ahead)"""
 
 
-@query(with_sql(f"SELECT a.image_id, a.box_idx AS i, b.box_idx AS j, {sql_iou('a', 'b')} AS iou {_PAIRS}"))
+@query(with_sql(f"SELECT image_id, a.box_idx AS i, b.box_idx AS j, {sql_iou('a', 'b')} AS iou FROM pb", _PB))
 def g6_iou(spark, d):
     return _pairs(spark, d).select("image_id", "i", "j", g.iou(g.box("a_"), g.box("b_")).alias("iou"))
 
 
-@query(with_sql(f"SELECT a.image_id, a.box_idx AS i, b.box_idx AS j, 1.0::DOUBLE - {sql_iou('a', 'b')} AS distance {_PAIRS}"))
+@query(with_sql(f"SELECT image_id, a.box_idx AS i, b.box_idx AS j, 1.0::DOUBLE - {sql_iou('a', 'b')} AS distance FROM pb", _PB))
 def g7_iou_distance(spark, d):
     return _pairs(spark, d).select("image_id", "i", "j", g.iou_distance(g.box("a_"), g.box("b_")).alias("distance"))
 
@@ -73,7 +76,7 @@ def g7_iou_distance(spark, d):
 _INTER = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)"
 
 
-@query(with_sql(f"SELECT a.image_id, a.box_idx AS i, b.box_idx AS j, CASE WHEN {_INTER} > 0 THEN ({_INTER}) / least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) ELSE 0.0 END AS overlap {_PAIRS}"))
+@query(with_sql(f"SELECT image_id, a.box_idx AS i, b.box_idx AS j, CASE WHEN {_INTER} > 0 THEN ({_INTER}) / least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) ELSE 0.0 END AS overlap FROM pb", _PB))
 def g8_overlap_of_smaller(spark, d):
     return _pairs(spark, d).select("image_id", "i", "j", g.overlap_of_smaller(g.box("a_"), g.box("b_")).alias("overlap"))
 
@@ -144,7 +147,7 @@ def g18_single_class(spark, d):
     return fx.ground_truth(spark, d).withColumn("class_id", F.lit(0)).select("image_id", "box_idx", "class_id")
 
 
-_DUP = f"dup AS (SELECT a.image_id, a.box_idx AS i, b.box_idx AS j, {sql_iou('a', 'b')} AS iou {_PAIRS} AND {sql_iou('a', 'b')} >= 0.8), dupbox AS (SELECT image_id, i AS box_idx FROM dup UNION SELECT image_id, j FROM dup)"
+_DUP = f"{_PB}, dup AS (SELECT image_id, a.box_idx AS i, b.box_idx AS j, {sql_iou('a', 'b')} AS iou FROM pb WHERE {sql_iou('a', 'b')} >= 0.8), dupbox AS (SELECT image_id, i AS box_idx FROM dup UNION SELECT image_id, j FROM dup)"
 _TINY = _DUP + ", sized AS (SELECT g.*, width, height, (x2 - x1) * (y2 - y1) AS area FROM gt g JOIN images USING (image_id)), tiny AS (SELECT image_id, box_idx, area FROM sized s WHERE (area < 100 OR area / (width * height) < 0.001) AND NOT EXISTS (SELECT 1 FROM dupbox b WHERE b.image_id = s.image_id AND b.box_idx = s.box_idx)), big AS (SELECT image_id, box_idx, area FROM sized WHERE area / (width * height) > 0.9)"
 
 
