@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,22 +109,33 @@ def auc_pr(curve: DataFrame) -> DataFrame:
     return curve.select(step.alias("s")).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("auc"))
 
 
+def carried(rows: DataFrame, keys: list[str], by: str, falling: bool, columns: dict[str, Callable], bins: int = 4096) -> DataFrame:
+    """``rows`` with each of ``columns`` replaced by its running sum or maximum over the rows of equal keys up to it, by
+    ``by``. ``by`` is cut into steps of 1 / ``bins``: a step runs alone, and one row a step carries what lies before it."""
+    order = F.desc if falling else F.asc
+    stepped = rows.withColumn("_step", F.floor(F.col(by) * bins))
+    each = stepped.groupBy(*keys, "_step").agg(*(f(c).alias(c) for c, f in columns.items()))
+    before = Window.partitionBy(*keys).orderBy(order("_step")).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(*keys, "_step", *(f(c).over(before).alias(f"_before_{c}") for c, f in columns.items()))
+    inside = Window.partitionBy(*keys, "_step").orderBy(order(by)).rowsBetween(Window.unboundedPreceding, 0)
+    run = stepped.withColumns({c: f(c).over(inside) for c, f in columns.items()}).join(each, [*keys, "_step"])
+    both = {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.max: lambda a, b: F.greatest(a, b)}
+    return run.withColumns({c: both[f](F.col(c), F.col(f"_before_{c}")) for c, f in columns.items()}).drop("_step", *(f"_before_{c}" for c in columns))
+
+
 def average_precision(pred: DataFrame, gt: DataFrame, levels: list[float] | None = None) -> DataFrame:
     """class_id, level, ap: 101-point interpolated average precision of every class that has a box.
 
-    Predictions are counted by (class, level, confidence) first, so the windows run over different confidences, not
-    predictions; equal confidences enter together."""
+    Predictions are counted by (class, level, confidence) first, so equal confidences enter together. Running sums and maxima
+    are taken in bins of confidence and carried from bin to bin (``carried``), so a class is not one task's."""
     levels = levels or LEVELS
     matched = match_levels(pred, gt, levels)
     per_conf = pred.groupBy("class_id", "conf").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     hits = matched.join(pred.select("image_id", "pred_idx", "conf"), ["image_id", "pred_idx"]).groupBy("class_id", "level", "conf").agg(F.count(F.lit(1)).alias("tp"))
     boxes = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("boxes"))
-    down = Window.partitionBy("class_id", "level").orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy("class_id", "level").orderBy("conf").rowsBetween(Window.unboundedPreceding, 0)
-    points = per_conf.join(hits, ["class_id", "level", "conf"], "left").join(F.broadcast(boxes), "class_id").select(
-        "class_id", "level", "conf", "boxes", F.sum("n").over(down).alias("n"), F.sum(F.coalesce("tp", F.lit(0))).over(down).alias("tp")
-    )
-    envelope = points.select("class_id", "level", (F.col("tp") / F.col("boxes")).alias("recall"), F.max(F.col("tp") / F.col("n")).over(up).alias("best"), "tp", "boxes")
+    points = per_conf.join(hits, ["class_id", "level", "conf"], "left").join(F.broadcast(boxes), "class_id").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    points = carried(points, ["class_id", "level"], "conf", True, {"n": F.sum, "tp": F.sum}).withColumn("best", F.col("tp") / F.col("n"))
+    envelope = carried(points, ["class_id", "level"], "conf", False, {"best": F.max})
     # A recall point k / 100 takes the envelope of the first point at or past it: points share out 0..100 among them.
     reach = F.expr("(tp * 100) div boxes")
     shares = envelope.groupBy("class_id", "level", "tp", "boxes").agg(F.max("best").alias("best"))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from boxspark.operators import anchors, errors, evaluate, fuse, match, qc, responses, stats, tuning
 from boxspark.operators.convert import merged_vocabulary
@@ -321,3 +322,14 @@ def test_list_order_curve_against_a_loop(spark):
                 tp += 1
                 taken.add(own)
         assert got[k] == (tp, len(made) - tp, len(gt) - tp)
+
+
+def test_running_values_are_carried_over_steps(spark):
+    rng = np.random.default_rng(17)
+    rows = [(int(k), float(c), int(n), float(b)) for k, c, n, b in zip(rng.integers(0, 3, 200), rng.permutation(200) / 150 - 0.2, rng.integers(0, 9, 200), rng.random(200))]
+    df = spark.createDataFrame(rows, "k int, conf double, n bigint, best double")
+    for bins in (1, 7, 4096):
+        down = {(r.k, r.conf): r.n for r in evaluate.carried(df, ["k"], "conf", True, {"n": F.sum}, bins).collect()}
+        up = {(r.k, r.conf): r.best for r in evaluate.carried(df, ["k"], "conf", False, {"best": F.max}, bins).collect()}
+        assert down == {(k, c): sum(m for o, d, m, _ in rows if o == k and d >= c) for k, c, _, _ in rows}
+        assert up == {(k, c): max(x for o, d, _, x in rows if o == k and d <= c) for k, c, _, _ in rows}
