@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -563,3 +564,29 @@ def test_exact_dedup_of_a_hot_text(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same  text").when(F.col("id") % 3 == 1, "the same\ttext").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
     got = exact_dedup.exact_groups(rows, salts=5).groupBy("group_size").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()
     assert sorted(map(tuple, got)) == [(1, 1333, 1333), (2667, 2667, 1)]
+
+
+def test_many_rows_of_one_id_and_text(spark):
+    """Rows that share a null id and a long text lose all of it, each once; work grows with the rows."""
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("abcdefgh "), 3000))
+    rows = [(None, text)] * 400 + [(1, text[:250] + "x"), (None, "short"), (None, "short")]
+    got = suffix_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in got) == sorted([(3000, 3000, 1)] * 400 + [(251, 250, 1), (5, 0, 0), (5, 0, 0)])
+
+
+@pytest.mark.parametrize("table, most_off", [("sf0.01", 0.01), ("sf0.1", 0.002)])
+def test_mixed_documents_meet_the_targets_of_real_tables(spark, table, most_off):
+    """Every source's words in the stage's result against its target, and against the words that the mix took: of those, off by
+    a few words."""
+    path = f"/root/testdata/{table}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path)
+    mix, _, _ = mixing.mix(docs)
+    aims = mix.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"))
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    rows = mixing.mixed_documents(docs).groupBy("source").agg(F.sum(words).alias("words")).join(aims, "source", "right").collect()
+    assert len(rows) >= 20
+    for r in rows:
+        assert abs(r["words"] - r["target"]) <= most_off * r["target"] and abs(r["words"] - r["taken"]) <= 30
