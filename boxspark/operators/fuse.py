@@ -13,46 +13,77 @@ from pyspark.sql import types as T
 from boxspark.functions.geometry import box, iou, unproject
 
 
-def fuse_group(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> list[tuple[float, ...]]:
-    """(score, x1, y1, x2, y2, members) of clusters, boxes given by falling score: a box joins the first cluster that
-    has a member of enough overlap. Coordinates are score-weighted means, the score is sum(s^2) / sum(s)."""
-    clusters: list[list[int]] = []
-    for k, b in enumerate(boxes):
-        for c in clusters:
-            o = boxes[c]
-            inter = np.maximum(np.minimum(o[:, 2], b[2]) - np.maximum(o[:, 0], b[0]), 0) * np.maximum(np.minimum(o[:, 3], b[3]) - np.maximum(o[:, 1], b[1]), 0)
-            union = (o[:, 2] - o[:, 0]) * (o[:, 3] - o[:, 1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-            if (np.where(union > 0, inter / np.where(union > 0, union, 1), 0) >= threshold).any():
-                c.append(k)
-                break
-        else:
-            clusters.append([k])
-    out = []
-    for c in clusters:
-        s = scores[c]
-        total = s.sum()
-        mean = (boxes[c] * s[:, None]).sum(axis=0) / total if total > 0 else boxes[c].mean(axis=0)
-        out.append((float((s * s).sum() / total) if total > 0 else 0.0, *map(float, mean), len(c)))
-    return out
+CORNERS = ("x1", "y1", "x2", "y2")
+#: Cells of a table of groups by members that is worked on at a time.
+CELLS = 1_000_000
+
+
+def _joined(boxes: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """The cluster of each box of padded groups (groups, members, 4): a box joins the first cluster that has an earlier member
+    of enough overlap, else it opens one. All groups take a step together, a step a place."""
+    groups, most = boxes.shape[:2]
+    area = (boxes[:, :, 2] - boxes[:, :, 0]) * (boxes[:, :, 3] - boxes[:, :, 1])
+    cluster, opened = np.full((groups, most), -1, np.int64), np.zeros(groups, np.int64)
+    for k in range(most):
+        earlier, own = boxes[:, :k], boxes[:, k, None]
+        wide, high = (np.maximum(np.minimum(earlier[:, :, c + 2], own[:, :, c + 2]) - np.maximum(earlier[:, :, c], own[:, :, c]), 0) for c in (0, 1))
+        inter = wide * high
+        union = area[:, :k] + area[:, k, None] - inter
+        near = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0) >= threshold
+        first = np.where(near, cluster[:, :k], most).min(axis=1, initial=most)
+        cluster[:, k] = np.where(first < most, first, opened)
+        opened += (first == most) & (sizes > k)
+    return cluster
+
+
+def fuse_groups(boxes: np.ndarray, scores: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """(group, cluster, score, corners, members) of the clusters of many groups, given one after the other, boxes by falling
+    score. Coordinates are score-weighted means (plain ones where all scores are 0), the score is sum(s^2) / sum(s). Groups of
+    about one size are worked on together, so padding costs little."""
+    starts = np.cumsum(sizes) - sizes
+    cluster = np.zeros(len(boxes), np.int64)
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    at = 0
+    while at < len(order):
+        least = int(sizes[order[at]])
+        to = int(np.searchsorted(sizes[order], 2 * least, "left"))
+        to = min(to, at + max(1, CELLS // (2 * least)))
+        some = order[at:to]
+        place = np.arange(int(sizes[some].max()))
+        held = place[None] < sizes[some][:, None]
+        rows = np.where(held, starts[some][:, None] + place[None], 0)
+        padded = np.where(held[:, :, None], boxes[rows], 0.0)
+        cluster[rows[held]] = _joined(padded, sizes[some], threshold)[held]
+        at = to
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    _, first, one = np.unique(group * (int(sizes.max(initial=0)) + 1) + cluster, return_index=True, return_inverse=True)
+    total, squares, members = np.bincount(one, scores), np.bincount(one, scores * scores), np.bincount(one)
+    some = total > 0
+    weights = np.where(some[one], scores, 1.0)
+    corners = [np.bincount(one, boxes[:, c] * weights) / np.where(some, total, members) for c in range(4)]
+    return group[first], cluster[first], np.where(some, squares / np.where(some, total, 1), 0.0), corners, members
 
 
 def wbf(dets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """image_id, class_id, fused_idx, score, x1, y1, x2, y2, members of detections (image_id, class_id, det_idx, score,
-    corners). A group is one image's views of one class; groups travel as arrays, many to a batch."""
-    item = F.struct((-F.col("score")).alias("s"), "det_idx", "x1", "y1", "x2", "y2")
+    corners). A group is one image's views of one class; groups travel as arrays, and those of a batch are fused together."""
+    item = F.struct((-F.col("score")).cast("double").alias("s"), "det_idx", *(F.col(c).cast("double").alias(c) for c in CORNERS))
     groups = dets.groupBy("image_id", "class_id").agg(F.array_sort(F.collect_list(item)).alias("dets"))
+    groups = groups.select("image_id", "class_id", *(F.col(f"dets.{c}").alias(c) for c in ("s", *CORNERS)))
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for image, kind, own in zip(*(batch.column(c).to_pylist() for c in ("image_id", "class_id", "dets"))):
-                boxes = np.array([[d[c] for c in ("x1", "y1", "x2", "y2")] for d in own], float)
-                rows += [(image, kind, i, *f) for i, f in enumerate(fuse_group(boxes, np.array([-d["s"] for d in own]), threshold))]
-            names = ["image_id", "class_id", "fused_idx", "score", "x1", "y1", "x2", "y2", "members"]
-            kinds = [batch.schema.field("image_id").type, batch.schema.field("class_id").type, pa.int32(), *[pa.float64()] * 5, pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-    doubles = [T.StructField(c, T.DoubleType()) for c in ("score", "x1", "y1", "x2", "y2")]
+            if not batch.num_rows:
+                continue
+            values = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("s", *CORNERS)}
+            sizes = batch.column("s").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            group, cluster, score, corners, members = fuse_groups(np.column_stack([values[c] for c in CORNERS]), -values["s"], sizes, threshold)
+            own = [batch.column(c).take(pa.array(group)) for c in ("image_id", "class_id")]
+            made = [pa.array(cluster, pa.int32()), pa.array(score), *(pa.array(c) for c in corners), pa.array(members, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*own, *made], ["image_id", "class_id", "fused_idx", "score", *CORNERS, "members"])
+
+    doubles = [T.StructField(c, T.DoubleType()) for c in ("score", *CORNERS)]
     schema = T.StructType([dets.schema["image_id"], dets.schema["class_id"], T.StructField("fused_idx", T.IntegerType()), *doubles, T.StructField("members", T.IntegerType())])
     return groups.mapInArrow(fuse, schema)
 

@@ -333,3 +333,15 @@ def test_running_values_are_carried_over_steps(spark):
         up = {(r.k, r.conf): r.best for r in evaluate.carried(df, ["k"], "conf", False, {"best": F.max}, bins).collect()}
         assert down == {(k, c): sum(m for o, d, m, _ in rows if o == k and d >= c) for k, c, _, _ in rows}
         assert up == {(k, c): max(x for o, d, _, x in rows if o == k and d <= c) for k, c, _, _ in rows}
+
+
+def test_fusion_does_not_depend_on_how_groups_are_taken_together(monkeypatch):
+    rng = np.random.default_rng(19)
+    sizes = np.array([0, 3, 40, 1, 0, 7, 7, 90, 2])
+    low = rng.integers(0, 12, (sizes.sum(), 2)).astype(float)
+    boxes, scores = np.concatenate([low, low + rng.integers(1, 8, low.shape)], axis=1), rng.random(len(low))
+    scores[:3] = 0.0
+    whole = fuse.fuse_groups(boxes, scores, sizes, 0.4)
+    monkeypatch.setattr(fuse, "CELLS", 5)
+    apart = fuse.fuse_groups(boxes, scores, sizes, 0.4)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, apart)) and whole[4].sum() == sizes.sum() and (np.diff(whole[0]) >= 0).all()
