@@ -32,13 +32,15 @@ from boxspark.llm.common import slices, stage, with_facts
 ENDS = ".,;:!?\x0a\x0b\x0c\x0d"
 #: One pass over a text's bytes: A-Z in lower case, every end a newline, tabs as spaces.
 PLAIN = bytes.maketrans((string.ascii_uppercase + ENDS + "\t").encode(), (string.ascii_lowercase + "\n" * len(ENDS) + " ").encode())
+#: Characters that no word has: A-Z, which are lowered, and ends of pieces.
+FREE = string.ascii_uppercase + ".,;:!?"
 WIDE = "decimal(38,0)"
 #: The sample that the code book is made of, and what stands before a word that looks like a code or begins with the mark.
 BOOK_TEXTS, BOOK_CHARACTERS, BOOK_WORDS, MARK = 2_000, 5_000, 60_000, b"\x7f"
 #: A word of this share of the sample is very frequent; parts that a prefix of such words is dealt to.
 HOT_SHARE, HOT_PARTS = 0.001, 64
 #: Different windows that a task holds before it puts out their counts.
-HELD = 1_800_000
+HELD = 1_000_000
 
 
 def tokens(text: bytes, pads: int) -> list[bytes]:
@@ -47,7 +49,11 @@ def tokens(text: bytes, pads: int) -> list[bytes]:
 
 
 def character(i: int) -> str:
-    """The i-th code: one character from U+0080 on, of two bytes for the first 1,920, without the surrogates."""
+    """The i-th code, one character: first those that no word has, of one byte; then from U+0080 on, of two bytes for the first
+    1,920, without the surrogates."""
+    if i < len(FREE):
+        return FREE[i]
+    i -= len(FREE)
     return chr(i + 0x80 if i < 0xD800 - 0x80 else i + 0x880)
 
 
@@ -114,7 +120,8 @@ def windows(texts: DataFrame, longest: int, book: Book) -> DataFrame:
     found = texts.select("_lang", F.col("_text").cast("binary").alias("_bytes")).mapInArrow(run, "_window string, _lang string, n bigint")
     prefix, last = F.substring_index("_window", " ", longest - 1), F.substring_index("_window", " ", -1)
     # Codes are one character each, the most frequent words' first: a prefix of such words alone is short and low.
-    low = [F.ascii(F.substring("_prefix", 2 * k + 1, 1)).between(0x80, ord(book.hot) - 1) for k in range(longest - 1)]
+    letters = [F.substring("_prefix", 2 * k + 1, 1) for k in range(longest - 1)]
+    low = [(F.position(x, F.lit(FREE)) > 0) | F.ascii(x).between(0x80, max(ord(book.hot), 0x80) - 1) for x in letters]
     hot = reduce(Column.__and__, low, F.length("_prefix") == 2 * longest - 3)
     part = F.pmod(F.xxhash64("_last"), F.lit(HOT_PARTS)).cast("string")
     found = found.select(prefix.alias("_prefix"), last.alias("_last"), "_lang", "n")
@@ -129,14 +136,15 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
     book = code_book(texts)
     dealt = windows(texts, longest, book).repartition("_prefix")
     # Both parts read this one shuffle: neither filters nor drops a column before it, so its two uses are the same plan.
-    held = F.split("_prefix", "\n", 2)
-    words = F.split(held[0], " ")
+    words = F.substring_index("_prefix", "\n", 1)
+    lang = F.expr("substring(_prefix, length(substring_index(_prefix, '\n', 1)) + 2)")
+    word = [F.substring_index(F.substring_index(words, " ", k), " ", -1) for k in range(1, longest)]
     top = dealt.groupBy("_prefix", "_last").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = top.select(held[1].alias("lang"), F.concat(F.slice(words, 1, longest - 1), F.array("_last")).alias("words"), "n")
+    top = top.select(lang.alias("lang"), F.array(*word, "_last").alias("words"), "n")
     # A prefix that is whole here and rare is of no use itself, only its words are; its last column becomes null.
-    sums = dealt.groupBy("_prefix").agg(F.sum("n").alias("n"), F.count("_last").alias("_windows")).where("_windows > 0").select(held[1].alias("lang"), words.alias("_w"), (F.size(words) == longest).alias("_part"), "n")
-    kept = F.col("_part") | (F.col("n") >= least)
-    counted = sums.select("lang", *(F.when(kept if k == longest - 2 else F.lit(True), F.get("_w", F.lit(k))).alias(names[k]) for k in range(longest - 1)), "n")
+    sums = dealt.groupBy("_prefix").agg(F.sum("n").alias("n"), F.count("_last").alias("_windows")).where("_windows > 0")
+    kept = (F.substring_index(words, " ", longest - 1) != words) | (F.col("n") >= least)
+    counted = sums.select(lang.alias("lang"), *(F.when(kept if k == longest - 2 else F.lit(True), w).alias(names[k]) for k, w in enumerate(word)), "n")
     prefixes = docs.sparkSession.sql(
         f"SELECT lang, array({', '.join(names)}) AS words, sum(n) AS n, grouping_id() AS short FROM {{counted}} GROUP BY lang, ROLLUP ({', '.join(names)}) HAVING sum(n) >= {int(least)}",
         counted=counted,
