@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxspark.sources.staged import stage
+
 
 def dataset_stats(labels: DataFrame, images: DataFrame) -> DataFrame:
     """One row: images, boxes, mean, least and most of w and h, mean area."""
@@ -73,8 +75,11 @@ def order_statistics(values: DataFrame, column: str, ranks: list[int], bins: int
 
 
 def percentiles(values: DataFrame, column: str, points: list[float]) -> DataFrame:
-    """One row, an array: linear-interpolated percentiles of the values that are not null or NaN (null, without any)."""
-    n = values.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).count()
+    """One row, an array: linear-interpolated percentiles of the values that are not null or NaN (null, without any). The
+    values are made once and staged, eight bytes a row at most."""
+    v = F.col(column).cast("double")
+    values = stage(values.where(v.isNotNull() & ~F.isnan(v)).select(v.alias(column)), "percentiles")  # every round reads this, not what made it
+    n = values.count()
     places = [p * (n - 1) for p in points]
     ranks = sorted({r for at in places for r in (int(at), min(int(at) + 1, n - 1))}) if n else []
     known = dict(zip(ranks, order_statistics(values, column, ranks)))

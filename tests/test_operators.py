@@ -358,3 +358,17 @@ def test_fusion_does_not_depend_on_how_groups_are_taken_together(monkeypatch):
     monkeypatch.setattr(fuse, "CELLS", 5)
     apart = fuse.fuse_groups(boxes, scores, sizes, 0.4)
     assert all(np.array_equal(a, b) for a, b in zip(whole, apart)) and whole[4].sum() == sizes.sum() and (np.diff(whole[0]) >= 0).all()
+
+
+def test_percentiles_make_their_values_once(spark):
+    """However many rounds they take: what a round reads is staged."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    df = spark.range(5_000).selectExpr("id * id * 1.0D AS x").mapInPandas(made, "x double")
+    cuts = stats.percentiles(df, "x", [0.0, 0.4, 1.0]).first()["cuts"]
+    assert cuts == pytest.approx(np.quantile(np.arange(5_000.0) ** 2, [0.0, 0.4, 1.0]).tolist()) and seen.value == 5_000
