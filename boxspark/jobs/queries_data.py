@@ -9,6 +9,7 @@ from boxspark.jobs.fixtures import ANCHORS, with_sql
 from boxspark.jobs.registry import query
 from boxspark.operators import anchors, augment, pixels, responses, stats, tuning
 from boxspark.sources.annotations import exploded_predictions
+from boxspark.sources.staged import stage
 
 
 @query(with_sql("SELECT image_id, pred_idx::INT AS pred_idx, (CASE WHEN pred_idx % 2 = 0 THEN class_id ELSE 0 END)::INT AS class_id, conf, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM pred"))
@@ -192,7 +193,8 @@ def j10_nearest_anchor(spark, d):
 
 @query(with_sql("SELECT s.scale, count(*) AS n FROM (SELECT w * h AS area FROM lab) l JOIN (SELECT unnest(['P3', 'P4', 'P5']) AS scale, unnest(q[1:3]) AS lo, unnest(q[2:4]) AS hi FROM (SELECT quantile_cont(w * h, [0.0, 0.4, 0.8, 1.0]) AS q FROM lab)) s ON area BETWEEN lo AND hi GROUP BY 1"))
 def n1_scale_assignment(spark, d):
-    return anchors.scale_assignment(fx.labels(spark, d)).groupBy("scale").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stage(fx.labels(spark, d).select("w", "h"), "sizes")
+    return anchors.scale_assignment(sizes).groupBy("scale").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(with_sql("SELECT anchor AS k, count(*) AS n, round(avg(cx), 6) AS cx, round(avg(cy), 6) AS cy, round(avg(w), 6) AS w, round(avg(h), 6) AS h, round(avg(best_iou), 6) AS avg_iou FROM nearest GROUP BY 1", _NEAR))
