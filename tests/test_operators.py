@@ -372,3 +372,16 @@ def test_percentiles_make_their_values_once(spark):
     df = spark.range(5_000).selectExpr("id * id * 1.0D AS x").mapInPandas(made, "x double")
     cuts = stats.percentiles(df, "x", [0.0, 0.4, 1.0]).first()["cuts"]
     assert cuts == pytest.approx(np.quantile(np.arange(5_000.0) ** 2, [0.0, 0.4, 1.0]).tolist()) and seen.value == 5_000
+
+
+def test_silhouettes_do_not_copy_boxes_for_their_pairs(spark):
+    """Fifty tiles shuffle about as much as one: the right side is read again, not dealt a copy a pair."""
+    rng = np.random.default_rng(3)
+    boxes = [tuple(map(float, rng.uniform(0.1, 0.6, 4))) for _ in range(1_000)]
+    df = spark.createDataFrame(boxes, "cx double, cy double, w double, h double")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    marks, found = [written()], []
+    for block in (1_000, 20):
+        found.append(anchors.silhouette(df, boxes[:4], block=block))
+        marks.append(written())
+    assert found[0] == pytest.approx(found[1], abs=1e-9) and 0 < marks[2] - marks[1] < 4 * (marks[1] - marks[0])
