@@ -1,12 +1,14 @@
 """Fusion, anchors, splits, responses and tuning on small inputs."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from boxspark.operators import anchors, errors, evaluate, fuse, match, qc, responses, stats, tuning
+from boxspark.jobs import fixtures
+from boxspark.operators import anchors, convert, errors, evaluate, fuse, match, qc, responses, stats, tuning
 from boxspark.operators.convert import merged_vocabulary
 
 DETS = "image_id int, class_id int, det_idx int, score double, x1 double, y1 double, x2 double, y2 double"
@@ -385,3 +387,16 @@ def test_silhouettes_do_not_copy_boxes_for_their_pairs(spark):
         found.append(anchors.silhouette(df, boxes[:4], block=block))
         marks.append(written())
     assert found[0] == pytest.approx(found[1], abs=1e-9) and 0 < marks[2] - marks[1] < 4 * (marks[1] - marks[0])
+
+
+def plan_of(df):
+    """The plan as text, before adaptive execution adds to it."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fixture_rows_are_sorted_and_shuffled_once(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    for made in (fixtures.ground_truth, fixtures.predictions):
+        plan = plan_of(made(spark, "/root/testdata/sf0.001"))
+        assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1 and "l_shipdate" not in plan
