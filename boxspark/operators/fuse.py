@@ -88,11 +88,17 @@ def wbf(dets: DataFrame, threshold: float = 0.5) -> DataFrame:
     return groups.mapInArrow(fuse, schema)
 
 
+def back_projected(views: DataFrame, images: DataFrame) -> DataFrame:
+    """Detections of views (corners, scale, flipped) with their corners on the image. The few images of a task are hashed, so
+    the many views need no sort to find theirs."""
+    sized = views.join(images.select("image_id", F.col("width").alias("_width")).hint("shuffle_hash"), "image_id")
+    b = unproject(box(), F.col("scale"), F.col("flipped"), F.col("_width"))
+    return sized.withColumns({"x1": b.x1, "y1": b.y1, "x2": b.x2, "y2": b.y2}).drop("_width")
+
+
 def tta_fuse(views: DataFrame, images: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Detections of scaled and mirrored views, on the image and fused."""
-    sized = views.join(images.select("image_id", "width"), "image_id")
-    b = unproject(box(), F.col("scale"), F.col("flipped"), F.col("width"))
-    return wbf(sized.select("image_id", "class_id", F.col("det_idx"), "score", b.x1.alias("x1"), b.y1.alias("y1"), b.x2.alias("x2"), b.y2.alias("y2")), threshold)
+    return wbf(back_projected(views, images).select("image_id", "class_id", "det_idx", "score", *CORNERS), threshold)
 
 
 def nms(pred: DataFrame, iou_t: float = 0.5) -> DataFrame:

@@ -400,3 +400,11 @@ def test_fixture_rows_are_sorted_and_shuffled_once(spark):
     for made in (fixtures.ground_truth, fixtures.predictions):
         plan = plan_of(made(spark, "/root/testdata/sf0.001"))
         assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1 and "l_shipdate" not in plan
+
+
+def test_views_find_their_images_without_a_sort(spark):
+    views = spark.createDataFrame([(1, 0, 7, 0.5, 2.0, True, 10.0, 20.0, 30.0, 40.0), (1, 0, 8, 0.5, 2.0, False, 10.0, 20.0, 30.0, 40.0)], "image_id bigint, class_id bigint, det_idx bigint, score double, scale double, flipped boolean, x1 double, y1 double, x2 double, y2 double")
+    images = spark.createDataFrame([(1, 100)], "image_id bigint, width bigint")
+    found = fuse.back_projected(views, images)
+    assert {r.det_idx: (r.x1, r.y1, r.x2, r.y2) for r in found.collect()} == {7: (85.0, 10.0, 95.0, 20.0), 8: (5.0, 10.0, 15.0, 20.0)}
+    assert "Sort [" not in plan_of(found)
