@@ -42,8 +42,8 @@ def relabelled(labels: DataFrame, vocabulary: DataFrame, source: str) -> DataFra
 
 
 def image_differences(labels: DataFrame, images: DataFrame) -> DataFrame:
-    """image_id, issue of images without labels and labels without image."""
-    a, b = images.select("image_id").distinct(), labels.select("image_id").distinct()
-    return a.join(b, "image_id", "left_anti").select("image_id", F.lit("label_file_missing").alias("issue")).unionByName(
-        b.join(a, "image_id", "left_anti").select("image_id", F.lit("no_image_found").alias("issue"))
-    )
+    """image_id, issue of images without labels and labels without image. Ids of either side are grouped once, without a join."""
+    both = images.select("image_id", F.lit(True).alias("image")).unionByName(labels.select("image_id", F.lit(False).alias("image")))
+    sides = both.groupBy("image_id").agg(F.max("image").alias("image"), F.max(~F.col("image")).alias("label"))
+    lone = lambda own, other, issue: F.when(F.col(own) & (~F.col(other) | F.col("image_id").isNull()), issue)  # noqa: E731  (a null id equals none)
+    return sides.select("image_id", F.explode(F.array_compact(F.array(lone("image", "label", "label_file_missing"), lone("label", "image", "no_image_found")))).alias("issue"))

@@ -402,6 +402,15 @@ def test_fixture_rows_are_sorted_and_shuffled_once(spark):
         assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1 and "l_shipdate" not in plan
 
 
+def test_image_differences_group_once_and_keep_null_ids(spark):
+    images = spark.createDataFrame([(1,), (2,), (2,), (None,)], "image_id bigint")
+    labels = spark.createDataFrame([(2,), (3,), (3,), (None,)], "image_id bigint")
+    found = convert.image_differences(labels, images)
+    rows = sorted((r.image_id or 0, r.issue) for r in found.collect())
+    assert rows == [(0, "label_file_missing"), (0, "no_image_found"), (1, "label_file_missing"), (3, "no_image_found")]
+    assert "Join" not in plan_of(found)
+
+
 def test_views_find_their_images_without_a_sort(spark):
     views = spark.createDataFrame([(1, 0, 7, 0.5, 2.0, True, 10.0, 20.0, 30.0, 40.0), (1, 0, 8, 0.5, 2.0, False, 10.0, 20.0, 30.0, 40.0)], "image_id bigint, class_id bigint, det_idx bigint, score double, scale double, flipped boolean, x1 double, y1 double, x2 double, y2 double")
     images = spark.createDataFrame([(1, 100)], "image_id bigint, width bigint")
