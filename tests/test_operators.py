@@ -417,3 +417,18 @@ def test_views_find_their_images_without_a_sort(spark):
     found = fuse.back_projected(views, images)
     assert {r.det_idx: (r.x1, r.y1, r.x2, r.y2) for r in found.collect()} == {7: (85.0, 10.0, 95.0, 20.0), 8: (5.0, 10.0, 15.0, 20.0)}
     assert "Sort [" not in plan_of(found)
+
+
+@pytest.mark.parametrize("crowd", [1, 5, 64])
+def test_duplicate_pairs_are_those_of_brute_force_for_little_and_crowded_images(spark, monkeypatch, crowd):
+    monkeypatch.setattr(qc, "CROWD", crowd)
+    boxes = [(image, k, 10 * (k % 3), 5, 10 * (k % 3) + 50 + k % 2, 60) for image, n in ((1, 4), (2, 5), (3, 9), (4, 1)) for k in range(n)]
+    gt = spark.createDataFrame(boxes, "image_id bigint, box_idx bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
+
+    def overlap(a, b):
+        inter = max(min(a[4], b[4]) - max(a[2], b[2]), 0) * max(min(a[5], b[5]) - max(a[3], b[3]), 0)
+        return inter / ((a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - inter)
+
+    want = sorted((a[0], a[1], b[1]) for a in boxes for b in boxes if a[0] == b[0] and a[1] < b[1] and overlap(a, b) >= 0.8)
+    found = qc.duplicate_pairs(gt)
+    assert sorted((r.image_id, r.i, r.j) for r in found.collect()) == want and want
