@@ -269,8 +269,7 @@ def m4_variant_plan(spark, d):
 
 @query(with_sql("SELECT image_id, max(CASE WHEN score <= 0.5 THEN 1 WHEN score < 0.7 THEN 2 WHEN score < 0.9 THEN 3 ELSE 5 END)::BIGINT AS copies, max(score) AS score, count(*) AS n FROM cases GROUP BY 1", _TWO + _CASES, True))
 def m5_strategies(spark, d):
-    cases = _cases(spark, d)
-    return errors.oversampled(cases).join(errors.ranked(cases), "image_id")
+    return errors.strategies(_cases(spark, d))
 
 
 @query(with_sql("SELECT image_id, max(copies)::BIGINT AS copies FROM g JOIN (SELECT class_id, ceil(goal / n) AS copies FROM (SELECT class_id, count(*) AS n, max(count(*)) OVER () * 0.5 AS goal FROM g GROUP BY 1) WHERE n < goal) USING (class_id) GROUP BY 1", "g AS (SELECT * FROM gt WHERE class_id <> 2 OR image_id % 4 = 0)"))

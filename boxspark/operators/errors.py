@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxspark.functions.geometry import area_ratio, box, hardness, oversample_ratio, variant_count
@@ -96,14 +96,20 @@ _VARIANTS = {
 def variant_plan(cases: DataFrame, features: DataFrame, blur_below: float = 100.0, most: int = 4) -> DataFrame:
     """image_id, error_type, variant: the first variants of each kind, as many as the hardest case calls for. The
     blurred variant is for images that are blurred already."""
-    hardest = cases.groupBy("image_id", "error_type").agg(F.max("score").alias("score")).join(features, "image_id", "left")
     blurred = F.coalesce(F.col("lap_var") < blur_below, F.lit(False))
-    arrays = F.lit(None).cast("array<string>")
-    for kind, names in _VARIANTS.items():
-        options = F.array_compact(F.array(*(F.when(blurred, v) if only else F.lit(v) for v, only in names)))
-        arrays = F.when(F.col("error_type") == kind, options).otherwise(arrays)
+    sight = features.groupBy("image_id").agg(F.min(blurred).alias("_least"), F.max(blurred).alias("_most"))  # rows of an image may differ
+    hardest = cases.groupBy("image_id", "error_type").agg(F.max("score").alias("score"))
     count = variant_count(F.col("score"), most)
-    return hardest.where(count > 0).select("image_id", "error_type", F.explode(F.slice(arrays, 1, count)).alias("variant")).distinct()
+    rows = hardest.where(count > 0).join(sight.hint("shuffle_hash"), "image_id", "left")
+
+    def variants(blurred: Column) -> Column:
+        arrays = F.lit(None).cast("array<string>")
+        for kind, names in _VARIANTS.items():
+            options = F.array_compact(F.array(*(F.when(blurred, v) if only else F.lit(v) for v, only in names)))
+            arrays = F.when(F.col("error_type") == kind, options).otherwise(arrays)
+        return F.slice(arrays, 1, count)
+
+    return rows.select("image_id", "error_type", F.explode(F.array_union(*(variants(F.coalesce(c, F.lit(False))) for c in ("_least", "_most")))).alias("variant"))
 
 
 def oversampled(cases: DataFrame, most: int = 5) -> DataFrame:
@@ -115,6 +121,12 @@ def ranked(cases: DataFrame) -> DataFrame:
     return cases.groupBy("image_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
 
 
+def strategies(cases: DataFrame, most: int = 5) -> DataFrame:
+    """image_id, copies, score, n: ``oversampled`` and ``ranked`` of each image from one grouping of its cases."""
+    found = cases.groupBy("image_id").agg(F.max(oversample_ratio(F.col("score"), most)).cast("bigint").alias("copies"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    return found.where("image_id IS NOT NULL")
+
+
 def merged_images(base: DataFrame, extra: DataFrame) -> DataFrame:
     """Images of either set once, with ``source`` base before extra."""
     rows = base.select("image_id", F.lit(0).alias("p")).unionByName(extra.select("image_id", F.lit(1).alias("p")))

@@ -432,3 +432,20 @@ def test_duplicate_pairs_are_those_of_brute_force_for_little_and_crowded_images(
     want = sorted((a[0], a[1], b[1]) for a in boxes for b in boxes if a[0] == b[0] and a[1] < b[1] and overlap(a, b) >= 0.8)
     found = qc.duplicate_pairs(gt)
     assert sorted((r.image_id, r.i, r.j) for r in found.collect()) == want and want
+
+
+def test_strategies_are_the_join_of_both_and_group_once(spark):
+    cases = spark.createDataFrame([(1, 0.2), (1, 0.8), (2, 0.95), (None, 0.6)], "image_id bigint, score double")
+    found = errors.strategies(cases)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, errors.oversampled(cases).join(errors.ranked(cases), "image_id").collect()))
+    assert "Join" not in plan_of(found)
+
+
+def test_variant_plan_of_images_with_several_feature_rows(spark):
+    cases = spark.createDataFrame([(1, "FP", 0.95), (1, "FP", 0.1), (2, "FN", 0.6), (3, "small", 0.8)], "image_id bigint, error_type string, score double")
+    features = spark.createDataFrame([(1, 50.0), (1, 150.0), (2, None)], "image_id bigint, lap_var double")
+    found = errors.variant_plan(cases, features)
+    rows = [tuple(r) for r in found.collect()]
+    want = {(1, "FP"): ["blur", "bright_13", "bright_7", "noise"], (2, "FN"): ["scale_12", "scale_8"], (3, "small"): ["noise", "scaleup_12", "scaleup_15"]}
+    assert sorted(rows) == sorted((*k, v) for k, own in want.items() for v in own)
+    assert not any("variant#" in line for line in plan_of(found).splitlines() if "keys=[" in line)  # nothing is grouped by variant
