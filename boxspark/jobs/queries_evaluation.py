@@ -149,9 +149,8 @@ best AS (SELECT class_id, level, r, coalesce(max(tp / n) FILTER (tp * 100 >= r *
 ap AS (SELECT class_id, level, sum(p) / 101 AS ap FROM best GROUP BY 1, 2)"""
 
 
-def _ap(spark, d, where="true"):
-    pred, gt = _pg(spark, d)
-    return evaluate.average_precision(pred.where(where), gt)
+def _ap(spark, d, levels=None):
+    return evaluate.average_precision(*_pg(spark, d), levels)
 
 
 @query(with_sql("SELECT class_id, level, round(ap, 6) AS ap FROM ap", _AP, True))
@@ -190,7 +189,7 @@ def e17_model_comparison(spark, d):
 @query(with_sql("SELECT class_id, round(ap, 6) AS ap50 FROM ap WHERE level = 0.5 AND class_id IN (0, 1)", _AP, True))
 def e18_old_class_check(spark, d):
     old = fx.classes(spark).where("class_id < 2").select("class_id")
-    return _ap(spark, d).where("level = 0.5").join(F.broadcast(old), "class_id").select("class_id", F.round("ap", 6).alias("ap50"))
+    return _ap(spark, d, [0.5]).join(F.broadcast(old), "class_id").select("class_id", F.round("ap", 6).alias("ap50"))
 
 
 @query(with_sql("SELECT image_id, count(pred_idx) AS detections FROM images LEFT JOIN pred USING (image_id) GROUP BY 1"))

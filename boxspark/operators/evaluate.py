@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxspark.operators.match import greedy_match, match_levels, matches_by_threshold, outcomes
+from boxspark.operators.match import greedy_match, level_counts, matches_by_threshold, outcomes
+from boxspark.sources.staged import stage
 
 LEVELS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 THRESHOLDS = [0.01 + i * (0.98 / 99) for i in range(100)]
@@ -126,14 +127,18 @@ def carried(rows: DataFrame, keys: list[str], by: str, falling: bool, columns: d
 def average_precision(pred: DataFrame, gt: DataFrame, levels: list[float] | None = None) -> DataFrame:
     """class_id, level, ap: 101-point interpolated average precision of every class that has a box.
 
-    Predictions are counted by (class, level, confidence) first, so equal confidences enter together. Running sums and maxima
-    are taken in bins of confidence and carried from bin to bin (``carried``), so a class is not one task's."""
+    Predictions are counted by class and confidence first, with matches at all levels, so equal confidences enter together; the
+    counts are staged. Running sums and maxima are taken in bins of confidence and carried from bin to bin (``carried``), so a
+    class is not one task's."""
     levels = levels or LEVELS
-    matched = match_levels(pred, gt, levels)
-    per_conf = pred.groupBy("class_id", "conf").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
-    hits = matched.join(pred.select("image_id", "pred_idx", "conf"), ["image_id", "pred_idx"]).groupBy("class_id", "level", "conf").agg(F.count(F.lit(1)).alias("tp"))
-    boxes = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("boxes"))
-    points = per_conf.join(hits, ["class_id", "level", "conf"], "left").join(F.broadcast(boxes), "class_id").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    counts = stage(level_counts(pred, gt, levels), "average-precision")
+    return _precision(counts, gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("boxes")), levels)
+
+
+def _precision(counts: DataFrame, boxes: DataFrame, levels: list[float]) -> DataFrame:
+    """``average_precision`` from ``level_counts`` and the number of ``boxes`` of each class."""
+    at = F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("level"), F.col("tp").alias("tp"))).alias("at")
+    points = counts.select("class_id", "conf", "n", at).select("class_id", "at.level", "conf", "n", "at.tp").join(F.broadcast(boxes), "class_id")
     points = carried(points, ["class_id", "level"], "conf", True, {"n": F.sum, "tp": F.sum}).withColumn("best", F.col("tp") / F.col("n"))
     envelope = carried(points, ["class_id", "level"], "conf", False, {"best": F.max})
     # A recall point k / 100 takes the envelope of the first point at or past it: points share out 0..100 among them.
@@ -162,15 +167,21 @@ def class_rates(pred: DataFrame, gt: DataFrame, iou_t: float = 0.5) -> DataFrame
 def compare_models(pred: DataFrame, gt: DataFrame, levels: list[float] | None = None, weights: tuple[float, float] = (0.1, 0.9)) -> DataFrame:
     """model, map50, map50_95, mean_precision, mean_recall, fitness of the predictions of every ``model``.
 
-    The model is part of the keys of images and classes, so all models go through one matching, one shuffle of either
-    side. Boxes are repeated once a model; a model without any prediction is not there. Null models are one model."""
-    models = pred.select("model").distinct()
-    keyed = lambda df: df.withColumn("image_id", F.struct("model", "image_id")).withColumn("class_id", F.struct("model", "class_id")).drop("model")
-    own, boxes = keyed(pred), keyed(gt.crossJoin(F.broadcast(models)))  # one row a model
-    ap = average_precision(own, boxes, levels).groupBy("class_id.model").agg(
+    All models go through one matching (``level_counts``), one shuffle of either side, and boxes are not repeated in it. A model
+    without any prediction is not there. Null models are one model."""
+    levels = levels or LEVELS
+    taken = levels if 0.5 in levels else [*levels, 0.5]
+    own = F.struct("model", "class_id").alias("class_id")
+    counts = stage(level_counts(pred, gt, taken), "compare-models").select(own, "conf", "n", "tp")
+    made = stage(pred.groupBy("model", "class_id").agg(F.count(F.lit(1)).alias("made")), "compare-models-made")  # a row a model and class
+    boxes = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("boxes")).crossJoin(F.broadcast(made.select("model").distinct())).select(own, "boxes")
+    ap = _precision(counts.withColumn("tp", F.slice("tp", 1, len(levels))), boxes, levels).groupBy("class_id.model").agg(
         F.avg(F.when(F.col("level") == 0.5, F.col("ap"))).alias("map50"), F.avg("ap").alias("map50_95")
     )
-    rates = class_rates(own, boxes).groupBy("class_id.model").agg(F.avg("p").alias("mean_precision"), F.avg("r").alias("mean_recall")).withColumnRenamed("model", "_model")
+    hits = counts.where("conf >= 0").groupBy("class_id").agg(F.sum(F.col("tp")[taken.index(0.5)]).alias("tp"))
+    rates = boxes.join(made.select(own, "made"), "class_id", "left").join(hits, "class_id", "left").groupBy("class_id.model").agg(
+        F.avg(F.coalesce(F.col("tp") / F.col("made"), F.lit(0.0))).alias("mean_precision"), F.avg(F.coalesce(F.col("tp") / F.col("boxes"), F.lit(0.0))).alias("mean_recall")
+    ).withColumnRenamed("model", "_model")
     rows = ap.join(rates, F.col("model").eqNullSafe(F.col("_model")))
     return rows.select("model", "map50", "map50_95", "mean_precision", "mean_recall", (weights[0] * F.col("map50") + weights[1] * F.col("map50_95")).alias("fitness"))
 

@@ -96,9 +96,10 @@ def _lists(values: pa.Array, n: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)
 
 
-def _batch_edges(sides: tuple, least: float) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _batch_edges(sides: tuple, least: float, models: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(predictions an image, boxes an image, edges) of a batch of images, given by class names and corners of either side.
-    Predictions and boxes are counted through the batch."""
+    Predictions and boxes are counted through the batch. ``models``, a number a prediction: each model has the boxes for itself,
+    those of model m are counted from m times the number of boxes."""
     p_class, px1, py1, px2, py2, g_class, gx1, gy1, gx2, gy2 = sides
     n_p, n_g = _sizes(p_class), _sizes(g_class)
     names = pa.concat_arrays([p_class.flatten(), g_class.flatten()]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -106,7 +107,13 @@ def _batch_edges(sides: tuple, least: float) -> tuple[np.ndarray, np.ndarray, tu
     keys = np.where(names < 0, -1 - np.arange(len(names)), images * (len(names) + 1) + names)  # a null class meets nothing
     p, g = np.column_stack([_flat(c) for c in (px1, py1, px2, py2)]), np.column_stack([_flat(c) for c in (gx1, gy1, gx2, gy2)])
     total = int(n_p.sum())
-    return n_p, n_g, _edges(keys[:total], p, keys[total:], g, least)
+    p_keys, g_keys = keys[:total], keys[total:]
+    if models is not None and len(models):
+        apart = (len(n_p) + 1) * (len(names) + 1)
+        p_keys = np.where(p_keys < 0, p_keys, p_keys + models * apart)
+        each = np.arange(models.max() + 1)
+        g_keys, g = np.where(g_keys < 0, g_keys, g_keys + each[:, None] * apart).ravel(), np.tile(g, (len(each), 1))
+    return n_p, n_g, _edges(p_keys, p, g_keys, g, least)
 
 
 def _matcher(levels: list[float], near: bool) -> Callable:
@@ -171,7 +178,7 @@ def _sides(pred: DataFrame, gt: DataFrame, conf_t: float, order: str) -> DataFra
 
     corners = [F.col(c).cast("double").alias(c) for c in CORNERS]
     first = -F.col("conf") if order == "conf" else F.lit(0.0)
-    one = F.struct(first.alias("c"), "pred_idx", "conf", "class_id", name(pred).alias("name"), *corners)
+    one = F.struct(first.alias("c"), "pred_idx", "conf", "class_id", name(pred).alias("name"), *corners, *(["model"] if "model" in pred.columns else []))
     p = pred.groupBy("image_id").agg(F.array_sort(F.collect_list(F.when(F.col("conf") >= conf_t, one))).alias("preds"))
     g = gt.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_idx", "class_id", name(gt).alias("name"), *corners))).alias("boxes"))
     return p.join(g, "image_id", "left")
@@ -204,6 +211,34 @@ def match_levels(pred: DataFrame, gt: DataFrame, levels: list[float]) -> DataFra
     return each.select("level", "image_id", "m.preds.class_id", F.col("m.preds.pred_idx").cast("bigint").alias("pred_idx"), F.get("boxes", F.col("m.box"))["box_idx"].cast("bigint").alias("box_idx"))
 
 
+def level_counts(pred: DataFrame, gt: DataFrame, levels: list[float]) -> DataFrame:
+    """class_id, conf, n, tp: predictions and, an array in the order of ``levels``, matches of each class and confidence. With a
+    column ``model`` in ``pred``, counts are by model too: all models of an image are matched together, each with all its boxes.
+    A prediction's matches travel as one number, a bit a level; rows by level are made of counts only."""
+
+    def hits(*columns: pa.Array) -> pa.Array:
+        model, sides = (columns[0], columns[1:]) if len(columns) > 2 + 2 * len(CORNERS) else (None, columns)
+        models = None
+        if model is not None:
+            codes = model.flatten().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            models = codes + 1
+        n_p, n_g, (i, j, found) = _batch_edges(sides, min(levels), models)
+        n_box = int(n_g.sum()) * (1 if models is None or not len(models) else int(models.max()) + 1)
+        bits = np.zeros(int(n_p.sum()), np.int64)
+        for k, level in enumerate(levels):
+            keep = found >= level
+            bits |= greedy(i[keep], j[keep], found[keep], len(bits), n_box, level)[2].astype(np.int64) << k
+        return _lists(pa.array(bits), n_p)
+
+    by = ["model"] if "model" in pred.columns else []
+    sides = _sides(pred.where("conf IS NOT NULL"), gt, float("-inf"), "conf")
+    names = [F.transform("preds", lambda p: p["model"].cast("string"))] if by else []
+    found = sides.select("preds", F.arrow_udf(hits, T.ArrayType(T.LongType()))(*names, *_SIDES).alias("hits"))
+    each = found.select(F.explode(F.arrays_zip("preds", "hits")).alias("m")).select(*(f"m.preds.{c}" for c in (*by, "class_id", "conf")), "m.hits")
+    tp = [F.sum(F.shiftright("hits", k).bitwiseAND(F.lit(1))) for k in range(len(levels))]
+    return each.groupBy(*by, "class_id", "conf").agg(F.count(F.lit(1)).alias("n"), F.array(*tp).alias("tp"))
+
+
 def unmatched_boxes(gt: DataFrame, matches: DataFrame) -> DataFrame:
     return gt.join(matches.where("tp").select("image_id", "box_idx"), ["image_id", "box_idx"], "left_anti")
 

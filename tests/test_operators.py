@@ -449,3 +449,10 @@ def test_variant_plan_of_images_with_several_feature_rows(spark):
     want = {(1, "FP"): ["blur", "bright_13", "bright_7", "noise"], (2, "FN"): ["scale_12", "scale_8"], (3, "small"): ["noise", "scaleup_12", "scaleup_15"]}
     assert sorted(rows) == sorted((*k, v) for k, own in want.items() for v in own)
     assert not any("variant#" in line for line in plan_of(found).splitlines() if "keys=[" in line)  # nothing is grouped by variant
+
+
+def test_level_counts_take_all_models_of_an_image_at_once(spark):
+    pred = spark.createDataFrame([("a", 1, 0, 0, 0.9, 0, 0, 10, 10), ("b", 1, 1, 0, 0.8, 0, 0, 10, 10), (None, 1, 2, 0, 0.7, 0, 0, 10, 6), ("a", 1, 3, 0, 0.6, 0, 0, 10, 10), ("a", 2, 4, None, 0.9, 0, 0, 10, 10)], "model string, image_id bigint, pred_idx bigint, class_id bigint, conf double, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
+    gt = spark.createDataFrame([(1, 0, 0, 0, 0, 10, 10), (2, 0, None, 0, 0, 10, 10)], "image_id bigint, box_idx bigint, class_id bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
+    found = {(r.model, r.class_id, r.conf): (r.n, r.tp) for r in match.level_counts(pred, gt, [0.5, 0.75]).collect()}
+    assert found == {("a", 0, 0.9): (1, [1, 1]), ("b", 0, 0.8): (1, [1, 1]), (None, 0, 0.7): (1, [1, 0]), ("a", 0, 0.6): (1, [0, 0]), ("a", None, 0.9): (1, [0, 0])}
