@@ -236,7 +236,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = short.join(F.broadcast(made_up) if made_up.count() <= MOST_SENT else made_up, "_rank").withColumn("_share", F.col("_share") * F.col("_factor")).drop("_factor")
     times = paid.select(F.inline("copies")).unionByName(_copies(short, most, seed, "mix-short-documents").select("_key", "_times"))
     times = stage(times.where("_times > 0").select(F.col("_key").alias("_mixed"), F.col("_times").cast("int").alias("_times")), "mix-copies")
-    joined = docs.join(times, docs[id_col].eqNullSafe(times["_mixed"]))
+    joined = docs.join(times.hint("merge"), docs[id_col].eqNullSafe(times["_mixed"]))  # one plan at every size: both sides grow
     copy = "_".join([*docs.columns, "copy"])  # no column of docs has this name
     repeated = joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), times["_times"])).alias(copy))
     return repeated.drop(copy)

@@ -1,7 +1,8 @@
 """N-gram Jaccard join with count-vector R-trees.
 
 A document is the set of its distinct word n-grams. Grams are hashed to groups; the counts of a set in the groups are a
-point. Larger sets have more groups (powers of two up to ``GROUPS``, so a point folds onto fewer by adding). The overlap of two sets is at most the sum over the groups of the smaller count, and for two boxes
+point. Larger sets have more groups (powers of two up to ``GROUPS``, so a point folds onto fewer by adding): with too few,
+counts of any two long texts are alike and all of them would be tied. The overlap of two sets is at most the sum over the groups of the smaller count, and for two boxes
 of points at most the sum of the smaller upper bounds, so an R-tree of points passes over pairs of nodes, then pairs
 of points, that cannot reach the overlap that the similarity needs. What survives is verified on the sets.
 
@@ -25,8 +26,10 @@ from pyspark.sql import types as T
 from boxspark.llm.common import running_totals, slices, stage
 from boxspark.llm.components import components
 
-GROUPS = 256
+GROUPS = 4_096
 LEAST_GROUPS = 32
+#: Counts that are compared, or held in trees of one search, at a time; where more would be, sets fold onto fewer groups.
+CELLS = 8_000_000
 #: A stored count of MANY stands for that or more; as a bound it is read as without limit.
 MANY = 255
 #: About so many sets with a prefix gram in common are searched together, so that they fit a task. A gram's sets are dealt to
@@ -124,8 +127,17 @@ def prefix(grams: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
 
 
 def n_groups(size: int) -> int:
-    """About eight grams a group: fewer would carry more bytes, more would let random counts hide a difference."""
-    return min(GROUPS, max(LEAST_GROUPS, 1 << max(0, size // 8).bit_length()))
+    """About eight grams a group, up to sixteen of long texts: fewer would carry more bytes, more would let random counts hide
+    a difference. Twice the grams have at most twice the groups."""
+    small = min(256, max(LEAST_GROUPS, 1 << max(0, size // 8).bit_length()))
+    return min(GROUPS, max(small, 1 << (size // 16).bit_length()))
+
+
+def held_groups(groups: int, sets: int) -> int:
+    """At most ``groups``, fewer where counts of ``sets`` sets would take too much memory."""
+    while groups > LEAST_GROUPS and groups * sets > CELLS:
+        groups //= 2
+    return groups
 
 
 def point(grams: np.ndarray, groups: int) -> np.ndarray:
@@ -137,6 +149,16 @@ def folded(points: np.ndarray, groups: int) -> np.ndarray:
     return points.reshape(len(points), -1, groups).sum(axis=1, dtype=np.int32)
 
 
+def unpacked(packed: np.ndarray, own: np.ndarray, groups: int) -> np.ndarray:
+    """Packed points of ``own`` groups each, folded onto ``groups`` or fewer."""
+    out = np.empty((len(packed), groups), np.int32)
+    for n in np.unique(own).tolist():
+        rows = np.flatnonzero(own == n)
+        raw = np.frombuffer(b"".join(packed[rows].tolist()), np.uint8).reshape(-1, n)
+        out[rows] = folded(np.where(raw == MANY, np.int32(1 << 20), raw.astype(np.int32)), groups)
+    return out
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """_id, text_key (a hash of the text), n_shingles, h1, h2 (a 128-bit hash of the set), its point and, on one row a
     slice, grams that several texts share."""
@@ -204,10 +226,12 @@ def _search(percent: int):
             same = same[needed(sizes[same], sizes[same + lag], percent) <= least]
             level = np.minimum(groups[same], groups[same + lag])
             for g in np.unique(level):
-                at = same[level == g]
-                bound = np.minimum(folded(points[at], g), folded(points[at + lag], g)).sum(axis=1)
-                ok = at[bound >= needed(sizes[at], sizes[at + lag], percent)]
-                out.append(np.column_stack([sets[ok], sets[ok + lag]]))
+                all_ = same[level == g]
+                for start in range(0, len(all_), max(1, CELLS // 2 // int(g))):
+                    at = all_[start : start + max(1, CELLS // 2 // int(g))]
+                    bound = np.minimum(unpacked(points[at], groups[at], g), unpacked(points[at + lag], groups[at + lag], g)).sum(axis=1)
+                    ok = at[bound >= needed(sizes[at], sizes[at + lag], percent)]
+                    out.append(np.column_stack([sets[ok], sets[ok + lag]]))
         return out
 
     def many(sets, sizes, groups, points) -> np.ndarray:
@@ -223,11 +247,12 @@ def _search(percent: int):
         levels = np.unique(groups)
         for g in levels:
             own = np.flatnonzero(groups == g)
-            tree = RTree(folded(points[own], g), sizes[own])
+            others = [np.flatnonzero(groups == more) for more in levels[(levels > g) & (levels * percent <= g * 200)]]
+            held = held_groups(int(g), len(own) + sum(map(len, others)))
+            tree = RTree(unpacked(points[own], groups[own], held), sizes[own])
             found = [(own, tree, own, tree, True)]
-            for more in levels[(levels > g) & (levels * percent <= g * 200)]:
-                other = np.flatnonzero(groups == more)
-                found.append((own, tree, other, RTree(folded(points[other], g), sizes[other]), False))
+            for other in others:
+                found.append((own, tree, other, RTree(unpacked(points[other], groups[other], held), sizes[other]), False))
             for rows_a, a, rows_b, b, same in found:
                 for i, j in pairs(a, b, percent, same):
                     for x, y in zip(rows_a[a.order[i]].tolist(), rows_b[b.order[j]].tolist()):
@@ -257,10 +282,9 @@ def _search(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            packed = batch.column("point").to_pylist()
-            raw = np.frombuffer(b"".join(x.ljust(GROUPS, b"\0") for x in packed), np.uint8).reshape(-1, GROUPS)
+            packed = batch.column("point").to_numpy(zero_copy_only=False)
             new = [batch.column(c).to_numpy() for c in ("gram", "set", "n_shingles")]
-            new += [np.fromiter(map(len, packed), np.int64, len(packed)), np.where(raw == MANY, np.int32(1 << 20), raw.astype(np.int32))]
+            new += [np.fromiter(map(len, packed), np.int64, len(packed)), packed]
             found = []
             now = new if held is None else [np.concatenate([a, b]) for a, b in zip(held, new)]
             held = None
@@ -363,7 +387,7 @@ def linked(sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right:
 
     same = left is right
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    groups = n_groups(int(sizes[np.concatenate([left, right])].max()))
+    groups = held_groups(n_groups(int(sizes[np.concatenate([left, right])].max())), len(left) + len(right))
     ta = tree(left)
     tb = ta if same else tree(right)
     out, links = [], np.zeros(len(sets), np.int64)
@@ -395,7 +419,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     key = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
     reps = stage(reps.select(*alike, key.alias("set"), "first.id", "first.text_key", "point", "copies"), "jaccard-reps")
 
-    ties = _ties(docs, text_col, n, percent, common)
+    # Both uses of the ties read this one shuffle: neither filters nor drops a column before it.
+    ties = _ties(docs, text_col, n, percent, common).where("gram IS NOT NULL AND set IS NOT NULL").repartition("gram")
     met = ties.groupBy("gram").agg(F.min("set").alias("_near"), F.max("set").alias("_far"), F.count(F.lit(1)).alias("_rows")).where("_near < _far").select("gram", "_rows")
     points = reps.select(F.col("h1").alias("set"), "n_shingles", "point")
     # A block meets each other block of its gram; a gram of one block is one group.
@@ -495,5 +520,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` whose id is the smallest of its component, all columns as they are. Texts without words stay;
     rows that repeat such an id and its text stay with it; a null id stays where its component has no other."""
     found = _classes(docs, id_col, text_col, n, percent, tile, most_common, MOST_SEARCHED)
-    least = found.where(F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id").alias("_stays"), F.col("text_key").alias("_key")).distinct()
+    # One plan at every size: what stays grows with the corpus.
+    least = found.where(F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id").alias("_stays"), F.col("text_key").alias("_key")).distinct().hint("merge")
     return docs.join(least, docs[id_col].eqNullSafe(least["_stays"]) & (F.xxhash64(docs[text_col]) == least["_key"]), "left_semi")

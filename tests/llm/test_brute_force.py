@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -590,3 +592,49 @@ def test_mixed_documents_meet_the_targets_of_real_tables(spark, table, most_off)
     assert len(rows) >= 20
     for r in rows:
         assert abs(r["words"] - r["target"]) <= most_off * r["target"] and abs(r["words"] - r["taken"]) <= 30
+
+
+def _shuffled(spark, make) -> int:
+    """Bytes of shuffle that ``make`` writes."""
+    written = lambda: spark._jsparkSession.sparkContext().statusStore().executorSummary("driver").totalShuffleWrite()
+    time.sleep(1)
+    before = written()
+    make()
+    time.sleep(1)
+    return written() - before
+
+
+def test_exact_dedup_moves_no_text_to_find_copies(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), (400_000, 6))]
+    rows = [(i, " ".join(words[i % 190 * 2000 : i % 190 * 2000 + 2000])) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "texts"))
+    docs = spark.read.parquet(str(tmp_path / "texts"))
+    assert _shuffled(spark, lambda: exact_dedup.exact_groups(docs).write.format("noop").mode("overwrite").save()) < 200_000  # of 2,800,000 bytes of text
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(docs).collect()) == list(range(190))
+
+
+def test_long_texts_that_differ_are_not_tied():
+    """Long sets with one gram in common and nothing else: their points tell them apart; a near copy is still tied."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, 7_300).astype(np.uint64)) for _ in range(24)]
+    sets[1] = np.unique(np.concatenate([sets[0][:7_000], sets[1][:300]]))
+    for many in (24, 12):  # a run for the tree, and one that is compared at every distance
+        own = sets[:many]
+        points = [np.minimum(ngram_jaccard.point(s, ngram_jaccard.n_groups(len(s))), ngram_jaccard.MANY).astype(np.uint8).tobytes() for s in own]
+        batch = pa.RecordBatch.from_arrays([pa.array([7] * many), pa.array(range(many)), pa.array([len(s) for s in own]), pa.array(points, pa.binary())], ["gram", "set", "n_shingles", "point"])
+        ties = [(a, b) for out in ngram_jaccard._search(80)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns))]
+        assert sorted(map(sorted, ties)) == [[0, 1]]
+
+
+def test_points_of_all_sizes_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    for size in (5, 300, 2_000, 4_095, 4_096, 9_000, 70_000):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        for b in (a[: int(len(a) * 0.82)], np.concatenate([a, a[: len(a) // 5] + np.uint64(1)])):
+            both = [np.minimum(ngram_jaccard.point(s, ngram_jaccard.n_groups(len(s))), ngram_jaccard.MANY).astype(np.uint8).tobytes() for s in (a, b)]
+            groups = np.array([len(p) for p in both])
+            assert groups.max() <= 4 * groups.min()
+            packed = np.array(both, object)
+            x, y = ngram_jaccard.unpacked(packed, groups, int(groups.min()))
+            assert np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
