@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,27 +66,61 @@ def fuse_groups(boxes: np.ndarray, scores: np.ndarray, sizes: np.ndarray, thresh
     return group[first], cluster[first], np.where(some, squares / np.where(some, total, 1), 0.0), corners, members
 
 
+def ranks(values: pa.Array) -> np.ndarray:
+    """Numbers in the order of the values, equal ones alike, null first."""
+    coded = values.dictionary_encode()
+    place = np.empty(len(coded.dictionary), np.int64)
+    place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+    found = coded.indices.to_numpy(zero_copy_only=False)
+    return np.where(np.isnan(found), -1, place[np.nan_to_num(found, nan=0).astype(np.int64)]) if coded.indices.null_count else place[found]
+
+
 def wbf(dets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """image_id, class_id, fused_idx, score, x1, y1, x2, y2, members of detections (image_id, class_id, det_idx, score,
-    corners). A group is one image's views of one class; groups travel as arrays, and those of a batch are fused together."""
-    item = F.struct((-F.col("score")).cast("double").alias("s"), "det_idx", *(F.col(c).cast("double").alias(c) for c in CORNERS))
-    groups = dets.groupBy("image_id", "class_id").agg(F.array_sort(F.collect_list(item)).alias("dets"))
-    groups = groups.select("image_id", "class_id", *(F.col(f"dets.{c}").alias(c) for c in ("s", *CORNERS)))
+    corners). A group is one image's views of one class. A window that only counts an image's detections brings them to one
+    place, one image after the other; detections that come so already (views of boxes that were made by image) are neither
+    shuffled, sorted nor aggregated again. The groups of a batch's whole images are put in order and fused together."""
+    rows = dets.select("image_id", "class_id", "det_idx", *(F.col(c).cast("double").alias(c) for c in ("score", *CORNERS)))
+    rows = rows.withColumn("_image_n", F.count(F.lit(1)).over(Window.partitionBy("image_id")))
+
+    def fused(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes_at, at = batch.column("_image_n").to_numpy().tolist(), 0
+        image = np.zeros(batch.num_rows, np.int64)
+        while at < batch.num_rows:  # the place of an image's first row stands for it
+            image[at : at + sizes_at[at]] = at
+            at += sizes_at[at]
+        of_class, det = (ranks(batch.column(c)) for c in ("class_id", "det_idx"))
+        score = batch.column("score").to_numpy(zero_copy_only=False)
+        order = np.lexsort((det, -score, of_class, image))
+        image, of_class = image[order], of_class[order]
+        first = np.flatnonzero(np.concatenate([[True], (image[1:] != image[:-1]) | (of_class[1:] != of_class[:-1])]))
+        sizes = np.diff(first, append=len(order))
+        boxes = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in CORNERS])[order]
+        group, cluster, score, corners, members = fuse_groups(boxes, score[order], sizes, threshold)
+        own = [batch.column(c).take(pa.array(order[first[group]])) for c in ("image_id", "class_id")]
+        made = [pa.array(cluster, pa.int32()), pa.array(score), *(pa.array(c) for c in corners), pa.array(members, pa.int32())]
+        return pa.RecordBatch.from_arrays([*own, *made], ["image_id", "class_id", "fused_idx", "score", *CORNERS, "members"])
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows so far of images that have not come whole
+        missing = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("s", *CORNERS)}
-            sizes = batch.column("s").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            group, cluster, score, corners, members = fuse_groups(np.column_stack([values[c] for c in CORNERS]), -values["s"], sizes, threshold)
-            own = [batch.column(c).take(pa.array(group)) for c in ("image_id", "class_id")]
-            made = [pa.array(cluster, pa.int32()), pa.array(score), *(pa.array(c) for c in corners), pa.array(members, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*own, *made], ["image_id", "class_id", "fused_idx", "score", *CORNERS, "members"])
+            n, at = batch.column("_image_n").to_numpy(), missing
+            whole = 0 if missing > batch.num_rows else missing
+            while at < batch.num_rows:
+                at += int(n[at])
+                if at <= batch.num_rows:
+                    whole = at
+            missing = at - batch.num_rows
+            if whole:
+                yield fused(pa.concat_batches([*held, batch.slice(0, whole)]))
+                held = []
+            if whole < batch.num_rows:
+                held.append(batch.slice(whole))
 
     doubles = [T.StructField(c, T.DoubleType()) for c in ("score", *CORNERS)]
     schema = T.StructType([dets.schema["image_id"], dets.schema["class_id"], T.StructField("fused_idx", T.IntegerType()), *doubles, T.StructField("members", T.IntegerType())])
-    return groups.mapInArrow(fuse, schema)
+    return rows.mapInArrow(fuse, schema)
 
 
 def back_projected(views: DataFrame, images: DataFrame) -> DataFrame:

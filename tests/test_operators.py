@@ -456,3 +456,17 @@ def test_level_counts_take_all_models_of_an_image_at_once(spark):
     gt = spark.createDataFrame([(1, 0, 0, 0, 0, 10, 10), (2, 0, None, 0, 0, 10, 10)], "image_id bigint, box_idx bigint, class_id bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
     found = {(r.model, r.class_id, r.conf): (r.n, r.tp) for r in match.level_counts(pred, gt, [0.5, 0.75]).collect()}
     assert found == {("a", 0, 0.9): (1, [1, 1]), ("b", 0, 0.8): (1, [1, 1]), (None, 0, 0.7): (1, [1, 0]), ("a", 0, 0.6): (1, [0, 0]), ("a", None, 0.9): (1, [0, 0])}
+
+
+def test_fusion_of_images_cut_by_batches(spark):
+    """Images that come in several batches, null ones too, are fused as they are in one; nothing is aggregated on the way."""
+    rows = [(i % 7 if i % 7 else None, i % 3, i, (i * 37 % 11) / 10.0, float(i % 5), 0.0, 10.0 + i % 5, 10.0 + i % 4) for i in range(120)]
+    dets = spark.createDataFrame(rows, "image_id bigint, class_id bigint, det_idx bigint, score double, x1 double, y1 double, x2 double, y2 double")
+    whole = sorted(map(repr, fuse.wbf(dets).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = fuse.wbf(dets)
+        assert sorted(map(repr, got.collect())) == whole and sum(r.members for r in got.collect()) == 120
+        assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
