@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +89,12 @@ def test_products_beyond_64_bits(spark, monkeypatch, tmp_path):
     assert [tuple(r) for r in collocations.collocations(spark.createDataFrame([], DOCS)).collect()] == [
         ("en", 1, "x y", big - 1, big, big + 1, 3 * big, 1_000_000 * (big - 1) ** 2 // (big * (big + 1)))
     ]
+
+
+def test_windows_that_begin_alike_go_out_together():
+    keys = [b"", b"a", b"b a", b"abcdefgh x", b"abcdefgz", "é a b".encode(), b"a b", b"abc", b"abcdefgh y"]
+    order = np.argsort(collocations.beginnings(pa.array(keys, pa.binary())), kind="stable")
+    assert [keys[k][:8] for k in order] == sorted(k[:8] for k in keys)
+    assert len(collocations.beginnings(pa.array([], pa.binary()))) == 0
+    part = pa.array([b"zz", *keys], pa.binary()).slice(1)
+    assert (collocations.beginnings(part) == collocations.beginnings(pa.array(keys, pa.binary()))).all()
