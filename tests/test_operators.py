@@ -376,6 +376,18 @@ def test_percentiles_make_their_values_once(spark):
     assert cuts == pytest.approx(np.quantile(np.arange(5_000.0) ** 2, [0.0, 0.4, 1.0]).tolist()) and seen.value == 5_000
 
 
+def test_lloyd_rounds_shuffle_nothing(spark):
+    """Thirty rounds shuffle as little as two: a round is one stage, whose sums are a row a task and cluster."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([tuple(map(float, rng.uniform(0.2, 0.6, 4))) for _ in range(2_000)], "cx double, cy double, w double, h double")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    marks = [written()]
+    for rounds in (2, 30):
+        anchors.kmeans_of(df, [3, 5], rounds, shift=0.0)
+        marks.append(written())
+    assert marks[2] - marks[1] <= 1.2 * (marks[1] - marks[0])
+
+
 def test_silhouettes_do_not_copy_boxes_for_their_pairs(spark):
     """Fifty tiles shuffle about as much as one: the right side is read again, not dealt a copy a pair."""
     rng = np.random.default_rng(3)
