@@ -535,6 +535,37 @@ def test_every_meeting_is_verified_or_implied():
                 got.join(int(at[x]), int(at[y]))
         assert [got.root(x) for x in range(len(own))] == [want.root(x) for x in range(len(own))]
 
+
+def test_keys_of_many_images_are_those_of_each(monkeypatch):
+    """Images that are keyed together have the keys that each has alone, large, little and empty ones, in batches or not;
+    a tile makes its keys in one go, and an image with enough near corners but too few matches is not looked at again."""
+    rng = np.random.default_rng(17)
+    own = [image_copies.corners(np.rint(np.clip(128 + s * image_copies.resized(rng.normal(0, 1, (n, n)), m, m), 0, 255))) for s, n, m in [(30, 8, 32)] * 60 + [(60, 16, 96)] * 3]
+    own = [np.zeros(0, image_copies.CORNER), *own, own[0][:1]]
+    alone = [image_copies.pair_keys(c) for c in own]
+    for most in (7, 2_048):
+        assert all(np.array_equal(a, b) for a, b in zip(image_copies.keys_of(own, most), alone, strict=True))
+    keys = [set(k.tolist()) for k in alone]
+    for left in (len(own), 30):
+        side = (np.arange(len(own)) >= left).astype(int)
+        want = {(x, y) for x, y in itertools.combinations(range(len(own)), 2) if len(keys[x] & keys[y]) >= image_copies.LEAST_KEYS and (left == len(own) or side[x] != side[y])}
+        for most in (10, 1 << 18):
+            assert {(int(x), y) for x, later in image_copies.meetings(alone, side, most) for y in later.tolist()} == want and want
+    some, matched = [c for c in own[1:61] if len(c)], []
+    for x, y in itertools.product(range(len(some)), repeat=2):
+        a, b = some[x], some[y]
+        apart = np.bitwise_count(a["bits"][:, None] ^ b["bits"][None]).sum(axis=2, dtype=int)
+        near = apart.argmin(axis=1)
+        n = sum(apart[i, j] <= 48 and apart[:, j].argmin() == i for i, j in enumerate(near.tolist()))
+        if n >= image_copies.needed(len(a), len(b)):
+            matched.append((x, y))
+    assert matched == [(x, y) for x in range(len(some)) for y in image_copies.possible(some[x], some).tolist()]
+    calls = []
+    monkeypatch.setattr(image_copies, "neighbours", lambda *args, of=image_copies.neighbours: calls.append(1) or of(*args))
+    image_copies.copy_links(some, np.zeros(len(some)))
+    assert len(calls) == 1
+
+
 def test_runs_of_a_long_text_cut_in_pieces(monkeypatch):
     """Texts longer than a piece are hashed piece by piece: every window has the anchor it has in the whole text."""
     text = bytes(np.random.default_rng(4).integers(97, 101, 20_000).astype(np.uint8))
