@@ -645,6 +645,18 @@ def test_exact_dedup_moves_no_text_to_find_copies(spark, tmp_path):
     assert sorted(r.doc_id for r in exact_dedup.drop_copies(docs).collect()) == list(range(190))
 
 
+def test_exact_dedup_compares_contents_and_not_only_hashes(spark):
+    """Two texts with equal lengths and equal 64-bit hashes for several seeds, and digests that begin alike: only content differs."""
+    one = "r4Rw}k4$dbamkvsculpgxatbhlufvakr:,dQ~q.-fzwlssjnxwqgezzxhzzmtqmu"
+    two = "rx#B#-[kdbamkvsculpgxatbhlufvakr:uc1E(EMfzwlssjnxwqgezzxhzzmtqmu"
+    df = spark.createDataFrame([(5, one), (2, two), (3, one), (None, two), (4, two), (1, "other")], "doc_id bigint, text string")
+    hashes = df.where("doc_id IN (2, 3)").selectExpr("length(text)", "xxhash64(1, text)", "xxhash64(2, text)", "substring(sha2(text, 256), 1, 2)")
+    assert hashes.distinct().count() == 1
+    for digest_bytes in (0, 1, 32):
+        got = exact_dedup.exact_groups(df, digest_bytes=digest_bytes, salts=3).select("doc_id", "keep_id", "group_size", "kept").collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(5, 3, 2, False), (3, 3, 2, True), (2, 2, 3, True), (4, 2, 3, False), (None, 2, 3, False), (1, 1, 1, True)], key=str)
+
+
 def test_long_texts_that_differ_are_not_tied():
     """Long sets with one gram in common and nothing else: their points tell them apart; a near copy is still tied."""
     rng = np.random.default_rng(3)
