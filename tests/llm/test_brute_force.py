@@ -566,6 +566,31 @@ def test_keys_of_many_images_are_those_of_each(monkeypatch):
     assert len(calls) == 1
 
 
+def test_many_pairs_of_images_are_judged_at_once(monkeypatch):
+    """Pairs of little images are not looked at one by one, and judged as each pair alone is."""
+    rng = np.random.default_rng(19)
+    plain = [np.clip(128 + 30 * image_copies.resized(rng.normal(0, 1, (8, 8)), 32, 32), 0, 255) for _ in range(60)]
+    own = [image_copies.corners(np.rint(a + rng.normal(0, noise, a.shape))) for a in plain for noise in (0, 2, 5)] + [image_copies.corners(np.rint(a[2:, 3:])) for a in plain[:20]]
+    own = [c for c in own if len(c)]
+    one, other = np.array(list(itertools.combinations(range(len(own)), 2))).T
+    want = [image_copies.are_copies(own[x], own[y]) for x, y in zip(one.tolist(), other.tolist())]
+    assert image_copies.Tile(own).copies(one, other).tolist() == want and 50 < sum(want) < len(want) / 2
+    links = image_copies.copy_links(own, np.zeros(len(own)), most=1)  # one by one
+    monkeypatch.setattr(image_copies, "are_copies", None)
+    assert image_copies.copy_links(own, np.zeros(len(own))) == links and links
+
+
+def test_tiles_that_share_their_keys_lose_no_pair(spark):
+    """Many tiles of one component, in blocks of two: the classes are those of one tile."""
+    rng = np.random.default_rng(23)
+    a = np.clip(128 + 30 * image_copies.resized(rng.normal(0, 1, (8, 8)), 32, 32), 0, 255)
+    b = np.clip(128 + 30 * image_copies.resized(rng.normal(0, 1, (8, 8)), 32, 32), 0, 255)
+    pixels = [np.rint(np.clip(x + rng.normal(0, 3, x.shape), 0, 255)).astype(np.uint8).tobytes() for _ in range(22) for x in (a, b)]
+    df = spark.createDataFrame([(i, 32, 32, bytearray(p)) for i, p in enumerate(pixels)], "image_id bigint, width int, height int, pixels binary")
+    got = [sorted(tuple(r) for r in image_copies.copies(df, tile=t).collect()) for t in (3, 100)]
+    assert got[0] == got[1] and len({r[2] for r in got[0]}) < 10
+
+
 def test_runs_of_a_long_text_cut_in_pieces(monkeypatch):
     """Texts longer than a piece are hashed piece by piece: every window has the anchor it has in the whole text."""
     text = bytes(np.random.default_rng(4).integers(97, 101, 20_000).astype(np.uint8))
