@@ -1,5 +1,6 @@
 """Fusion, anchors, splits, responses and tuning on small inputs."""
 
+import itertools
 import os
 import random
 
@@ -401,6 +402,33 @@ def test_silhouettes_do_not_copy_boxes_for_their_pairs(spark):
     assert found[0] == pytest.approx(found[1], abs=1e-9) and 0 < marks[2] - marks[1] < 4 * (marks[1] - marks[0])
 
 
+def test_runs_of_near_boxes_are_passed_over():
+    """Boxes in the order of ``_places``: of all pairs of runs not many more meet than of all pairs of boxes."""
+    rng = np.random.default_rng(13)
+    boxes = np.concatenate([rng.uniform(0.1, 0.9, (2, 40_000)), rng.uniform(0.01, 0.4, (2, 40_000))])
+    low, high = boxes[:2] - boxes[2:] / 2, boxes[:2] + boxes[2:] / 2
+    one, other = rng.integers(0, boxes.shape[1], (2, 200_000))
+    share = ((low[:, one] < high[:, other]) & (low[:, other] < high[:, one])).all(axis=0).mean()
+    order, starts = np.argsort(anchors._places(boxes), kind="stable"), np.arange(0, boxes.shape[1], 200)
+    least, most = np.minimum.reduceat(low[:, order], starts, axis=1), np.maximum.reduceat(high[:, order], starts, axis=1)
+    assert ((least[:, :, None] < most[:, None]) & (least[:, None] < most[:, :, None])).all(axis=0).mean() < 3 * share
+
+
+def test_overlaps_of_runs_are_those_of_their_boxes():
+    """Bit by bit, with runs inside, beside and across each other, boxes without an area, turned and missing ones."""
+    rng = np.random.default_rng(14)
+    parts = [np.column_stack([rng.uniform(a, a + s, (90, 2)), rng.uniform(w, 1.2 * w, (90, 2))]) for a, s, w in [(0.1, 0.05, 0.1), (0.1, 0.05, 0.5), (0.3, 0.5, 0.2), (0.5, 0.01, 0.01), (0.0, 1.0, 0.9)]]
+    odd = [np.array([(0.5, 0.5, 0.0, 0.0), (0.5, 0.5, 0.1, 0.0), (0.5, 0.5, -0.2, 0.1), (0.5, 0.5, 0.3, 0.3)]), np.array([(np.nan, 0.5, 0.1, 0.1), (0.2, 0.2, 0.4, 0.4), (0.8, 0.8, 0.1, 0.1)])]
+    boxes = [*parts, *odd]
+    held = np.empty((3, 100 * 100))
+    for a, b in itertools.product(boxes, repeat=2):
+        one, other = anchors._Leaves(anchors._corners(a), 100), anchors._Leaves(anchors._corners(b), 100)
+        want = anchors._meet(anchors._corners(a), anchors._corners(b))
+        assert np.array_equal(anchors._meet_runs(one, 0, other, 0, held), want, equal_nan=True)
+        if not np.isnan(want).any():
+            assert len(one.meeting(other)[0]) or not want.any()
+
+
 def plan_of(df):
     """The plan as text, before adaptive execution adds to it."""
     return df._jdf.queryExecution().executedPlan().toString()
