@@ -402,6 +402,21 @@ def test_silhouettes_do_not_copy_boxes_for_their_pairs(spark):
     assert found[0] == pytest.approx(found[1], abs=1e-9) and 0 < marks[2] - marks[1] < 4 * (marks[1] - marks[0])
 
 
+def test_silhouettes_of_pairs_of_tiles_taken_once(spark, monkeypatch):
+    """A pair of tiles that gives the sums of both, or one side after the other; clusters of several k together or not."""
+    rng = np.random.default_rng(21)
+    boxes = [tuple(map(float, (*rng.uniform(0.2, 0.8, 2), *rng.uniform(0.05, 0.4, 2)))) for _ in range(390)] + [(0.4, 0.4, 0.2, 0.2)] * 10
+    df = spark.createDataFrame(boxes, "cx double, cy double, w double, h double")
+    found = {2: boxes[:2], 3: boxes[2:5], 6: boxes[5:11]}
+    want = {k: _silhouette_by_hand(np.array(boxes), _apart(np.array(boxes), np.array(c)).argmin(axis=1)) for k, c in found.items()}
+    for both in (0, 100):
+        monkeypatch.setattr(anchors, "BOTH", both)
+        for parts, block in ((10, 37), (3, 37), (10, 1_000)):
+            monkeypatch.setattr(anchors, "PARTS", parts)
+            assert anchors.silhouettes(df, found, block) == pytest.approx(want, abs=1e-9)
+        assert anchors.silhouette(df, found[6], 50) == pytest.approx(want[6], abs=1e-9)
+
+
 def test_runs_of_near_boxes_are_passed_over():
     """Boxes in the order of ``_places``: of all pairs of runs not many more meet than of all pairs of boxes."""
     rng = np.random.default_rng(13)
